@@ -111,9 +111,9 @@ def matches_any(c: Column, patterns: list[str]) -> Column:
     for p in regexes:
         literal = _needed_literal(p)
         if literal:
-            tests.append(c.contains(literal) & c.rlike(f"(?U){p}"))
+            tests.append(c.contains(literal) & c.rlike(f"(?dU){p}"))
         else:
             ungated.append(p)
     if ungated:
-        tests.append(c.rlike("(?U)" + "|".join(f"(?:{p})" for p in ungated)))
+        tests.append(c.rlike("(?dU)" + "|".join(f"(?:{p})" for p in ungated)))
     return reduce(lambda a, b: a | b, tests)

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .summaries import everything
+
 PREFIX = 4
-EVERYTHING = Window.partitionBy()
 
 
 def id_hash(id_col: str, seed: int) -> Column:
@@ -22,12 +23,12 @@ def id_hash(id_col: str, seed: int) -> Column:
 
 def _kept(size: str, share: float, name: str, counts: DataFrame) -> DataFrame:
     """Rows of each stratum that stay when ``share`` is held out, by largest remainder."""
-    total = F.sum(size).over(EVERYTHING)
+    total = F.sum(size).over(everything())
     drawn = total - F.ceil(F.lit(share) * total)
     exact = F.col(size) / F.greatest(total, F.lit(1)) * drawn
     parts = counts.withColumn("__floor", F.floor(exact)).withColumn("__rest", exact - F.col("__floor"))
-    spare = drawn - F.sum("__floor").over(EVERYTHING)
-    place = F.row_number().over(EVERYTHING.orderBy(F.desc("__rest"), "__stratum"))
+    spare = drawn - F.sum("__floor").over(everything())
+    place = F.row_number().over(everything().orderBy(F.desc("__rest"), "__stratum"))
     return (
         parts.withColumn("__spare", spare)
         .withColumn("__place", place)

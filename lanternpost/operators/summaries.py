@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import labels, lexicon as lx
 
-EVERYTHING = Window.partitionBy()
+
+
+def everything() -> WindowSpec:
+    """Window over a whole table; only for tables of a few rows, such as class counts."""
+    return Window.partitionBy()
 
 
 def vocabulary(spark: SparkSession, values: list, name: str, kind: str = "string") -> DataFrame:
@@ -35,7 +39,7 @@ def tag_summary(df: DataFrame, tags: str, delimiters: str = ",") -> DataFrame:
     )
     vocab = vocabulary(df.sparkSession, lx.TAGS, "Tag")
     filled = vocab.join(counted, "Tag", "left").select("Tag", "position", F.coalesce("n", F.lit(0)).alias("Count"))
-    total = F.sum("Count").over(EVERYTHING)
+    total = F.sum("Count").over(everything())
     percent = F.when(total > 0, F.round(100 * F.col("Count") / total, 2)).otherwise(0.0)
     return filled.withColumn("Percent", percent).orderBy(F.desc("Count"), "position").drop("position")
 
@@ -56,13 +60,13 @@ def class_counts(df: DataFrame, column: str, classes: list, kind: str = "string"
 def inverse_weights(counts: DataFrame) -> DataFrame:
     """1 / (n + 1e-5), scaled so that the weights sum to the number of classes."""
     raw = 1.0 / (F.col("n") + F.lit(1e-5))
-    scaled = F.col("raw") / F.sum("raw").over(EVERYTHING) * F.count(F.lit(1)).over(EVERYTHING)
+    scaled = F.col("raw") / F.sum("raw").over(everything()) * F.count(F.lit(1)).over(everything())
     return counts.withColumn("raw", raw).withColumn("weight", scaled).drop("raw")
 
 
 def balanced_weights(counts: DataFrame) -> DataFrame:
     """N / (K * n), NULL for an empty class."""
-    rows, classes = F.sum("n").over(EVERYTHING), F.count(F.lit(1)).over(EVERYTHING)
+    rows, classes = F.sum("n").over(everything()), F.count(F.lit(1)).over(everything())
     return counts.withColumn("weight", F.when(F.col("n") > 0, rows / (classes * F.col("n"))))
 
 
