@@ -34,7 +34,7 @@ def packed(sents: Column, budget: int = CHUNK_WORDS, min_chars: int = MIN_CHARS)
     """
 
     def build(parts: Column) -> Column:
-        counts = F.transform(parts, word_count)
+        counts = F.transform(parts, lambda s: F.size(F.split(s, " ")))
         first = F.struct(
             F.lit(0).alias("at"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("starts")
         )
@@ -58,8 +58,7 @@ def packed(sents: Column, budget: int = CHUNK_WORDS, min_chars: int = MIN_CHARS)
 
         return bound(starts, cut)
 
-    chunks = F.when(F.size(sents) > 0, bound(sents, build)).otherwise(F.array().cast("array<string>"))
-    return F.filter(chunks, lambda c: F.length(c) >= min_chars)
+    return F.filter(bound(sents, build), lambda c: F.length(c) >= min_chars)
 
 
 def word_windows(text: Column, width: int = CHUNK_WORDS, min_chars: int = MIN_CHARS) -> Column:
@@ -94,7 +93,11 @@ def chunk_rows(
     budget: int = CHUNK_WORDS,
     min_chars: int = MIN_CHARS,
 ) -> DataFrame:
-    """One row per chunk: doc_id, source, intent, concern, tags, text (and the base id and ordinal)."""
+    """One row per chunk: doc_id, source, intent, concern, tags, text (and the base id and ordinal).
+
+    The outer explode keeps Spark from testing the array's size in a filter below it, which
+    would chunk every text again.
+    """
     require_columns(source, [c for c in (text_col, intent_col, concern_col) if c])
     if id_col not in source.columns:
         raise ValueError(f"missing column(s): {id_col}; number the rows with surrogate_ids first")
@@ -110,8 +113,8 @@ def chunk_rows(
     concern = concern_kb(F.col(concern_col)) if concern_col else F.lit("")
     return kept.select(
         "base_id", intent.alias("intent"), concern.alias("concern"), F.size("__pieces").alias("n_pieces"),
-        F.posexplode("__pieces").alias("__pos", "text"),
-    ).select(
+        F.posexplode_outer("__pieces").alias("__pos", "text"),
+    ).where(F.col("text").isNotNull()).select(
         F.when(F.col("n_pieces") > 1, F.concat("base_id", F.lit("_c"), F.col("__pos") + 1))
         .otherwise(F.col("base_id")).alias("doc_id"),
         "base_id",

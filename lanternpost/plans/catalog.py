@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import tagging
+from . import evaluation, knowledge, replies, search, storage, tagging
 
-MODULES = [tagging]
+REGISTRIES = [m.registry for m in (tagging, knowledge, search, replies, evaluation, storage)]
 
-QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
-ORACLE = {name: text for m in MODULES for name, text in m.ORACLE.items()}
+QUERIES = {name: fn for r in REGISTRIES for name, fn in r.queries.items()}
+ORACLE = {name: text for r in REGISTRIES for name, text in r.oracle.items()}

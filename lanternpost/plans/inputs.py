@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.vectors import encoded
+from ..functions.vectors import cosine, encoded
 from ..operators.knowledge import chunk_rows
-from ..sources.readers import table
+from ..sources.readers import spread, table
 from . import sql
 
 PHRASES = [
@@ -57,7 +57,7 @@ def _pick(values: list, index: Column) -> Column:
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.col("doc_id")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id",
         F.concat("text", F.lit(" "), _pick(PHRASES, doc)).alias("post"),
         _pick(TAG_STRINGS, doc).alias("tag"),
@@ -75,7 +75,7 @@ POSTS = f"""posts AS (SELECT doc_id, text || ' ' || {sql.pick(PHRASES, 'doc_id')
 
 def kb_source(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.col("doc_id")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id",
         F.col("text").alias("output"),
         _pick(lx.TAGS, doc).alias("Final_Intent_Tag"),
@@ -191,8 +191,6 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("mean")
     )
     ordered = means.agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("m"))
-    from ..functions.vectors import cosine
-
     prob = F.transform("__m", lambda m: F.round((1.0 + cosine(F.col("v"), m["mean"])) / 2.0, 6))
     own = [
         ((F.col("label") == i) | ((F.col("vec_id") % 3 == 0) & ((F.col("label") + 1) % len(LABELS) == i))).cast("int")

@@ -129,11 +129,11 @@ def chunked(source: str, key: str, text: str, budget: int = 140, least: int = 20
         f"""alone AS (SELECT k, any_value(piece) AS piece FROM packed GROUP BY k
             HAVING count(*) = 1 AND {word_count('any_value(piece)')} > {2 * budget})""",
         f"alone_words AS (SELECT k, {words('piece')} AS w FROM alone)",
-        f"""windows AS (SELECT k, at, array_to_string(list_slice(w, at + 1, at + {budget}), ' ') AS piece
-            FROM (SELECT k, w, unnest(range(0, len(w), {budget})) AS at FROM alone_words))""",
+        f"""windows AS (SELECT k, pos, array_to_string(list_slice(w, pos + 1, pos + {budget}), ' ') AS piece
+            FROM (SELECT k, w, unnest(range(0, len(w), {budget})) AS pos FROM alone_words))""",
         f"""pieces AS (
             SELECT k, part AS o, piece FROM packed WHERE k NOT IN (SELECT k FROM alone)
-            UNION ALL SELECT k, at AS o, piece FROM windows WHERE length(piece) >= {least})""",
+            UNION ALL SELECT k, pos AS o, piece FROM windows WHERE length(piece) >= {least})""",
         f"""chunked AS (SELECT k AS {key}, row_number() OVER (PARTITION BY k ORDER BY o) AS chunk_no,
             count(*) OVER (PARTITION BY k) AS n_pieces, piece AS text FROM pieces)""",
     ]

@@ -9,20 +9,10 @@ from ..functions import labels as lb, lexicon as lx, rules, text as tx
 from ..operators import knowledge, ordering, splits, summaries, tagging
 from . import inputs, sql
 from .inputs import POSTS, posts
+from .registry import Registry
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if oracle:
-            ORACLE[name] = oracle
-        return fn
-
-    return register
-
+registry = Registry()
+query = registry.query
 
 # --- SQL pieces ---------------------------------------------------------------
 
