@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PARALLEL_FITS = 4
+
 
 def with_features(df: DataFrame, vector: str, name: str = "features") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.col(vector).cast("array<double>")))
@@ -40,17 +45,20 @@ def fit_per_label(
         sums = ready.agg(
             F.count(F.lit(1)).alias("rows"), *[F.sum(F.element_at(truth, i + 1)).alias(f"p{i}") for i in range(len(labels))]
         ).first()
-        rows, models = sums["rows"], []
-        for i in range(len(labels)):
+        rows = sums["rows"]
+
+        @inheritable_thread_target(train.sparkSession)
+        def fit(i: int) -> LogisticRegressionModel | None:
             positive = sums[f"p{i}"] or 0
             if positive in (0, rows):
-                models.append(None)
-                continue
+                return None
             weights = _balanced({0: rows - positive, 1: positive}, rows) if balanced else {}
             one = ready.withColumn("y", F.element_at(truth, i + 1).cast("double"))
             one = one.withColumn("w", _by_class(weights, F.col("y")) if weights else F.lit(1.0))
-            models.append(_estimator(rows, c, max_iter, family="binomial").fit(one))
-        return models
+            return _estimator(rows, c, max_iter, family="binomial").fit(one)
+
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            return list(pool.map(fit, range(len(labels))))
     finally:
         ready.unpersist()
 

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import with_running_sums
-from .summaries import vocabulary
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -131,12 +130,8 @@ def argmax(prob: Column) -> Column:
 def confusion(df: DataFrame, true: str, pred: str, labels: list, kind: str = "string") -> DataFrame:
     """(true, pred, n) for every pair of labels, zeros included."""
     counted = df.groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
-    names = F.array(*[F.lit(x) for x in labels])
-    grid = (
-        df.sparkSession.range(1)
-        .select(F.explode(names).alias("true"))
-        .select(F.col("true").cast(kind), F.explode(names).cast(kind).alias("pred"))
-    )
+    names = F.array(*[F.lit(x) for x in labels]).cast(f"array<{kind}>")
+    grid = df.sparkSession.range(1).select(F.explode(names).alias("true")).select("true", F.explode(names).alias("pred"))
     return grid.join(counted, ["true", "pred"], "left").select("true", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -63,17 +63,21 @@ def either_shape(df: DataFrame) -> DataFrame:
 
 
 def salvaged_json(text: Column, schema: T.StructType) -> Column:
-    """The JSON object in noisy output: the whole text, else the block from a brace to the end.
+    """The JSON object in noisy output: the whole text, else the block from the first brace to the
+    last closing brace at a line end.
 
-    NULL if neither parses; parse checks come first because a lenient parse of malformed
-    text gives a struct of NULLs.
+    NULL if neither is exactly one object.  The text is parsed inside brackets because a
+    bare object with trailing words would still parse; the strict check comes first because
+    a lenient parse of malformed text gives a struct of NULLs.
     """
-    block = F.regexp_extract(text, r"(?s)(\{.*\}\s*)\z", 1)
+    block = F.regexp_extract(text, r"(?smd)(\{.*\}\s*)$", 1)
 
-    def parses(c: Column) -> Column:
-        return F.try_parse_json(c).isNotNull()
+    def only_object(c: Column) -> Column:
+        listed = F.concat(F.lit("["), c, F.lit("]"))
+        objects = F.from_json(listed, T.ArrayType(schema))
+        return F.when(F.try_parse_json(listed).isNotNull() & (F.size(objects) == 1), F.element_at(objects, 1))
 
-    return F.when(parses(text), F.from_json(text, schema)).when(parses(block), F.from_json(block, schema))
+    return F.coalesce(only_object(text), only_object(block))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
