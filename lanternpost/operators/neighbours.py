@@ -195,14 +195,16 @@ def _cell_plan(
     kb_cells = _nearest_pivot(kb, ids[1], vectors[1], pivots, ("kb_id", "kb_vec"))
 
     # A zero vector has similarity 0 with everything, so only its smallest ids can ever rank.
-    zeros = kb_cells.where("cell = -1").orderBy("kb_id").limit(k).select("kb_id")
-    smallest = kb_cells.orderBy("kb_id").limit(k).select("kb_id")
+    def first_ids(df: DataFrame) -> Column:
+        return df.orderBy("kb_id").limit(k).agg(F.array_sort(F.collect_list("kb_id"))).scalar()
+
     zero_hits = (
-        q_cells.withColumn("one", F.lit(1)).where("cell >= 0").join(F.broadcast(zeros.withColumn("one", F.lit(1))), "one")
-    ).unionByName(
-        q_cells.withColumn("one", F.lit(1)).where("cell = -1").join(F.broadcast(smallest.withColumn("one", F.lit(1))), "one")
+        q_cells.select("query_id", "cell")
+        .withColumn("zeros", first_ids(kb_cells.where("cell = -1")))
+        .withColumn("all", first_ids(kb_cells))
+        .select("query_id", F.explode(F.when(F.col("cell") < 0, F.col("all")).otherwise(F.col("zeros"))).alias("kb_id"))
+        .withColumn("similarity", F.lit(0.0))
     )
-    zero_hits = zero_hits.select("query_id", "kb_id", F.lit(0.0).alias("similarity"))
     if floor is not None:
         zero_hits = zero_hits.where(F.col("similarity") >= floor)
 
