@@ -1,0 +1,9 @@
+"""Rules, retrieval, reply checks and evaluation for short posts, as Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel with their code, so executors need no copy of
+# this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

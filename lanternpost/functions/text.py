@@ -34,7 +34,7 @@ def strip(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Collapse runs of white space to one blank and strip the ends."""
-    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    return F.array_join(words(c), " ")
 
 
 def one_line(c: Column) -> Column:
@@ -42,8 +42,11 @@ def one_line(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """White-space separated words; an empty array for blank text."""
-    return F.filter(F.split(squeeze(c), " "), lambda w: w != "")
+    """White-space separated words; an empty array for blank text.
+
+    Every kind of white space becomes a blank first, so the split is on one character.
+    """
+    return F.array_remove(F.split(F.translate(c, SPACE_CHARS, " " * len(SPACE_CHARS)), " "), "")
 
 
 def word_count(c: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from .ordering import with_running_sums
 
 
@@ -61,16 +62,21 @@ def f1_scores(counts: DataFrame) -> DataFrame:
     )
 
 
-def score_steps(long: DataFrame) -> DataFrame:
-    """Per label and distinct score: rows and positives at or above it."""
+def score_table(long: DataFrame) -> DataFrame:
+    """Rows and positives per label and distinct score, kept so that scoring runs once."""
     grouped = long.groupBy("label", "prob").agg(F.sum("truth").alias("pos"), F.count(F.lit(1)).alias("n"))
+    return stored(grouped, "scores")
+
+
+def score_steps(grouped: DataFrame) -> DataFrame:
+    """Rows and positives at or above each distinct score of a label."""
     return with_running_sums(grouped, "prob", {"pos_above": "pos", "n_above": "n"}, ["label"], descending=True)
 
 
 def average_precision(long: DataFrame) -> DataFrame:
     """Step-wise average precision per label; equal scores form one step; 0 without positives."""
     precision = F.col("pos") * (F.col("pos_above") / F.col("n_above"))
-    return score_steps(long).groupBy("label").agg(ratio(F.sum(precision), F.sum("pos")).alias("average_precision"))
+    return score_steps(score_table(long)).groupBy("label").agg(ratio(F.sum(precision), F.sum("pos")).alias("average_precision"))
 
 
 def classification_report(wide: DataFrame, labels: list, predicted: Column) -> DataFrame:

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from .ordering import per_group
 
 BROADCAST_BYTES = 16 << 20
@@ -191,8 +192,8 @@ def _cell_plan(
     schema = _result_schema(queries, ids[0], kb, ids[1])
     size = kb.count()
     pivots = _pivots(kb, ids[1], vectors[1], int(min(MAX_PIVOTS, max(1, size**0.5 / 4))))
-    q_cells = _nearest_pivot(queries, ids[0], vectors[0], pivots, ("query_id", "q_vec"))
-    kb_cells = _nearest_pivot(kb, ids[1], vectors[1], pivots, ("kb_id", "kb_vec"))
+    q_cells = stored(_nearest_pivot(queries, ids[0], vectors[0], pivots, ("query_id", "q_vec")), "query-cells")
+    kb_cells = stored(_nearest_pivot(kb, ids[1], vectors[1], pivots, ("kb_id", "kb_vec")), "kb-cells")
 
     # A zero vector has similarity 0 with everything, so only its smallest ids can ever rank.
     def first_ids(df: DataFrame) -> Column:
@@ -209,7 +210,7 @@ def _cell_plan(
         zero_hits = zero_hits.where(F.col("similarity") >= floor)
 
     live = kb_cells.where("cell >= 0")
-    home = _meet(q_cells.where("cell >= 0"), live, k, floor, schema)
+    home = stored(_meet(q_cells.where("cell >= 0"), live, k, floor, schema), "home-hits")
 
     # Floor of each query: its k-th similarity at home, if home has k.
     ranked = per_group(home, "query_id", F.desc("similarity"), "kb_id", k)

@@ -41,7 +41,7 @@ def _split(
     df: DataFrame, id_col: str, stratum: str | None, seed: int, name: str, cut_ranks: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """train/val/test along the id hash; ``cut_ranks`` adds the last ranks of train and val per stratum."""
-    keyed = df.withColumn("__stratum", F.col(stratum) if stratum else F.lit(0)).withColumn("__hash", id_hash(id_col, seed))
+    keyed = df.withColumn("__stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")).withColumn("__hash", id_hash(id_col, seed))
     keys = keyed.select("__stratum", "__hash", F.substring("__hash", 1, PREFIX).alias("__prefix"))
     histogram = keys.groupBy("__stratum", "__prefix").agg(F.count(F.lit(1)).alias("__n"))
     sizes = histogram.groupBy("__stratum").agg(F.sum("__n").alias("__size"))
@@ -65,12 +65,7 @@ def _split(
     )
 
     part = F.when(F.col("__hash") <= F.col("__h0"), "train").when(F.col("__hash") <= F.col("__h1"), "val").otherwise("test")
-    same = F.col("__stratum").eqNullSafe(F.col("__s"))
-    return (
-        keyed.join(limits.withColumnRenamed("__stratum", "__s"), same, "left")
-        .withColumn(name, part)
-        .select(*df.columns, name)
-    )
+    return keyed.join(limits, "__stratum", "left").withColumn(name, part).select(*df.columns, name)
 
 
 def three_way_split(

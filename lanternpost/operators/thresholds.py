@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from .metrics import f1, score_steps
+from .metrics import f1, score_steps, score_table
 from .summaries import vocabulary
 
 # Grid of the global sweep: start, step and number of values of 0.05 ... 0.94.
@@ -61,8 +61,9 @@ def best_global(swept: DataFrame) -> DataFrame:
 
 def best_per_label(long: DataFrame) -> DataFrame:
     """(label, threshold, f1): best F1 along the precision-recall curve, the lowest threshold on ties."""
-    steps = score_steps(long)
-    support = long.groupBy("label").agg(F.sum("truth").alias("support"))
+    grouped = score_table(long)
+    steps = score_steps(grouped)
+    support = grouped.groupBy("label").agg(F.sum("pos").alias("support"))
     precision = F.col("pos_above") / F.col("n_above")
     recall = F.when(F.col("support") > 0, F.col("pos_above") / F.col("support")).otherwise(1.0)
     score = 2 * precision * recall / (precision + recall + F.lit(1e-9))

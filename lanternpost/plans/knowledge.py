@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx, vectors as vx
 from ..operators import knowledge
 from . import inputs, sql
-from .inputs import table
+from .inputs import spread, table
 from .registry import Registry
 
 registry = Registry()
@@ -21,7 +21,7 @@ query = registry.query
     SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM l""",
 )
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    split = table(spark, sf, "documents").select("doc_id", tx.sentences(F.col("text")).alias("s"))
+    split = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", tx.sentences(F.col("text")).alias("s"))
     return split.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("sentences_md5"))
 
 
@@ -44,7 +44,7 @@ _PLAIN = [
 @query("forced_chunks", sql.with_ctes(_PLAIN, "SELECT doc_id, chunk_no, md5(text) AS text_md5 FROM chunked"))
 def forced_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Texts without sentence marks are one sentence; the long ones are cut into word windows."""
-    plain = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[.!?]", "").alias("output"))
+    plain = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", F.regexp_replace("text", "[.!?]", "").alias("output"))
     return knowledge.chunk_rows(plain, intent_col=None, concern_col=None).select(
         F.col("base_id").cast("bigint").alias("doc_id"), "chunk_no", F.md5("text").alias("text_md5")
     )
@@ -69,7 +69,7 @@ def whole_answers(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def kb_counters(spark: SparkSession, sf: str) -> DataFrame:
-    return knowledge.counters(table(spark, sf, "documents"), "text")
+    return knowledge.counters(spread(table(spark, sf, "documents"), "doc_id"), "text")
 
 
 @query(
@@ -80,7 +80,7 @@ def kb_counters(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def hashed_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = table(spark, sf, "documents").select("doc_id", vx.encoded(F.col("text")).alias("v"))
+    vectors = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", vx.encoded(F.col("text")).alias("v"))
     rounded = F.transform("v", lambda x: F.round(x * 1e6).cast("bigint").cast("string"))
     return vectors.select("doc_id", F.array_join(rounded, ",").alias("millionths"))
 

@@ -45,7 +45,7 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     mix = F.col("conv_id") * 7 + F.col("turn")
     return pairs(spark, sf).select(
         F.col("query_id").alias("post_id"),
-        F.posexplode(F.array(inputs._pick(inputs.REPLIES, mix), F.lower("reply"), F.substring("reply", 2, 100000))).alias("attempt", "reply"),
+        F.posexplode(F.array(inputs._pick(inputs.REPLIES, mix), F.lower("reply"), F.substr("reply", F.lit(2)))).alias("attempt", "reply"),
     )
 
 
@@ -111,7 +111,7 @@ _QUOTED = "CASE WHEN turn % 4 = 0 THEN substr(reply, 5) ELSE post END"
     ),
 )
 def grounded_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    snippet = F.when(F.col("turn") % 4 == 0, F.substring("reply", 5, 100000)).otherwise(F.col("post"))
+    snippet = F.when(F.col("turn") % 4 == 0, F.substr("reply", F.lit(5))).otherwise(F.col("post"))
     checked = replies.checked_replies(pairs(spark, sf).select("query_id", "reply", snippet.alias("snippet")), "reply", "snippet")
     return checked.select("query_id", "overlap", F.round("ratio", 6).alias("ratio"), "grounded", "copied")
 

@@ -14,6 +14,7 @@ from ..functions import labels as lb
 from ..functions.vectors import encoded
 from ..operators import metrics, replies, retrieval, tagging
 from ..sources import readers, schemas, sinks
+from ..sources.storage import shared_folder
 from ..streaming import jobs
 from . import evaluation, inputs, search, sql
 from .inputs import PAIRS, POSTS, pairs, posts, table
@@ -35,7 +36,7 @@ query = registry.query
 def csv_post_table(spark: SparkSession, sf: str) -> DataFrame:
     """Posts with newlines and quotes written as CSV, read back and canonicalised."""
     quoted = F.concat(F.lit('"'), "post", F.lit('\n"'))
-    path = sinks.shared_folder(spark, "posts-csv")
+    path = shared_folder(spark, "posts-csv")
     sinks.write_csv(posts(spark, sf).select(quoted.alias("Text"), F.col("tag").alias("Final_Tags")), path)
     schema = T.StructType([T.StructField("Text", T.StringType()), T.StructField("Final_Tags", T.StringType())])
     parsed = tagging.post_table(readers.read_csv(spark, path, schema))
@@ -51,7 +52,7 @@ def csv_post_table(spark: SparkSession, sf: str) -> DataFrame:
 )
 def jsonl_knowledge_base(spark: SparkSession, sf: str) -> DataFrame:
     """Corpus and metadata written in one pass, read back and joined by id."""
-    folder = sinks.shared_folder(spark, "kb")
+    folder = shared_folder(spark, "kb")
     sinks.write_knowledge_base(inputs.kb_chunks(spark, sf), f"{folder}/corpus", f"{folder}/metadata")
     corpus = readers.read_jsonl(spark, f"{folder}/corpus", schemas.KB_CORPUS)
     meta = readers.read_jsonl(spark, f"{folder}/metadata", schemas.KB_METADATA)
@@ -69,7 +70,7 @@ def jsonl_knowledge_base(spark: SparkSession, sf: str) -> DataFrame:
 )
 def vector_table(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors stored as float arrays by id and loaded again."""
-    path = sinks.shared_folder(spark, "vectors")
+    path = shared_folder(spark, "vectors")
     made = inputs.spread(table(spark, sf, "documents"), "doc_id").select("doc_id", encoded(F.col("text")).alias("embedding"))
     sinks.write_vectors(made, path)
     v = F.col("embedding").cast("array<double>")
@@ -113,7 +114,7 @@ def malformed_lines(spark: SparkSession, sf: str) -> DataFrame:
         .when(doc % 5 == 2, F.concat(F.lit("\n"), good, F.lit("\n")))
         .otherwise(good)
     )
-    path = sinks.shared_folder(spark, "gold")
+    path = shared_folder(spark, "gold")
     table(spark, sf, "documents").select(line.alias("value")).write.mode("overwrite").text(path)
     read = readers.read_jsonl_tolerant(spark, path, schemas.GOLD).cache()
     bad, _ = readers.usable_rows(read, "post")
@@ -132,7 +133,7 @@ def two_shape_predictions(spark: SparkSession, sf: str) -> DataFrame:
     wrapped = base.where("turn % 4 = 0").select(
         "post", F.struct(F.when(F.col("turn") % 8 == 0, F.col("reply")).alias("reply"), F.lit("none").alias("crisis_level")).alias("rag_output")
     )
-    path = sinks.shared_folder(spark, "predictions")
+    path = shared_folder(spark, "predictions")
     sinks.write_jsonl(flat.unionByName(wrapped, allowMissingColumns=True), path, keep_nulls=False)
     read = readers.either_shape(readers.read_jsonl(spark, path, schemas.ANY_PREDICTION))
     return read.select(F.md5("post").alias("post_md5"), "reply", F.size("citations").alias("n_citations"))
@@ -153,7 +154,7 @@ def search_export(spark: SparkSession, sf: str) -> DataFrame:
     queries = inputs.vector_queries(spark, sf).withColumn("intents", F.array().cast("array<string>")).withColumn("concern", F.lit(None).cast("string"))
     found = retrieval.filtered_search(queries, inputs.snippet_vectors(spark, sf), topk=5, keep=5)
     nested = retrieval.search_documents(found, queries.withColumn("query", F.concat(F.lit("vector "), "query_id")), 280)
-    path = sinks.shared_folder(spark, "search")
+    path = shared_folder(spark, "search")
     sinks.write_search_results(nested, path)
     read = readers.read_jsonl(spark, path, nested.schema)
     ids = F.col("results")["doc_id"].cast("array<string>")
@@ -172,7 +173,7 @@ def metrics_document(spark: SparkSession, sf: str) -> DataFrame:
     counts = evaluation._counts(spark, sf, 0.6)
     per_label = metrics.per_label_f1(counts).agg(F.map_from_entries(F.collect_list(F.struct("label", "f1"))).alias("per_label_f1"))
     document = per_label.withColumn("macro_f1", metrics.f1_scores(counts).select("macro_f1").scalar())
-    path = sinks.shared_folder(spark, "metrics")
+    path = shared_folder(spark, "metrics")
     sinks.write_metrics(document, path, "baseline", "r1")
     schema = "per_label_f1 map<string, double>, macro_f1 double, run_id string"
     read = spark.read.schema(schema).json(path)
@@ -199,7 +200,7 @@ def stream_scoring(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "conversations").schema
     turns = jobs.file_stream(spark, sf, schema, fmt="parquet", files="conversations.parquet").where("role = 'user'")
     planted = F.concat("text", F.lit(" "), inputs._pick(inputs.PHRASES, F.col("conv_id") + F.col("turn")))
-    folder = sinks.shared_folder(spark, "scoring")
+    folder = shared_folder(spark, "scoring")
     started = jobs.start_scoring(turns.select("conv_id", "turn", planted.alias("post")), f"{folder}/out", f"{folder}/state")
     started.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("conv_id", "turn", "intent", "crisis_level")
@@ -237,7 +238,7 @@ def _log_counts(log: DataFrame) -> DataFrame:
 def routed_log_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Audit records appended under bucket and day, then counted from the files."""
     records = replies.audit_records(_interactions(table(spark, sf, "events")), snippets=F.lit(0), **_COLUMNS)
-    path = sinks.shared_folder(spark, "log")
+    path = shared_folder(spark, "log")
     sinks.append_log(records, path)
     wide = T.StructType([*schemas.INTERACTION.fields, T.StructField("bucket", T.StringType()), T.StructField("day", T.StringType())])
     return _log_counts(spark.read.schema(wide).json(path))
@@ -248,7 +249,7 @@ def streamed_log_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The same log written by a stream, one folder per micro-batch."""
     schema = table(spark, sf, "events").schema
     events = jobs.file_stream(spark, sf, schema, fmt="parquet", files="events.parquet")
-    folder = sinks.shared_folder(spark, "stream-log")
+    folder = shared_folder(spark, "stream-log")
     started = jobs.start_audit_log(_interactions(events), f"{folder}/out", f"{folder}/state", snippets=F.lit(0), **_COLUMNS)
     started.awaitTermination()
     return _log_counts(jobs.read_audit_log(spark, f"{folder}/out", schemas.INTERACTION))

@@ -210,11 +210,11 @@ def concern_norm_kb(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "concern_norm_strict",
     f"""WITH {POSTS}, n AS (SELECT doc_id, {_strict('concern')} AS level FROM posts)
-    SELECT doc_id, level, CASE level WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 END AS code FROM n""",
+    SELECT doc_id, level, CASE level WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE -1 END AS code FROM n""",
 )
 def concern_norm_strict(spark: SparkSession, sf: str) -> DataFrame:
     leveled = posts(spark, sf).select("doc_id", lb.concern_strict(F.col("concern")).alias("level"))
-    return leveled.withColumn("code", lb.concern_code(F.col("level")))
+    return leveled.withColumn("code", F.coalesce(lb.concern_code(F.col("level")), F.lit(-1)))
 
 
 @query(
