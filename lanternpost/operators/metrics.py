@@ -25,10 +25,15 @@ def f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 
 def long_form(wide: DataFrame, labels: list, *keep: str) -> DataFrame:
-    """(…, position, label, truth, prob): one row per example and label."""
+    """(…, position, label, truth, prob): one row per example and label.
+
+    The outer explode keeps Spark from testing the array below it, which would compute the
+    probabilities twice.
+    """
     names = F.array(*[F.lit(x) for x in labels])
     cells = F.arrays_zip(names.alias("label"), F.col("truth").alias("truth"), F.col("prob").alias("prob"))
-    return wide.select(*keep, F.posexplode(cells).alias("position", "cell")).select(
+    exploded = wide.select(*keep, F.posexplode_outer(cells).alias("position", "cell")).where(F.col("position").isNotNull())
+    return exploded.select(
         *keep, "position", F.col("cell.label").alias("label"), F.col("cell.truth").alias("truth"), F.col("cell.prob").alias("prob")
     )
 
@@ -82,55 +87,68 @@ def average_precision(long: DataFrame) -> DataFrame:
 def classification_report(wide: DataFrame, labels: list, predicted: Column) -> DataFrame:
     """precision, recall, f1, support per label, then micro, macro, weighted and samples averages.
 
-    ``predicted`` is an ``array<int>`` column in label order.
+    ``predicted`` is an ``array<int>`` column in label order.  One pass collects all counts in
+    a single row; the averages are computed from that row.
     """
-    decided_rows = wide.withColumn("prob", predicted)
-    counts = label_counts(long_form(decided_rows, labels), F.col("prob").cast("int"))
-    p = ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    r = ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    f = f1(F.col("tp"), F.col("fp"), F.col("fn"))
-    rows = counts.select(F.col("label").cast("string").alias("name"), p.alias("precision"), r.alias("recall"), f.alias("f1"), "support")
-    total = F.sum("support")
-    micro = counts.agg(
-        ratio(F.sum("tp"), F.sum("tp") + F.sum("fp")).alias("precision"),
-        ratio(F.sum("tp"), F.sum("tp") + F.sum("fn")).alias("recall"),
-        f1(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("f1"),
-        total.alias("support"),
-    ).select(F.lit("micro avg").alias("name"), "precision", "recall", "f1", "support")
-    macro = rows.agg(
-        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), total.alias("support")
-    ).select(F.lit("macro avg").alias("name"), "precision", "recall", "f1", "support")
-
-    def weighted(c: str) -> Column:
-        return ratio(F.sum(F.col(c) * F.col("support")), total).alias(c)
-
-    weighted_row = rows.agg(weighted("precision"), weighted("recall"), weighted("f1"), total.alias("support")).select(
-        F.lit("weighted avg").alias("name"), "precision", "recall", "f1", "support"
+    rows = wide.select("truth", predicted.alias("said"))
+
+    def both(i: int, truth: int, said: int) -> Column:
+        return F.count_if((F.element_at("truth", i + 1) == truth) & (F.element_at("said", i + 1) == said))
+
+    counts = [
+        F.struct(
+            F.lit(str(label)).alias("name"), both(i, 1, 1).alias("tp"), both(i, 0, 1).alias("fp"), both(i, 1, 0).alias("fn")
+        )
+        for i, label in enumerate(labels)
+    ]
+    ones = F.lit(1)
+    hits = F.size(F.filter(F.zip_with("truth", "said", lambda t, p: t + p), lambda x: x == 2))
+    true = F.size(F.filter("truth", lambda x: x == ones))
+    said = F.size(F.filter("said", lambda x: x == ones))
+    totals = rows.agg(
+        F.array(*counts).alias("c"),
+        F.avg(ratio(hits, said)).alias("sp"),
+        F.avg(ratio(hits, true)).alias("sr"),
+        F.avg(ratio(2.0 * hits, true + said)).alias("sf"),
     )
 
-    def count(keep) -> Column:
-        return F.size(F.filter(F.arrays_zip("truth", "prob"), keep))
+    def line(name, precision, recall, score, support) -> Column:
+        return F.struct(
+            name.alias("name"), precision.alias("precision"), recall.alias("recall"), score.alias("f1"),
+            support.cast("bigint").alias("support"),
+        )
+
+    def scored(tp: Column, fp: Column, fn: Column, name: Column) -> Column:
+        return line(name, ratio(tp, tp + fp), ratio(tp, tp + fn), f1(tp, fp, fn), tp + fn)
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
-    sample = decided_rows.select(
-        count(lambda c: (c["truth"] == 1) & (c["prob"] == 1)).alias("both"),
-        count(lambda c: c["truth"] == 1).alias("true"),
-        count(lambda c: c["prob"] == 1).alias("said"),
+    per_label = totals.withColumn("r", F.transform("c", lambda x: scored(x["tp"], x["fp"], x["fn"], x["name"])))
+    r, c, n = F.col("r"), F.col("c"), F.lit(len(labels))
+    support = total(r["support"])
+
+    def weighted(field: str) -> Column:
+        return ratio(total(F.zip_with(r[field], r["support"], lambda v, s: v * s)), support)
+
+    averages = F.array(
+        scored(total(c["tp"]), total(c["fp"]), total(c["fn"]), F.lit("micro avg")),
+        line(F.lit("macro avg"), total(r["precision"]) / n, total(r["recall"]) / n, total(r["f1"]) / n, support),
+        line(F.lit("weighted avg"), weighted("precision"), weighted("recall"), weighted("f1"), support),
+        line(F.lit("samples avg"), F.col("sp"), F.col("sr"), F.col("sf"), support),
     )
-    samples = sample.agg(
-        F.avg(ratio(F.col("both"), F.col("said"))).alias("precision"),
-        F.avg(ratio(F.col("both"), F.col("true"))).alias("recall"),
-        F.avg(ratio(2.0 * F.col("both"), F.col("true") + F.col("said"))).alias("f1"),
-        F.sum("true").alias("support"),
-    ).select(F.lit("samples avg").alias("name"), "precision", "recall", "f1", "support")
-    return rows.unionByName(micro).unionByName(macro).unionByName(weighted_row).unionByName(samples)
+    return per_label.select(F.inline(F.concat("r", averages)))
 
 
 # --- single label -------------------------------------------------------------
 
 
 def argmax(prob: Column) -> Column:
-    """Zero-based position of the largest entry, the first one on ties."""
-    return (F.array_position(prob, F.array_max(prob)) - 1).cast("int")
+    """Zero-based position of the largest entry, the first one on ties; -1 without entries.
+
+    Never NULL, so a later join on it adds no null test that would score every row again.
+    """
+    return F.coalesce(F.array_position(prob, F.array_max(prob)).cast("int"), F.lit(0)) - 1
 
 
 def confusion(df: DataFrame, true: str, pred: str, labels: list, kind: str = "string") -> DataFrame:

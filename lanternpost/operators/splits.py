@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import broadcast_if_small, stored
 from .summaries import everything
 
 PREFIX = 4
@@ -43,29 +44,37 @@ def _split(
     """train/val/test along the id hash; ``cut_ranks`` adds the last ranks of train and val per stratum."""
     keyed = df.withColumn("__stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")).withColumn("__hash", id_hash(id_col, seed))
     keys = keyed.select("__stratum", "__hash", F.substring("__hash", 1, PREFIX).alias("__prefix"))
-    histogram = keys.groupBy("__stratum", "__prefix").agg(F.count(F.lit(1)).alias("__n"))
+    histogram = stored(keys.groupBy("__stratum", "__prefix").agg(F.count(F.lit(1)).alias("__n")), "hash-histogram")
     sizes = histogram.groupBy("__stratum").agg(F.sum("__n").alias("__size"))
     cuts = cut_ranks(sizes).select("__stratum", F.posexplode(F.array("__train", "__val")).alias("__cut", "__rank"))
 
     earlier = Window.partitionBy("__stratum").orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
     placed = histogram.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    holding = placed.join(cuts, "__stratum").where(
-        (F.col("__before") < F.col("__rank")) & (F.col("__rank") <= F.col("__before") + F.col("__n"))
+    inside_range = (F.col("__before") < F.col("__rank")) & (F.col("__rank") <= F.col("__before") + F.col("__n"))
+    # At most two rows per stratum: the hash range each cut falls in, and its rank there.
+    holding = stored(
+        placed.join(cuts, "__stratum")
+        .where(inside_range)
+        .select("__stratum", "__prefix", "__cut", (F.col("__rank") - F.col("__before")).alias("__rank")),
+        "hash-cuts",
     )
-    inside = keys.join(holding.select("__stratum", "__prefix", "__before").distinct(), ["__stratum", "__prefix"])
-    order = Window.partitionBy("__stratum", "__prefix").orderBy("__hash")
-    ranked = inside.withColumn("__rank", F.col("__before") + F.row_number().over(order))
+    ranges = holding.groupBy("__stratum", "__prefix").agg(
+        F.max(F.when(F.col("__cut") == 0, F.col("__rank"))).alias("__r0"),
+        F.max(F.when(F.col("__cut") == 1, F.col("__rank"))).alias("__r1"),
+    )
+    inside = keys.join(broadcast_if_small(stored(ranges, "hash-ranges")), ["__stratum", "__prefix"])
+    place = F.row_number().over(Window.partitionBy("__stratum", "__prefix").orderBy("__hash"))
     limits = (
-        ranked.join(cuts, ["__stratum", "__rank"])
+        inside.withColumn("__place", place)
         .groupBy("__stratum")
         .agg(
-            F.max(F.when(F.col("__cut") == 0, F.col("__hash"))).alias("__h0"),
-            F.max(F.when(F.col("__cut") == 1, F.col("__hash"))).alias("__h1"),
+            F.max(F.when(F.col("__place") == F.col("__r0"), F.col("__hash"))).alias("__h0"),
+            F.max(F.when(F.col("__place") == F.col("__r1"), F.col("__hash"))).alias("__h1"),
         )
     )
-
     part = F.when(F.col("__hash") <= F.col("__h0"), "train").when(F.col("__hash") <= F.col("__h1"), "val").otherwise("test")
-    return keyed.join(limits, "__stratum", "left").withColumn(name, part).select(*df.columns, name)
+    cut_hashes = broadcast_if_small(stored(limits, "hash-limits"))
+    return keyed.join(cut_hashes, "__stratum", "left").withColumn(name, part).select(*df.columns, name)
 
 
 def three_way_split(

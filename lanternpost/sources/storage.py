@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -26,3 +29,8 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """A broadcast hint for a stored table of narrow rows whose row count is known to be small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
