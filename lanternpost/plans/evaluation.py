@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb, lexicon as lx
 from ..functions.vectors import sigmoid
-from ..operators import learners, metrics, splits, summaries, thresholds, zero_shot
+from ..operators import learners, metrics, splits, thresholds, zero_shot
 from . import inputs, sql
 from .inputs import LABELS, POSTS, PREDICTIONS, predictions
 from .registry import Registry
-from .tagging import _NAMES
+from .tagging import TAG_NAMES
 
 registry = Registry()
 query = registry.query
@@ -23,10 +23,10 @@ def _ratio(top: str, bottom: str) -> str:
     return f"CASE WHEN {bottom} > 0 THEN ({top})::DOUBLE / ({bottom}) ELSE 0.0::DOUBLE END"
 
 
-_F1 = _ratio("2 * tp", "2 * tp + fp + fn")
+F1_SQL = _ratio("2 * tp", "2 * tp + fp + fn")
 
 
-def _said(rule: str) -> list[str]:
+def said_rows(rule: str) -> list[str]:
     return [*PREDICTIONS, f"said AS (SELECT *, ({rule})::INT AS p FROM long)", _COUNTS]
 
 
@@ -34,25 +34,25 @@ def _long(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     return metrics.long_form(predictions(spark, sf), LABELS, *keep)
 
 
-def _counts(spark: SparkSession, sf: str, threshold: float, strict: bool = False) -> DataFrame:
+def counts_at(spark: SparkSession, sf: str, threshold: float, strict: bool = False) -> DataFrame:
     return metrics.label_counts(_long(spark, sf), metrics.decided(F.col("prob"), threshold, strict))
 
 
 @query(
     "f1_scores",
     sql.with_ctes(
-        _said("prob >= 0.6::DOUBLE"),
-        f"SELECT round(avg({_F1}), 6) AS macro_f1, round({_ratio('2 * sum(tp)', '2 * sum(tp) + sum(fp) + sum(fn)')}, 6) AS micro_f1 FROM counts",
+        said_rows("prob >= 0.6::DOUBLE"),
+        f"SELECT round(avg({F1_SQL}), 6) AS macro_f1, round({_ratio('2 * sum(tp)', '2 * sum(tp) + sum(fp) + sum(fn)')}, 6) AS micro_f1 FROM counts",
     ),
 )
 def f1_scores(spark: SparkSession, sf: str) -> DataFrame:
-    both = metrics.f1_scores(_counts(spark, sf, 0.6))
+    both = metrics.f1_scores(counts_at(spark, sf, 0.6))
     return both.select(F.round("macro_f1", 6).alias("macro_f1"), F.round("micro_f1", 6).alias("micro_f1"))
 
 
-@query("per_label_f1", sql.with_ctes(_said("prob > 0.6::DOUBLE"), f"SELECT label, round({_F1}, 6) AS f1, support FROM counts"))
+@query("per_label_f1", sql.with_ctes(said_rows("prob > 0.6::DOUBLE"), f"SELECT label, round({F1_SQL}, 6) AS f1, support FROM counts"))
 def per_label_f1(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.per_label_f1(_counts(spark, sf, 0.6, strict=True)).withColumn("f1", F.round("f1", 6))
+    return metrics.per_label_f1(counts_at(spark, sf, 0.6, strict=True)).withColumn("f1", F.round("f1", 6))
 
 
 _STEPS = [
@@ -79,8 +79,8 @@ _P, _R = _ratio("tp", "tp + fp"), _ratio("tp", "tp + fn")
     "classification_report",
     sql.with_ctes(
         [
-            *_said("prob >= 0.6::DOUBLE"),
-            f"rows_out AS (SELECT label AS name, {_P} AS precision, {_R} AS recall, {_F1} AS f1, support FROM counts)",
+            *said_rows("prob >= 0.6::DOUBLE"),
+            f"rows_out AS (SELECT label AS name, {_P} AS precision, {_R} AS recall, {F1_SQL} AS f1, support FROM counts)",
             "per_row AS (SELECT row_id, sum(truth * p) AS b, sum(truth) AS t, sum(p) AS s FROM said GROUP BY row_id)",
             f"""report AS (SELECT * FROM rows_out
             UNION ALL SELECT 'micro avg', {_ratio('sum(tp)', 'sum(tp) + sum(fp)')}, {_ratio('sum(tp)', 'sum(tp) + sum(fn)')}, {_ratio('2 * sum(tp)', '2 * sum(tp) + sum(fp) + sum(fn)')}, sum(support) FROM counts
@@ -131,7 +131,7 @@ def confusion_pivot(spark: SparkSession, sf: str) -> DataFrame:
             """classes AS (SELECT l.x, sum(n) FILTER (WHERE t = l.x AND p = l.x) AS tp, sum(n) FILTER (WHERE t <> l.x AND p = l.x) AS fp, sum(n) FILTER (WHERE t = l.x AND p <> l.x) AS fn
             FROM cells, (SELECT unnest(range(10)) AS x) l GROUP BY l.x)""",
         ],
-        f"SELECT round(sum(tp) / sum(tp + fn)::DOUBLE, 6) AS accuracy, round(avg({_F1}), 6) AS macro_f1 FROM classes WHERE tp + fp + fn > 0",
+        f"SELECT round(sum(tp) / sum(tp + fn)::DOUBLE, 6) AS accuracy, round(avg({F1_SQL}), 6) AS macro_f1 FROM classes WHERE tp + fp + fn > 0",
     ),
 )
 def accuracy_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,7 +219,7 @@ def _swept(source: str) -> list[str]:
         _ARANGE,
         f"cut AS (SELECT gi, t, label, sum(truth) FILTER (WHERE prob > t) AS tp0, count(*) FILTER (WHERE prob > t) AS said0, sum(truth) AS sup FROM {source}, grid GROUP BY gi, t, label)",
         "cut2 AS (SELECT gi, t, coalesce(tp0, 0) AS tp, said0 - coalesce(tp0, 0) AS fp, sup - coalesce(tp0, 0) AS fn FROM cut)",
-        f"swept AS (SELECT gi, t, round(avg({_F1}), 12) AS macro FROM cut2 GROUP BY gi, t)",
+        f"swept AS (SELECT gi, t, round(avg({F1_SQL}), 12) AS macro FROM cut2 GROUP BY gi, t)",
         "best AS (SELECT t, macro FROM swept WHERE macro > 0 ORDER BY macro DESC, gi LIMIT 1)",
     ]
 
@@ -249,7 +249,7 @@ _HALF = "md5('42:' || row_id) < '8'"
             f"said AS (SELECT l.*, (prob > coalesce((SELECT t FROM best), 0.0::DOUBLE))::INT AS p FROM long l WHERE NOT {_HALF})",
             _COUNTS,
         ],
-        f"SELECT round(avg({_F1}), 6) AS macro_f1, round({_ratio('2 * sum(tp)', '2 * sum(tp) + sum(fp) + sum(fn)')}, 6) AS micro_f1 FROM counts",
+        f"SELECT round(avg({F1_SQL}), 6) AS macro_f1, round({_ratio('2 * sum(tp)', '2 * sum(tp) + sum(fp) + sum(fn)')}, 6) AS micro_f1 FROM counts",
     ),
 )
 def heldout_f1(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,7 +310,7 @@ def zero_shot_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HUMAN = f"""pieces AS (SELECT doc_id, unnest(string_split_regex(coalesce(tag, ''), '[;,]')) AS raw FROM posts),
-    named AS (SELECT DISTINCT doc_id, {sql.lookup({**_NAMES, **lx.HUMAN_ALIASES}, "lower(trim(" + sql.strip('raw') + ", '\"'))")} AS tag FROM pieces),
+    named AS (SELECT DISTINCT doc_id, {sql.lookup({**TAG_NAMES, **lx.HUMAN_ALIASES}, "lower(trim(" + sql.strip('raw') + ", '\"'))")} AS tag FROM pieces),
     human AS (SELECT p.doc_id, p.tag AS raw_tag, coalesce(list(n.tag ORDER BY n.tag) FILTER (WHERE n.tag IS NOT NULL), ['Miscellaneous']) AS tags
         FROM posts p LEFT JOIN named n USING (doc_id) WHERE coalesce(p.tag, '') <> '' GROUP BY ALL)"""
 _GOLD = [

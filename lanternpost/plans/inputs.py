@@ -48,7 +48,7 @@ SNIPPETS = [
 ]
 
 
-def _pick(values: list, index: Column) -> Column:
+def pick(values: list, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
@@ -59,9 +59,9 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.col("doc_id")
     return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id",
-        F.concat("text", F.lit(" "), _pick(PHRASES, doc)).alias("post"),
-        _pick(TAG_STRINGS, doc).alias("tag"),
-        _pick(CONCERNS, doc).alias("concern"),
+        F.concat("text", F.lit(" "), pick(PHRASES, doc)).alias("post"),
+        pick(TAG_STRINGS, doc).alias("tag"),
+        pick(CONCERNS, doc).alias("concern"),
         "lang",
     )
 
@@ -78,8 +78,8 @@ def kb_source(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id",
         F.col("text").alias("output"),
-        _pick(lx.TAGS, doc).alias("Final_Intent_Tag"),
-        _pick(CONCERNS, doc).alias("Concern_Level"),
+        pick(lx.TAGS, doc).alias("Final_Intent_Tag"),
+        pick(CONCERNS, doc).alias("Concern_Level"),
     )
 
 
@@ -122,10 +122,10 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
         F.concat("conv_id", F.lit("-"), "turn").alias("query_id"),
         "conv_id",
         "turn",
-        F.concat("said", F.lit(" "), _pick(PHRASES, mix)).alias("post"),
-        F.concat("answer", _pick(TAILS, mix)).alias("reply"),
-        _pick(CONCERNS, mix).alias("concern"),
-        _pick(lx.TAGS, mix).alias("intent"),
+        F.concat("said", F.lit(" "), pick(PHRASES, mix)).alias("post"),
+        F.concat("answer", pick(TAILS, mix)).alias("reply"),
+        pick(CONCERNS, mix).alias("concern"),
+        pick(lx.TAGS, mix).alias("intent"),
     )
 
 
@@ -146,23 +146,23 @@ def snippet_vectors(spark: SparkSession, sf: str) -> DataFrame:
         F.col("vec_id").alias("doc_id"),
         F.col("embedding").cast("array<double>").alias("vector"),
         F.lit("csv").alias("source"),
-        _pick(lx.TAGS, F.col("label")).alias("intent"),
-        _pick(["Low", "Medium", "High"], v).alias("concern"),
-        _pick(SNIPPETS, v).alias("text"),
+        pick(lx.TAGS, F.col("label")).alias("intent"),
+        pick(["Low", "Medium", "High"], v).alias("concern"),
+        pick(SNIPPETS, v).alias("text"),
     )
 
 
 def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("vec_id")
-    wanted = _pick(lx.TAGS, F.col("label") + 1)
+    wanted = pick(lx.TAGS, F.col("label") + 1)
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("query_id"),
         F.col("embedding").cast("array<double>").alias("vector"),
         F.when(v % 4 == 0, F.array().cast("array<string>"))
         .when(v % 4 == 1, F.array(wanted))
-        .otherwise(F.array(wanted, _pick(lx.TAGS, F.col("label"))))
+        .otherwise(F.array(wanted, pick(lx.TAGS, F.col("label"))))
         .alias("intents"),
-        _pick(["high", "low", None, "medium", ""], v).alias("concern"),
+        pick(["high", "low", None, "medium", ""], v).alias("concern"),
     )
 
 

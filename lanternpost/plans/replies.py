@@ -45,7 +45,7 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     mix = F.col("conv_id") * 7 + F.col("turn")
     return pairs(spark, sf).select(
         F.col("query_id").alias("post_id"),
-        F.posexplode(F.array(inputs._pick(inputs.REPLIES, mix), F.lower("reply"), F.substr("reply", F.lit(2)))).alias("attempt", "reply"),
+        F.posexplode(F.array(inputs.pick(inputs.REPLIES, mix), F.lower("reply"), F.substr("reply", F.lit(2)))).alias("attempt", "reply"),
     )
 
 

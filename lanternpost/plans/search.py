@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx, rules
 from ..functions.vectors import encoded
 from ..operators import neighbours, retrieval
+from ..sources.storage import stored
 from . import inputs, sql
 from .registry import Registry
 
@@ -15,11 +16,11 @@ registry = Registry()
 query = registry.query
 
 _SCORED = """scored AS (SELECT query_id, doc_id, round(list_inner_product(q.vec, s.vec), 9) AS sim FROM queries q, snippets s)"""
-_TOP = """top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS r FROM scored QUALIFY r <= {k})"""
-_BASE = [inputs.SNIPPETS_SQL, inputs.QUERIES_SQL, _SCORED]
+TOP = """top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS r FROM scored QUALIFY r <= {k})"""
+BASE = [inputs.SNIPPETS_SQL, inputs.QUERIES_SQL, _SCORED]
 
 _NEAREST = sql.with_ctes(
-    [*_BASE, _TOP.format(k=10)], "SELECT query_id, doc_id AS kb_id, round(sim, 6) AS similarity, r AS rank FROM top"
+    [*BASE, TOP.format(k=10)], "SELECT query_id, doc_id AS kb_id, round(sim, 6) AS similarity, r AS rank FROM top"
 )
 
 
@@ -46,8 +47,8 @@ def topk_neighbours_by_cell(spark: SparkSession, sf: str) -> DataFrame:
     "filtered_search",
     sql.with_ctes(
         [
-            *_BASE,
-            _TOP.format(k=50),
+            *BASE,
+            TOP.format(k=50),
             """kept AS (SELECT t.query_id, t.sim, t.doc_id, s.intent, s.concern, s.text FROM top t JOIN snippets s USING (doc_id) JOIN queries q USING (query_id)
                WHERE (len(intents) = 0 OR len(list_filter(intents, lambda w: contains(lower(s.intent), lower(w)))) > 0)
                AND (coalesce(want, '') = '' OR lower(s.concern) = want))""",
@@ -61,7 +62,7 @@ def filtered_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
-_BOOST = """boost AS (SELECT t.query_id, t.doc_id, t.sim, s.intent, s.concern, s.text,
+BOOST = """boost AS (SELECT t.query_id, t.doc_id, t.sim, s.intent, s.concern, s.text,
     round(t.sim * CASE WHEN len(intents) = 0 THEN 1.0::DOUBLE WHEN len(list_filter(intents, lambda w: contains(lower(s.intent), lower(w)))) > 0 THEN 1.2::DOUBLE ELSE 0.5::DOUBLE END
           * CASE WHEN coalesce(want, '') = '' THEN 1.0::DOUBLE WHEN lower(s.concern) = want THEN 1.2::DOUBLE WHEN want = 'high' THEN 0.5::DOUBLE
                  WHEN lower(s.concern) = 'high' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score
@@ -73,7 +74,7 @@ _UNSAFE = sql.matches_any("lower(text)", lx.UNSAFE_SNIPPET_PATTERNS)
 @query(
     "boosted_retrieval",
     sql.with_ctes(
-        [*_BASE, _TOP.format(k=40), _BOOST, _PLACED],
+        [*BASE, TOP.format(k=40), BOOST, _PLACED],
         f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank, round(score, 6) AS score,
         round(sim, 6) AS similarity, doc_id, 'csv' AS source, intent, concern, text FROM placed WHERE NOT {_UNSAFE}""",
     ),
@@ -85,6 +86,25 @@ def boosted_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6)).withColumn("similarity", F.round("similarity", 6))
 
 
+_FAR = BOOST.replace("t.sim >= 0.1::DOUBLE", "t.sim >= 0.3::DOUBLE")
+_DISTANCE = "top AS (SELECT query_id, doc_id, round(2.0::DOUBLE - 2.0::DOUBLE * sim, 9) AS sim FROM near_top)"
+
+
+@query(
+    "boosted_retrieval_by_distance",
+    sql.with_ctes(
+        [*BASE, TOP.format(k=40).replace("top AS", "near_top AS"), _DISTANCE, _FAR, _PLACED],
+        f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank, round(score, 6) AS score,
+        round(sim, 6) AS distance, doc_id FROM placed WHERE NOT {_UNSAFE}""",
+    ),
+)
+def boosted_retrieval_by_distance(spark: SparkSession, sf: str) -> DataFrame:
+    found = retrieval.boosted_retrieval(
+        inputs.vector_queries(spark, sf), inputs.snippet_vectors(spark, sf), topk=40, keep=5, score_mode="distance"
+    )
+    return found.select("query_id", "rank", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("distance"), "doc_id")
+
+
 @query(
     "unsafe_filter",
     f"""WITH planted AS (SELECT doc_id, text || ' ' || {sql.pick(inputs.SNIPPETS, 'doc_id')} AS text FROM documents)
@@ -93,7 +113,7 @@ def boosted_retrieval(spark: SparkSession, sf: str) -> DataFrame:
 def unsafe_filter(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.col("doc_id")
     planted = inputs.table(spark, sf, "documents").select(
-        "doc_id", F.concat("text", F.lit(" "), inputs._pick(inputs.SNIPPETS, doc)).alias("text")
+        "doc_id", F.concat("text", F.lit(" "), inputs.pick(inputs.SNIPPETS, doc)).alias("text")
     )
     marked = planted.withColumn("unsafe", rules.unsafe_snippet(F.col("text")))
     return marked.agg(
@@ -116,10 +136,9 @@ def post_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def post_snippets(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted retrieval of chunks for every post."""
-    return retrieval.boosted_retrieval(
-        post_queries(spark, sf), inputs.kb_vectors(spark, sf), topk=20, keep=3, min_similarity=0.3
-    )
+    """Boosted retrieval of chunks for every post: the encoded tables are kept, then searched."""
+    queries, kb = stored(post_queries(spark, sf), "queries"), stored(inputs.kb_vectors(spark, sf), "kb-vectors")
+    return retrieval.boosted_retrieval(queries, kb, topk=20, keep=3, min_similarity=0.3)
 
 
 POST_SNIPPETS = [

@@ -19,7 +19,7 @@ from ..streaming import jobs
 from . import evaluation, inputs, search, sql
 from .inputs import PAIRS, POSTS, pairs, posts, table
 from .registry import Registry
-from .tagging import TAGGED, _LITERAL, crisis_sql, ordered_unique, tag_name_sql
+from .tagging import TAGGED, LITERAL_PIECES, crisis_sql, ordered_unique, tag_name_sql
 
 registry = Registry()
 query = registry.query
@@ -30,7 +30,7 @@ query = registry.query
 
 @query(
     "csv_post_table",
-    f"""WITH {POSTS}, {ordered_unique(_LITERAL, tag_name_sql('raw'))}
+    f"""WITH {POSTS}, {ordered_unique(LITERAL_PIECES, tag_name_sql('raw'))}
     SELECT md5('"' || post || chr(10) || '"') AS post_md5, coalesce(l.tags, 'Miscellaneous') AS tags FROM posts p LEFT JOIN listed l USING (doc_id)""",
 )
 def csv_post_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,8 +143,8 @@ def two_shape_predictions(spark: SparkSession, sf: str) -> DataFrame:
     "search_export",
     sql.with_ctes(
         [
-            *search._BASE,
-            search._TOP.format(k=5),
+            *search.BASE,
+            search.TOP.format(k=5),
         ],
         "SELECT query_id, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY r) AS doc_ids FROM top GROUP BY query_id",
     ),
@@ -164,13 +164,13 @@ def search_export(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "metrics_document",
     sql.with_ctes(
-        evaluation._said("prob >= 0.6::DOUBLE"),
-        f"SELECT 'baseline_r1' AS run_id, label, round({evaluation._F1}, 6) AS f1, round((SELECT avg({evaluation._F1}) FROM counts), 6) AS macro_f1 FROM counts",
+        evaluation.said_rows("prob >= 0.6::DOUBLE"),
+        f"SELECT 'baseline_r1' AS run_id, label, round({evaluation.F1_SQL}, 6) AS f1, round((SELECT avg({evaluation.F1_SQL}) FROM counts), 6) AS macro_f1 FROM counts",
     ),
 )
 def metrics_document(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics with a per-label map, stored under the run and read back."""
-    counts = evaluation._counts(spark, sf, 0.6)
+    counts = evaluation.counts_at(spark, sf, 0.6)
     per_label = metrics.per_label_f1(counts).agg(F.map_from_entries(F.collect_list(F.struct("label", "f1"))).alias("per_label_f1"))
     document = per_label.withColumn("macro_f1", metrics.f1_scores(counts).select("macro_f1").scalar())
     path = shared_folder(spark, "metrics")
@@ -199,7 +199,7 @@ def stream_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """User turns scored as a stream into a file sink; equal to the batch result."""
     schema = table(spark, sf, "conversations").schema
     turns = jobs.file_stream(spark, sf, schema, fmt="parquet", files="conversations.parquet").where("role = 'user'")
-    planted = F.concat("text", F.lit(" "), inputs._pick(inputs.PHRASES, F.col("conv_id") + F.col("turn")))
+    planted = F.concat("text", F.lit(" "), inputs.pick(inputs.PHRASES, F.col("conv_id") + F.col("turn")))
     folder = shared_folder(spark, "scoring")
     started = jobs.start_scoring(turns.select("conv_id", "turn", planted.alias("post")), f"{folder}/out", f"{folder}/state")
     started.awaitTermination()

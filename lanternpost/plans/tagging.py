@@ -47,12 +47,12 @@ def message_sql(level: str) -> str:
 
 LEVELED = [POSTS, f"leveled AS (SELECT *, {crisis_sql('lower(post)', 'concern')} AS level FROM posts)"]
 
-_NAMES = {t.lower(): t for t in lx.TAGS}
+TAG_NAMES = {t.lower(): t for t in lx.TAGS}
 
 
 def tag_name_sql(c: str) -> str:
     key = f"replace(replace(regexp_replace(lower({sql.strip(c)}), '\\.$', ''), 'causes of distress', 'cause of distress'), 'progress update.', 'progress update')"
-    return sql.lookup(_NAMES, key)
+    return sql.lookup(TAG_NAMES, key)
 
 
 def ordered_unique(pieces: str, name: str) -> str:
@@ -69,7 +69,7 @@ def _tag_lists(pieces: str) -> str:
 
 _SPLIT = "string_split_regex(coalesce(tag, ''), '[;,]')"
 _ITEM = "(?:''[^'']*''|\"[^\"]*\")"
-_LITERAL = f"""SELECT doc_id, CASE WHEN NOT (starts_with(coalesce(tag, ''), '[') AND ends_with(coalesce(tag, ''), ']')) THEN {_SPLIT}
+LITERAL_PIECES = f"""SELECT doc_id, CASE WHEN NOT (starts_with(coalesce(tag, ''), '[') AND ends_with(coalesce(tag, ''), ']')) THEN {_SPLIT}
     WHEN regexp_full_match(tag, '\\[\\s*(?:{_ITEM}\\s*(?:,\\s*{_ITEM}\\s*)*,?)?\\s*\\]')
         THEN list_transform(regexp_extract_all(tag, '{_ITEM}'), lambda s: s[2:-2]) ELSE []::VARCHAR[] END AS l FROM posts"""
 
@@ -142,7 +142,7 @@ def canonical_tags_old(spark: SparkSession, sf: str) -> DataFrame:
     return posts(spark, sf).select("doc_id", lb.joined(lb.tag_list(F.col("tag"))).alias("tags"))
 
 
-@query("canonical_tags_literal", _tag_lists(_LITERAL))
+@query("canonical_tags_literal", _tag_lists(LITERAL_PIECES))
 def canonical_tags_literal(spark: SparkSession, sf: str) -> DataFrame:
     return posts(spark, sf).select("doc_id", lb.joined(lb.tag_list_literal(F.col("tag"))).alias("tags"))
 
@@ -160,7 +160,7 @@ def canonical_tags_bracket(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "human_tags",
     f"""WITH {POSTS}, pieces AS (SELECT doc_id, unnest({_SPLIT}) AS raw FROM posts),
-    named AS (SELECT DISTINCT doc_id, {sql.lookup({**_NAMES, **lx.HUMAN_ALIASES}, "lower(trim(" + sql.strip('raw') + ", '\"'))")} AS tag FROM pieces),
+    named AS (SELECT DISTINCT doc_id, {sql.lookup({**TAG_NAMES, **lx.HUMAN_ALIASES}, "lower(trim(" + sql.strip('raw') + ", '\"'))")} AS tag FROM pieces),
     listed AS (SELECT doc_id, string_agg(tag, ', ' ORDER BY tag) AS tags FROM named WHERE tag IS NOT NULL GROUP BY doc_id)
     SELECT p.doc_id, CASE WHEN {sql.strip("coalesce(tag, '')")} = '' THEN '' ELSE coalesce(l.tags, 'Miscellaneous') END AS tags
     FROM posts p LEFT JOIN listed l USING (doc_id)""",
@@ -171,7 +171,7 @@ def human_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 _SUMMARY = f"""WITH {POSTS}, pieces AS (SELECT doc_id, unnest(string_split(coalesce(tag, ''), ',')) AS part FROM posts),
     named AS (SELECT doc_id, {sql.strip('part')} AS raw,
-        {sql.lookup({**_NAMES, **lx.SUMMARY_ALIASES}, "lower(" + sql.squeeze('part') + ")")} AS tag
+        {sql.lookup({**TAG_NAMES, **lx.SUMMARY_ALIASES}, "lower(" + sql.squeeze('part') + ")")} AS tag
         FROM pieces WHERE {sql.strip('part')} <> '')"""
 
 
@@ -261,7 +261,7 @@ def label_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "binarise",
-    f"""WITH {POSTS}, {ordered_unique(_LITERAL, tag_name_sql('raw'))},
+    f"""WITH {POSTS}, {ordered_unique(LITERAL_PIECES, tag_name_sql('raw'))},
     given AS (SELECT p.doc_id, coalesce(l.tags, 'Miscellaneous') AS tags FROM posts p LEFT JOIN listed l USING (doc_id))
     SELECT doc_id, array_to_string(list_transform({sql.items(sorted(lx.TAGS))}, lambda t: list_contains(string_split(tags, ', '), t)::INT), '') AS bits
     FROM given""",
