@@ -95,9 +95,11 @@ def literal_list(values: list[str]) -> Column:
 def contains_any(c: Column, phrases: list[str]) -> Column:
     """True if any phrase occurs: byte searches that stop at the first hit.
 
-    Cheaper than one alternation, and a loop keeps long lists out of generated code.
+    Cheaper than one alternation, and a loop keeps long lists out of generated code.  A phrase
+    that holds a shorter one of the list can never decide and is not searched.
     """
-    return F.exists(literal_list(phrases), lambda p: F.contains(c, p))
+    deciding = [p for p in dict.fromkeys(phrases) if not any(o != p and o in p for o in phrases)]
+    return F.exists(literal_list(deciding), lambda p: F.contains(c, p))
 
 
 def _needed_literal(pattern: str) -> str:
@@ -109,20 +111,42 @@ def _needed_literal(pattern: str) -> str:
     return max(re.split("[\0\1+.]", bare), key=len)
 
 
+def _as_phrase(pattern: str) -> str | None:
+    """The phrase a pattern comes down to: plain text, or plain text with an optional ending."""
+    whole = re.fullmatch(r"([^\\()\[\]?*+|.^$]+?)(?:\([^()]*\)\?|[^\\()\[\]?*+|.^$]\?)?", pattern)
+    return whole and whole[1]
+
+
+def _searchable(pattern: str) -> str:
+    """The pattern with its outer word edges spelled as look-arounds behind the first word.
+
+    An edge test in front runs at every character; behind the literal it runs only where the
+    literal stands.
+    """
+    word = f"[{WORD}]"
+    lead = re.match(r"\\b([a-z' ]+)(?![?*+])", pattern)
+    if lead:
+        pattern = f"{lead[1]}(?<!{word}{lead[1]}){pattern[lead.end():]}"
+    pattern = re.sub(r"\\b\Z", lambda _: f"(?!{word})", pattern)
+    return f"(?dU){pattern}" if re.search(r"\\[bswd]", pattern) else pattern
+
+
 def matches_any(c: Column, patterns: list[str]) -> Column:
     """True if any pattern is found.
 
     Plain phrases are byte searches.  A pattern with a mandatory literal runs only
     on texts that contain the literal, so the regex engine sees few rows.
     """
-    plain = [p for p in patterns if not re.search(r"[\\()\[\]?*+|.^$]", p)]
-    regexes = [p for p in patterns if p not in plain]
+    plain, regexes = [], []
+    for p in patterns:
+        phrase = _as_phrase(p)
+        (plain if phrase else regexes).append(phrase or p)
     tests = [contains_any(c, plain)] if plain else []
     ungated = []
     for p in regexes:
         literal = _needed_literal(p)
         if literal:
-            tests.append(c.contains(literal) & c.rlike(f"(?dU){p}"))
+            tests.append(c.contains(literal) & c.rlike(_searchable(p)))
         else:
             ungated.append(p)
     if ungated:

@@ -247,7 +247,7 @@ def _cell_plan(
         .join(reach, "query_id", "left")
         .mapInPandas(onward, f"query_id {q_type}, q_vec array<double>, cell int")
     )
-    away = _meet(visits, live, k, floor, schema)
+    away = _meet(stored(visits, "visits"), live, k, floor, schema)
     return home.unionByName(away).unionByName(zero_hits)
 
 

@@ -159,3 +159,19 @@ def test_verbatim_window(column):
     base = "x" * 30 + "y" * 40
     copied = rules.copies_snippet
     assert column([base, base[:60], base[:61]], lambda c: copied(F.lit("A" + base), c)) == [True, False, True]
+
+
+def test_every_pattern_agrees_with_python(spark):
+    """Each pattern on its own, on texts that put its literal inside, at the edge of, and apart from words."""
+    from lanternpost.functions.text import matches_any
+
+    patterns = [p for _, ps in lx.INTENT_PATTERNS for p in ps if re.search(r"[\\()\[\]?*+|]", p)]
+    patterns += lx.UNSAFE_SNIPPET_PATTERNS + lx.FIRST_PERSON + lx.QUESTION_WORDS + lx.FEEL_WORDS
+    seeds = {_needed_literal(p) for p in patterns} - {""}
+    seeds |= {"kill my self", "self - harm", "check in", "3/10", "status: ok", "anyone else?", "hanging myself", "i'm", "feeling"}
+    texts = sorted({t for s in seeds for t in (s, f"x{s}", f"{s}x", f"a {s} b", f"é{s}", f"{s}é", f"{s}s", f"{s}ing.", f"({s})", f"1{s}_")})
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = rows.select("t", F.array(*[matches_any(F.col("t"), [p]) for p in patterns]).alias("m")).collect()
+    for r in got:
+        want = [bool(re.search(p, r["t"])) for p in patterns]
+        assert r["m"] == want, (r["t"], [p for p, a, b in zip(patterns, r["m"], want) if a != b])
