@@ -128,3 +128,25 @@ def test_batch_log_appends(spark, tmp_path):
     for _ in range(2):
         sinks.append_log(records, str(tmp_path / "log"))
     assert spark.read.schema(records.schema).json(str(tmp_path / "log")).count() == 2
+
+
+def test_list_literals_are_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("p", ["Mood Tracking", "Seeking Help"])], "Text string, Final_Tags array<string>")
+    sinks.write_csv(df, str(tmp_path / "out"), list_literals=True)
+    read = readers.read_csv(spark, str(tmp_path / "out"), text_schema("Text", "Final_Tags"))
+    assert read.first()["Final_Tags"] == "['Mood Tracking', 'Seeking Help']"
+    assert tagging.post_table(read).first()["TagsList"] == ["Mood Tracking", "Seeking Help"]
+
+
+def test_knowledge_base_files_in_order(spark, tmp_path):
+    from lanternpost.operators import knowledge
+
+    rows = [(f"d{i:02d}", "A sentence of some length here. " * (i % 4 + 1) * 8) for i in reversed(range(20))]
+    source = spark.createDataFrame(rows, "doc_id string, output string").repartition(4)
+    chunks = knowledge.chunk_rows(source, intent_col=None, concern_col=None)
+    sinks.write_knowledge_base(chunks, str(tmp_path / "c"), str(tmp_path / "m"), ordered=True)
+    lines = [json.loads(x) for f in sorted((tmp_path / "c").glob("part-*")) for x in f.read_text().splitlines()]
+    ids = [x["doc_id"] for x in lines]
+    assert ids == sorted(ids) and len(ids) == chunks.count()
+    meta = readers.read_jsonl(spark, str(tmp_path / "m"), schemas.KB_METADATA)
+    assert {r["doc_id"] for r in meta.collect()} == set(ids)
