@@ -233,6 +233,8 @@ def _cell_plan(
             limit = np.sqrt(np.maximum(2.0 - 2.0 * reached, 0.0))
             visit = (gap - r <= limit[:, None] + 1e-6) & (cells[None, :] != batch["cell"].to_numpy()[:, None])
             rows, cols = np.nonzero(visit)
+            if len(rows) == 0:
+                continue
             yield pd.DataFrame(
                 {
                     "query_id": batch["query_id"].to_numpy()[rows],
