@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import broadcast_if_small, stored
+from ..sources.storage import stored
 from .summaries import everything
 
 PREFIX = 4
@@ -62,7 +62,7 @@ def _split(
         F.max(F.when(F.col("__cut") == 0, F.col("__rank"))).alias("__r0"),
         F.max(F.when(F.col("__cut") == 1, F.col("__rank"))).alias("__r1"),
     )
-    inside = keys.join(broadcast_if_small(stored(ranges, "hash-ranges")), ["__stratum", "__prefix"])
+    inside = keys.join(stored(ranges, "hash-ranges"), ["__stratum", "__prefix"])
     place = F.row_number().over(Window.partitionBy("__stratum", "__prefix").orderBy("__hash"))
     limits = (
         inside.withColumn("__place", place)
@@ -73,7 +73,7 @@ def _split(
         )
     )
     part = F.when(F.col("__hash") <= F.col("__h0"), "train").when(F.col("__hash") <= F.col("__h1"), "val").otherwise("test")
-    cut_hashes = broadcast_if_small(stored(limits, "hash-limits"))
+    cut_hashes = stored(limits, "hash-limits")
     return keyed.join(cut_hashes, "__stratum", "left").withColumn(name, part).select(*df.columns, name)
 
 

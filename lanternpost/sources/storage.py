@@ -6,18 +6,25 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+SETTING = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the session's checkpoint directory.
 
-    Only a session without one (a local test) gets a temporary directory.
+    Only a local session without one (a test) gets a temporary directory; on a cluster the
+    executors could not see it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    base = spark.conf.get(SETTING, None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {SETTING} to a folder that all executors reach")
+        base = tempfile.mkdtemp(prefix="run-")
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
+    return path
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -31,6 +38,9 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(table: DataFrame) -> DataFrame:
-    """A broadcast hint for a stored table of narrow rows whose row count is known to be small."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far; call it when their results have been read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
