@@ -22,6 +22,8 @@ MAX_LENGTH = 2048
 END_ID = 1
 LETTERS = frozenset(range(97, 123)) | frozenset(range(65, 91))
 MARK = "<|endoftext|>"
+#: Words a task remembers, about 200 bytes each.
+MEMO_WORDS = 1_000_000
 
 
 class WordIds:
@@ -35,7 +37,7 @@ class WordIds:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(MARK)
-        self.words = BoundedMemo(self._word)
+        self.words = BoundedMemo(self._word, MEMO_WORDS)
         self.parts: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
@@ -75,7 +77,7 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        self.learn({w for words in split for w in words if w not in self.words})
+        self.learn(set().union(*split).difference(self.words))
         of = self.words.__getitem__
         return [b"".join(map(of, words)) for words in split]
 
@@ -104,7 +106,7 @@ def pack(docs: DataFrame, id_: str, text: str, path: str, *, most: int = MAX_LEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, text, 1 << 20):
+            for part in blocks(batch, text):
                 doc, start, length, ids, total = [], [], [], [], []
                 for i, packed in enumerate(word_ids(path).encode(utf8(part.column(text)))):
                     packed += end
