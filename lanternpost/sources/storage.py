@@ -38,9 +38,18 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a stored table that no later plan reads."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        _delete(table.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables written so far; call it when their results have been read."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
