@@ -183,6 +183,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     runs = storage.stored(window_runs(texts), "runs")
     twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     found = storage.stored(runs.join(twice, "anchor"), "repeated-runs")
+    storage.discard(runs)
     spans = found.groupBy("anchor", "sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "row", "at")).alias("one"))
     spans = storage.stored(spans, "spans")
     whole = found.join(spans.where("n > 1").select("anchor", "sig"), ["anchor", "sig"])
@@ -224,11 +225,14 @@ def dedup_substrings(docs: DataFrame, id_: str, text: str, into: str) -> DataFra
 
     All windows are judged on the input, so every copy of a repeated passage goes.
     """
-    texts = docs.select(F.col(id_).alias("doc"), F.hash(F.col(text)).alias("row"), F.col(text).alias("text"))
-    ranges, row = fresh_name(docs, "ranges"), fresh_name(docs, "text_row")
-    side = repeated_windows(texts).select(F.col("doc").alias(fresh_name(docs, "side_doc")), F.col("row").alias(row), F.col("ranges").alias(ranges))
-    on = F.col(id_).eqNullSafe(F.col(side.columns[0])) & (F.hash(F.col(text)) == F.col(row))
-    joined = docs.join(side, on, "left").select(*docs.columns, ranges)
+    doc, row, ranges = (fresh_name(docs, c) for c in ("text_doc", "text_row", "ranges"))
+    rest = [c for c in docs.columns if c not in (id_, text)]
+    # The same projection and keys as the inner joins: without other columns they share one exchange.
+    keyed = docs.select(F.col(id_), F.col(text), F.hash(F.col(text)).alias(row), *rest)
+    texts = docs.select(F.col(id_).alias("doc"), F.col(text).alias("text"), F.hash(F.col(text)).alias("row"))
+    found = repeated_windows(texts).select(F.col("doc").alias(doc), F.col("row").alias(row + "_"), F.col("ranges").alias(ranges))
+    on = F.col(id_).eqNullSafe(F.col(doc)) & (F.col(row) == F.col(row + "_"))
+    joined = keyed.join(found, on, "left").select(*docs.columns, ranges)
     kept = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(into, OUT)])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
