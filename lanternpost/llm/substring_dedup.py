@@ -225,14 +225,14 @@ def dedup_substrings(docs: DataFrame, id_: str, text: str, into: str) -> DataFra
 
     All windows are judged on the input, so every copy of a repeated passage goes.
     """
-    doc, row, ranges = (fresh_name(docs, c) for c in ("text_doc", "text_row", "ranges"))
+    own, doc, row, ranges = (fresh_name(docs, c) for c in ("own_doc", "text_doc", "text_row", "ranges"))
     rest = [c for c in docs.columns if c not in (id_, text)]
     # The same projection and keys as the inner joins: without other columns they share one exchange.
-    keyed = docs.select(F.col(id_), F.col(text), F.hash(F.col(text)).alias(row), *rest)
+    keyed = docs.select(F.col(id_).alias(own), F.col(text), F.hash(F.col(text)).alias(row), *rest)
     texts = docs.select(F.col(id_).alias("doc"), F.col(text).alias("text"), F.hash(F.col(text)).alias("row"))
     found = repeated_windows(texts).select(F.col("doc").alias(doc), F.col("row").alias(row + "_"), F.col("ranges").alias(ranges))
-    on = F.col(id_).eqNullSafe(F.col(doc)) & (F.col(row) == F.col(row + "_"))
-    joined = keyed.join(found, on, "left").select(*docs.columns, ranges)
+    on = F.col(own).eqNullSafe(F.col(doc)) & (F.col(row) == F.col(row + "_"))
+    joined = keyed.join(found, on, "left").select(*[F.col(own).alias(id_) if c == id_ else c for c in docs.columns], ranges)
     kept = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(into, OUT)])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
