@@ -27,6 +27,7 @@ SEED = 42
 #: Trees are fitted on this many fingerprints at most, the least by hash of all.
 SAMPLE = 32_768
 SHARD_POINTS = 1024
+ROUTED_POINTS = 16_384
 FULL = (1 << 64) - 1
 
 # For shingles of five words: links need SIMILARITY; candidates differ in at most RADIUS of the
@@ -36,7 +37,7 @@ SIMILARITY = 0.8
 MASKS = 14
 BITS = 22
 RADIUS = 1
-WIDE = 18
+WIDE = 13
 
 SCHEMA = T.StructType(
     [
@@ -139,7 +140,8 @@ def near_edges(points: DataFrame, which: list[int], radius: int, wide: int) -> D
         a, b = np.array(forest.edges, np.int64).reshape(-1, 2).T
         return pa.table({"a": ids[a], "b": ids[b]})
 
-    spread = points.select("point", "fp").mapInArrow(routed, "tree int, shard int, home boolean, point long, fp long")
+    parts = points.select("point", "fp").repartition(max(1, n // ROUTED_POINTS))
+    spread = parts.mapInArrow(routed, "tree int, shard int, home boolean, point long, fp long")
     return spread.groupBy("tree", "shard").applyInArrow(shard, "a long, b long").distinct()
 
 
