@@ -23,7 +23,7 @@ END_ID = 1
 LETTERS = frozenset(range(97, 123)) | frozenset(range(65, 91))
 MARK = "<|endoftext|>"
 #: Words a task remembers, about 200 bytes each.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 
 
 class WordIds:
