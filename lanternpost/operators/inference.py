@@ -49,22 +49,35 @@ def score_with(
 
 
 def generate_with(
-    df: DataFrame, prompt: str, factory: Callable[[], Callable[[str], str]], *, name: str = "reply", error: str = "error"
+    df: DataFrame,
+    prompt: str,
+    factory: Callable[[], Callable[[list[str]], list[str]]],
+    *,
+    name: str = "reply",
+    error: str = "error",
+    batch_size: int = 16,
 ) -> DataFrame:
-    """Prompts to replies; a failing row gets its error text and the others go on."""
+    """Prompts to replies by a function over batches.
+
+    Where a batch fails its rows are tried one by one: a failing row gets its error text and
+    the others go on.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType()), T.StructField(error, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = factory()
 
-        def attempt(text: str) -> tuple[str | None, str | None]:
+        def attempt(texts: list[str]) -> list[tuple[str | None, str | None]]:
             try:
-                return generate(text), None
+                return [(reply, None) for reply in generate(texts)]
             except Exception as problem:  # a row's failure is data here
-                return None, f"{type(problem).__name__}: {problem}"
+                if len(texts) == 1:
+                    return [(None, f"{type(problem).__name__}: {problem}")]
+                return [pair for text in texts for pair in attempt([text])]
 
         for batch in batches:
-            done = [attempt(p) for p in batch[prompt]]
+            texts = list(batch[prompt])
+            done = [pair for at in range(0, len(texts), batch_size) for pair in attempt(texts[at : at + batch_size])]
             yield batch.assign(**{name: [r for r, _ in done], error: [e for _, e in done]})
 
     return df.mapInPandas(run, schema)

@@ -28,7 +28,6 @@ from .ordering import per_group
 BROADCAST_BYTES = 16 << 20
 BLOCK_ROWS = 8192
 QUERY_STEP = 1024
-MAX_PIVOTS = 1024
 DIGITS = 9
 
 
@@ -191,7 +190,7 @@ def _cell_plan(
     spark = kb.sparkSession
     schema = _result_schema(queries, ids[0], kb, ids[1])
     size = kb.count()
-    pivots = _pivots(kb, ids[1], vectors[1], int(min(MAX_PIVOTS, max(1, size**0.5 / 4))))
+    pivots = _pivots(kb, ids[1], vectors[1], int(max(1, size**0.5 / 4)))
     q_cells = stored(_nearest_pivot(queries, ids[0], vectors[0], pivots, ("query_id", "q_vec")), "query-cells")
     kb_cells = stored(_nearest_pivot(kb, ids[1], vectors[1], pivots, ("kb_id", "kb_vec")), "kb-cells")
 

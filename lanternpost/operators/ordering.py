@@ -16,8 +16,8 @@ SAMPLES_PER_RANGE = 32
 
 
 def range_count(df: DataFrame) -> int:
-    """Number of ranges: two per shuffle partition of the session, at most 4096."""
-    return min(4096, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Number of ranges: two per shuffle partition of the session."""
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def range_limits(df: DataFrame, key: str, ranges: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions.vectors import cosine, encoded
 from ..operators.knowledge import chunk_rows
-from ..sources.readers import spread, table
+from ..sources.readers import table
 from . import sql
 
 PHRASES = [
@@ -57,7 +57,7 @@ def pick(values: list, index: Column) -> Column:
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.col("doc_id")
-    return spread(table(spark, sf, "documents"), "doc_id").select(
+    return table(spark, sf, "documents").select(
         "doc_id",
         F.concat("text", F.lit(" "), pick(PHRASES, doc)).alias("post"),
         pick(TAG_STRINGS, doc).alias("tag"),
@@ -75,7 +75,7 @@ POSTS = f"""posts AS (SELECT doc_id, text || ' ' || {sql.pick(PHRASES, 'doc_id')
 
 def kb_source(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.col("doc_id")
-    return spread(table(spark, sf, "documents"), "doc_id").select(
+    return table(spark, sf, "documents").select(
         "doc_id",
         F.col("text").alias("output"),
         pick(lx.TAGS, doc).alias("Final_Intent_Tag"),
@@ -137,6 +137,24 @@ PAIRS = f"""pairs AS (SELECT u.conv_id || '-' || u.turn AS query_id, u.conv_id,
     WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 
+def said(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user turn, answered or not."""
+    mix = F.col("conv_id") * 7 + F.col("turn")
+    return table(spark, sf, "conversations").where("role = 'user'").select(
+        F.concat("conv_id", F.lit("-"), "turn").alias("query_id"),
+        "conv_id",
+        "turn",
+        F.concat("text", F.lit(" "), pick(PHRASES, mix)).alias("post"),
+        pick(CONCERNS, mix).alias("concern"),
+        pick(lx.TAGS, mix).alias("intent"),
+    )
+
+
+SAID = f"""said AS (SELECT u.conv_id || '-' || u.turn AS query_id, u.conv_id, u.turn,
+    u.text || ' ' || {sql.pick(PHRASES, _MIX)} AS post, {sql.pick(CONCERNS, _MIX)} AS concern, {sql.pick(lx.TAGS, _MIX)} AS intent
+    FROM conversations u WHERE u.role = 'user')"""
+
+
 # --- vector tables ------------------------------------------------------------------------------
 
 

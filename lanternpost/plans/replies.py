@@ -9,7 +9,7 @@ from ..functions import lexicon as lx, rules
 from ..functions.text import word_set
 from ..operators import quality, replies, retrieval, summaries, tagging
 from . import inputs, search, sql
-from .inputs import PAIRS, pairs
+from .inputs import PAIRS, pairs, said
 from .registry import Registry
 from .tagging import crisis_sql, message_sql
 
@@ -121,8 +121,8 @@ def grounded_overlap(spark: SparkSession, sf: str) -> DataFrame:
 _LINES = "lines AS (SELECT query_id, string_agg('- ' || replace(substr(text, 1, 250), chr(10), ' ') || chr(10), '' ORDER BY rank) AS ctx FROM cited GROUP BY query_id)"
 
 
-def _cited(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.citations(search.post_snippets(spark, sf))
+def _cited(spark: SparkSession, sf: str, posts: DataFrame | None = None) -> DataFrame:
+    return retrieval.citations(search.post_snippets(spark, sf, posts))
 
 
 @query(
@@ -130,11 +130,11 @@ def _cited(spark: SparkSession, sf: str) -> DataFrame:
     sql.with_ctes(
         [*search.POST_SNIPPETS, _LINES],
         f"""SELECT query_id, md5(substr({sql.q(lx.PROMPT_INSTRUCTION + lx.PROMPT_CONTEXT)} || coalesce(ctx, '') || chr(10) || {sql.q(lx.PROMPT_POST)}
-        || post || chr(10) || chr(10) || {sql.q(lx.PROMPT_TASK)}, 1, 2000)) AS prompt_md5 FROM pairs LEFT JOIN lines USING (query_id)""",
+        || post || chr(10) || chr(10) || {sql.q(lx.PROMPT_TASK)}, 1, 2000)) AS prompt_md5 FROM said LEFT JOIN lines USING (query_id)""",
     ),
 )
 def prompt_text(spark: SparkSession, sf: str) -> DataFrame:
-    prompted = replies.with_prompt(pairs(spark, sf).select("query_id", "post"), _cited(spark, sf))
+    prompted = replies.with_prompt(said(spark, sf).select("query_id", "post"), _cited(spark, sf))
     return prompted.select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
@@ -157,8 +157,8 @@ def citations_nested(spark: SparkSession, sf: str) -> DataFrame:
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
     """Full path: crisis gate, retrieval for the others, extractive reply, footer."""
-    leveled = tagging.with_crisis(pairs(spark, sf).drop("reply"), "post", "concern")
-    cited = _cited(spark, sf)
+    leveled = tagging.with_crisis(said(spark, sf), "post", "concern")
+    cited = _cited(spark, sf, leveled.where("crisis_level <> 'immediate'"))
     ready = leveled.join(cited, "query_id", "left").withColumn("candidate", replies.extractive_reply(F.col("citations")["text"]))
     return replies.answered(ready)
 
@@ -168,7 +168,7 @@ _ANSWERS = [
     *search.POST_SNIPPETS,
     "first_text AS (SELECT query_id, text AS t FROM cited WHERE rank = 1)",
     "n_cited AS (SELECT query_id, count(*) AS n FROM cited GROUP BY query_id)",
-    f"gated AS (SELECT p.query_id, p.post, p.concern, {crisis_sql('lower(p.post)', 'p.concern')} AS level, coalesce(n, 0) AS n, {_EXTRACT} AS candidate FROM pairs p LEFT JOIN n_cited USING (query_id) LEFT JOIN first_text USING (query_id))",
+    f"gated AS (SELECT p.query_id, p.post, p.concern, {crisis_sql('lower(p.post)', 'p.concern')} AS level, coalesce(n, 0) AS n, {_EXTRACT} AS candidate FROM said p LEFT JOIN n_cited USING (query_id) LEFT JOIN first_text USING (query_id))",
     f"""bodies_out AS (SELECT *, CASE WHEN n = 0 THEN {sql.q(lx.NO_SNIPPET_REPLY)} ELSE coalesce(candidate,
         CASE WHEN lower(concern) = 'high' THEN {sql.q(lx.NO_REPLY_HIGH)} ELSE {sql.q(lx.NO_REPLY_OTHER)} END) END AS body FROM gated)""",
     f"answers AS (SELECT *, CASE WHEN level = 'immediate' THEN {message_sql('level')} ELSE body || {message_sql('level')} END AS reply FROM bodies_out)",
@@ -202,7 +202,7 @@ def crisis_routing(spark: SparkSession, sf: str) -> DataFrame:
 )
 def extractive_replies(spark: SparkSession, sf: str) -> DataFrame:
     """Default generator over all posts; a post without snippets is a failed row."""
-    made = pairs(spark, sf).join(_cited(spark, sf), "query_id", "left").select(
+    made = said(spark, sf).join(_cited(spark, sf), "query_id", "left").select(
         "post",
         F.lit(None).cast("string").alias("predicted_intents"),
         F.col("concern").alias("predicted_concern"),

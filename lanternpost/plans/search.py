@@ -124,9 +124,9 @@ def unsafe_filter(spark: SparkSession, sf: str) -> DataFrame:
 # --- posts against the chunked knowledge base -----------------------------------------------------
 
 
-def post_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """One query per post of the reply pairs, with its own intent and concern as wishes."""
-    return inputs.pairs(spark, sf).select(
+def post_queries(posts: DataFrame) -> DataFrame:
+    """One query per post, with its own intent and concern as wishes."""
+    return posts.select(
         "query_id",
         F.col("post").alias("query"),
         encoded(F.col("post")).alias("vector"),
@@ -135,23 +135,25 @@ def post_queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def post_snippets(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted retrieval of chunks for every post: the encoded tables are kept, then searched."""
-    queries, kb = stored(post_queries(spark, sf), "queries"), stored(inputs.kb_vectors(spark, sf), "kb-vectors")
+def post_snippets(spark: SparkSession, sf: str, posts: DataFrame | None = None) -> DataFrame:
+    """Boosted retrieval of chunks for every user turn, or for ``posts``: the encoded tables are kept, then searched."""
+    wanted = post_queries(inputs.said(spark, sf) if posts is None else posts)
+    queries, kb = stored(wanted, "queries"), stored(inputs.kb_vectors(spark, sf), "kb-vectors")
     return retrieval.boosted_retrieval(queries, kb, topk=20, keep=3, min_similarity=0.3)
 
 
 POST_SNIPPETS = [
     inputs.PAIRS,
+    inputs.SAID,
     *inputs.KB_VECTORS,
-    *sql.encoded("post_vec", "pairs", "query_id", "post"),
+    *sql.encoded("post_vec", "said", "query_id", "post"),
     """near AS (SELECT p.query_id, k.doc_id, round(list_inner_product(p.vec, k.vec), 9) AS sim FROM post_vec p, kb_vec k
         QUALIFY row_number() OVER (PARTITION BY p.query_id ORDER BY sim DESC, k.doc_id) <= 20)""",
     """near_boost AS (SELECT n.query_id, n.doc_id, n.sim, k.intent, k.concern, k.text,
         round(n.sim * CASE WHEN contains(lower(k.intent), lower(p.intent)) THEN 1.2::DOUBLE ELSE 0.5::DOUBLE END
         * CASE WHEN coalesce(p.concern, '') = '' THEN 1.0::DOUBLE WHEN lower(k.concern) = lower(p.concern) THEN 1.2::DOUBLE
                WHEN lower(p.concern) = 'high' THEN 0.5::DOUBLE WHEN lower(k.concern) = 'high' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score
-        FROM near n JOIN kb k USING (doc_id) JOIN pairs p USING (query_id) WHERE n.sim >= 0.3::DOUBLE)""",
+        FROM near n JOIN kb k USING (doc_id) JOIN said p USING (query_id) WHERE n.sim >= 0.3::DOUBLE)""",
     """near_place AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM near_boost QUALIFY place <= 3)""",
     f"""cited AS (SELECT query_id, doc_id, intent, concern, sim, text, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank
         FROM near_place WHERE NOT {_UNSAFE})""",

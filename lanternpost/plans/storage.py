@@ -71,7 +71,7 @@ def jsonl_knowledge_base(spark: SparkSession, sf: str) -> DataFrame:
 def vector_table(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors stored as float arrays by id and loaded again."""
     path = shared_folder(spark, "vectors")
-    made = inputs.spread(table(spark, sf, "documents"), "doc_id").select("doc_id", encoded(F.col("text")).alias("embedding"))
+    made = table(spark, sf, "documents").select("doc_id", encoded(F.col("text")).alias("embedding"))
     sinks.write_vectors(made, path)
     v = F.col("embedding").cast("array<double>")
     squared = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)
@@ -116,7 +116,7 @@ def malformed_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     path = shared_folder(spark, "gold")
     table(spark, sf, "documents").select(line.alias("value")).write.mode("overwrite").text(path)
-    read = readers.read_jsonl_tolerant(spark, path, schemas.GOLD).cache()
+    read = readers.read_jsonl_tolerant(spark, path, schemas.GOLD)
     bad, _ = readers.usable_rows(read, "post")
     return read.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(~bad).alias("n_ok"), F.count_if(bad).alias("n_skipped"))
 

@@ -82,13 +82,3 @@ def salvaged_json(text: Column, schema: T.StructType) -> Column:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows of a small input over all cores before expensive expressions.
-
-    A file with one row group is one task however many cores there are.  Inputs with at
-    least as many files as cores are left alone, so a large table is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)

@@ -104,10 +104,10 @@ def test_encoder_and_scorer_seams(spark):
 
 def test_generator_failures_are_rows(spark):
     def generator():
-        def run(prompt):
-            if "bad" in prompt:
+        def run(prompts):
+            if any("bad" in p for p in prompts):
                 raise ValueError("no")
-            return prompt.upper()
+            return [p.upper() for p in prompts]
 
         return run
 
@@ -125,3 +125,27 @@ def test_semi_auto_keeps_human_tags_and_takes_given_thresholds(spark):
     assert [(r["Final_Tags"], r["Tag_Source"]) for r in got] == [
         (["Seeking Help"], "Human_Gold"), (["Miscellaneous"], "Model_Optimal"), (["Miscellaneous"], "Model_Optimal"),
     ]
+
+
+def test_generator_gets_batches_and_isolates_failures(spark, tmp_path):
+    def generator():
+        def generate(texts):
+            (tmp_path / f"{len(texts)}-{hash(tuple(texts))}").touch()
+            if "bad" in texts:
+                raise ValueError("no")
+            return [t.upper() for t in texts]
+
+        return generate
+
+    df = spark.createDataFrame([(w,) for w in ["a", "b", "bad", "c", "d", "e"]], "prompt string").coalesce(1)
+    got = {r["prompt"]: (r["reply"], r["error"]) for r in inference.generate_with(df, "prompt", generator, batch_size=3).collect()}
+    assert got == {w: (w.upper(), None) for w in "abcde"} | {"bad": (None, "ValueError: no")}
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["1", "1", "1", "3", "3"]
+
+
+def test_snippet_text_falls_back(spark):
+    from lanternpost.operators import quality
+
+    df = spark.createDataFrame([([("", "S", "c"), ("T", "s", "c"), (None, None, "C"), (None, "", None)],)], "citations array<struct<text: string, snippet: string, content: string>>")
+    fields = quality.text_fields(df)
+    assert df.select(quality.snippet_texts(df["citations"], fields)).first()[0] == ["s", "t", "c", ""]
