@@ -22,14 +22,12 @@ FROM marked GROUP BY doc_id
 
 OP3 = r"""
 WITH words AS (
-  SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word, len(w) AS n
+  SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word
   FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
-), numbered AS (
-  SELECT doc_id, i, n, word, hash(word) AS h FROM words
 ), windows AS (
-  SELECT doc_id, i, md5(string_agg(word, ' ') OVER w) AS key
-  FROM numbered QUALIFY count(*) OVER w = 35
-  WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS key
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents))
 ), repeated AS (
   SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY key) > 1
 ), marked AS (
@@ -49,7 +47,7 @@ OP10 = r"""
 WITH RECURSIVE good AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
   WHERE list_cosine_similarity(a.v, b.v) >= 0.9
