@@ -132,6 +132,8 @@ def near_edges(points: DataFrame, which: list[int], radius: int, wide: int) -> D
                     )
 
     def shard(key: tuple, table: pa.Table) -> pa.Table:
+        # In a fixed order, as the forest depends on it: a shard run again gives the same edges.
+        table = table.sort_by([("point", "ascending"), ("home", "ascending")])
         ids = table.column("point").to_numpy()
         fps = table.column("fp").to_numpy().view(np.uint64)
         home = table.column("home").to_numpy()

@@ -444,3 +444,17 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
     assert not any("shared1 " in t and passage in t for t in texts.values())
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(texts)
+
+
+def test_candidates_do_not_depend_on_row_order(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 63, 20, np.int64)
+    flips = [sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 8)), replace=False)) for _ in range(600)]
+    rows = sorted({int(centres[i % 20]) ^ f for i, f in enumerate(flips)})
+
+    def edges(order, parts):
+        points = spark.createDataFrame([(v, v) for v in order], "point long, fp long").repartition(parts)
+        found = simhash.near_edges(points, simhash.masks(simhash.MASKS, simhash.BITS), simhash.RADIUS, simhash.WIDE)
+        return {(r["a"], r["b"]) for r in found.collect()}
+
+    assert edges(rows, 2) == edges(rows[::-1], 5)
