@@ -1,4 +1,4 @@
-"""Vantage-point trees over 64-bit fingerprints under Hamming distance.
+"""Vantage-point trees over fingerprints of up to 64 bits under Hamming distance.
 
 A tree fitted on a bounded sample routes every fingerprint to one home shard.  A fingerprint
 inside a ball, within ``radius`` of its boundary, also visits the shards outside; by the
@@ -15,19 +15,19 @@ BRUTE = 1024
 Node = tuple[int, int, int, int]
 
 
-def distances(points: np.ndarray, vantage: int, mask: int) -> np.ndarray:
-    return np.bitwise_count((points ^ np.uint64(vantage)) & np.uint64(mask))
+def distances(points: np.ndarray, vantage: int) -> np.ndarray:
+    return np.bitwise_count(points ^ np.uint64(vantage))
 
 
-def split(points: np.ndarray, mask: int) -> tuple[int, int] | None:
+def split(points: np.ndarray) -> tuple[int, int] | None:
     """A vantage point and a ball radius that halves the points as well as their distances allow."""
     vantage = int(points[len(points) // 2])
-    found = np.bincount(distances(points, vantage, mask), minlength=65).cumsum()
+    found = np.bincount(distances(points, vantage), minlength=65).cumsum()
     mu = int(np.abs(2 * found - len(points)).argmin())
     return (vantage, mu) if 0 < found[mu] < len(points) else None
 
 
-def fit(sample: np.ndarray, leaves: int, mask: int) -> list[Node]:
+def fit(sample: np.ndarray, leaves: int) -> list[Node]:
     """Nodes (vantage, mu, inside, outside) of a tree of about ``leaves`` leaves; a negative child is a leaf."""
     nodes: list[Node] = []
     count = 0
@@ -35,13 +35,13 @@ def fit(sample: np.ndarray, leaves: int, mask: int) -> list[Node]:
 
     def grow(points: np.ndarray, share: float) -> int:
         nonlocal count
-        cut = split(points, mask) if share > 1 and len(points) >= 16 else None
+        cut = split(points) if share > 1 and len(points) >= 16 else None
         if cut is None:
             count += 1
             return -count
         at = len(nodes)
         nodes.append((0, 0, 0, 0))
-        near = distances(points, cut[0], mask) <= cut[1]
+        near = distances(points, cut[0]) <= cut[1]
         inside = grow(points[near], share * near.mean())
         outside = grow(points[~near], share * (1 - near.mean()))
         nodes[at] = (*cut, inside, outside)
@@ -51,7 +51,7 @@ def fit(sample: np.ndarray, leaves: int, mask: int) -> list[Node]:
     return nodes
 
 
-def route(nodes: list[Node], points: np.ndarray, radius: int, mask: int) -> Iterator[tuple[int, np.ndarray, bool]]:
+def route(nodes: list[Node], points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, bool]]:
     """(leaf, indexes into points, whether the leaf is their home)."""
     todo = [(0 if nodes else -1, np.arange(len(points)), True)]
     while todo:
@@ -62,7 +62,7 @@ def route(nodes: list[Node], points: np.ndarray, radius: int, mask: int) -> Iter
             yield -at, rows, home
             continue
         vantage, mu, inside, outside = nodes[at]
-        d = distances(points[rows], vantage, mask).astype(np.int16)
+        d = distances(points[rows], vantage).astype(np.int16)
         if home:
             todo += [(inside, rows[d <= mu], True), (outside, rows[d > mu], True), (outside, rows[(d <= mu) & (d > mu - radius)], False)]
         else:
@@ -85,38 +85,52 @@ class Forest:
                 self.edges.append((row, int(others[at])))
 
 
-def search(points: np.ndarray, home: np.ndarray, visit: np.ndarray, radius: int, mask: int, wide: int, forest: Forest) -> None:
-    """Join every pair of a home position and a home or visiting one that differs in at most ``radius``
-    masked bits and at most ``wide`` bits.
+class LevelForests:
+    """Merges positions whose check fingerprints differ in at most so many bits, a forest for each level.
 
-    Where ``wide`` is below 64 the pairs are candidates that a later check may refuse, so each
-    position also keeps the edge to its closest partner."""
+    For candidates that a later test may refuse: a refused edge between distant members then
+    leaves the edges between closer ones, and every position keeps the edge to its closest partner."""
+
+    def __init__(self, checks: np.ndarray, levels: tuple[int, ...]) -> None:
+        self.checks, self.levels = checks, levels
+        self.forests = [Forest(len(checks)) for _ in levels]
+        self.closest: list[tuple[int, int]] = []
+
+    def join(self, row: int, others: np.ndarray) -> None:
+        far = np.bitwise_count(self.checks[others] ^ self.checks[row])
+        for level, forest in zip(self.levels, self.forests):
+            near = others[far <= level]
+            if len(near):
+                forest.join(row, near)
+        nearest = int(far.argmin())
+        if far[nearest] <= self.levels[-1]:
+            self.closest.append((row, int(others[nearest])))
+
+    @property
+    def edges(self) -> list[tuple[int, int]]:
+        return [e for f in self.forests for e in f.edges] + self.closest
+
+
+def search(points: np.ndarray, home: np.ndarray, visit: np.ndarray, radius: int, forest: Forest | LevelForests) -> None:
+    """Join every pair of a home position and a home or visiting one that differs in at most ``radius`` bits."""
     todo = [(home, visit)]
     while todo:
         home, visit = todo.pop()
         if not len(home):
             continue
-        cut = split(points[home], mask) if len(home) > BRUTE else None
+        cut = split(points[home]) if len(home) > BRUTE else None
         if cut is not None:
-            d, v = (distances(points[x], cut[0], mask).astype(np.int16) for x in (home, visit))
+            d, v = (distances(points[x], cut[0]).astype(np.int16) for x in (home, visit))
             mu = cut[1]
             near = d <= mu
             todo.append((home[near], visit[v <= mu + radius]))
             todo.append((home[~near], np.concatenate([home[near & (d > mu - radius)], visit[v > mu - radius]])))
             continue
         both = np.concatenate([home, visit])
-        values, masked = points[both], points[both] & np.uint64(mask)
+        values = points[both]
         for a in range(0, len(home), 256):
             rows = home[a : a + 256]
-            near = np.bitwise_count(masked[a : a + len(rows), None] ^ masked[None, a:]) <= radius
-            hit = np.flatnonzero(near.sum(axis=1) > 1)
-            for i in hit.tolist():
+            near = np.bitwise_count(values[a : a + len(rows), None] ^ values[None, a:]) <= radius
+            for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
                 others = np.flatnonzero(near[i])
-                others = others[others != i] + a
-                far = np.bitwise_count(values[others] ^ values[a + i])
-                order = np.argsort(far, kind="stable")
-                others = others[order[: np.searchsorted(far[order], wide, side="right")]]
-                if len(others):
-                    forest.join(int(rows[i]), both[others])
-                    if wide < 64:
-                        forest.edges.append((int(rows[i]), int(both[others[0]])))
+                forest.join(int(rows[i]), both[others[others != i] + a])

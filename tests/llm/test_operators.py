@@ -204,24 +204,25 @@ def test_fingerprints_and_components(docs):
     assert rows_of(got, "doc", "f", "component_id") == want
 
 
-@pytest.mark.parametrize("mask", [simhash.FULL, simhash.masks(1, 22)[0]])
-def test_tree_finds_all_pairs(mask):
+@pytest.mark.parametrize("bits", [64, 22])
+def test_tree_finds_all_pairs(bits):
     rng = np.random.default_rng(9)
     centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    points = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for c in centres] + [rng.integers(0, 1 << 63, 3000, dtype=np.uint64)]))
+    points = np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for c in centres] + [rng.integers(0, 1 << 63, 3000, dtype=np.uint64)])
+    points = np.unique(points >> np.uint64(64 - bits))
     rng.shuffle(points)
-    tree = hamming.fit(points[:2000], 30, mask)
+    tree = hamming.fit(points[:2000], 30)
     shards = {}
-    for leaf, at, home in hamming.route(tree, points, 2, mask):
+    for leaf, at, home in hamming.route(tree, points, 2):
         shards.setdefault(leaf, ([], []))[0 if home else 1].extend(at.tolist())
     assert len(shards) > 5 and sum(len(h) for h, _ in shards.values()) == len(points)
     edges = []
     for home, visit in shards.values():
         own = np.array(home + visit)
         forest = hamming.Forest(len(own))
-        hamming.search(points[own], np.arange(len(home)), np.arange(len(home), len(own)), 2, mask, 64, forest)
+        hamming.search(points[own], np.arange(len(home)), np.arange(len(home), len(own)), 2, forest)
         edges += [(own[a], own[b]) for a, b in forest.edges]
-    near = np.bitwise_count((points[:, None] ^ points[None, :]) & np.uint64(mask)) <= 2
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 2
     a, b = np.nonzero(np.triu(near, 1))
     assert all(near[x, y] for x, y in edges)
 
@@ -255,6 +256,36 @@ def test_near_documents_are_verified(spark):
     assert got == {5: 5, 6: 5, 7: 7, 8: 5, 9: 9, 10: 10, 11: 10}
 
 
+def test_near_documents_find_the_links_of_brute_force(spark):
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(60):
+        words = [f"w{k}" for k in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        texts.append(words)
+        for _ in range(4):
+            edited = words.copy()
+            for k in rng.choice(len(words), int(rng.integers(1, len(words) // 30 + 2)), replace=False):
+                edited[k] = f"new{rng.integers(0, 10**9)}"
+            texts.append(edited)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = brute_components(len(sets), links)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc"]: r["component_id"] for r in simhash.near_documents(df, "doc_id", "text").collect()}
+    together = [got[i] == got[j] for i, j in links]
+    assert len(links) > 200 and sum(together) >= 0.98 * len(together)
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
+def test_tight_group_has_few_edges(spark):
+    rng = np.random.default_rng(22)
+    words = [f"w{k}" for k in rng.integers(0, 5000, 800)]
+    rows = [(i, " ".join([*words, f"tail{i}"])) for i in range(1500)]
+    prints = simhash.set_prints(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5)
+    edges = simhash.near_edges(prints.selectExpr("set_id AS point", "fp", "keys"), simhash.RADIUS, simhash.LEVELS)
+    assert 1499 <= edges.count() < 1500 * simhash.TREES * 5
+
+
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7), (None, 3)]
     df = spark.createDataFrame(pairs, "a long, b long")
@@ -453,8 +484,9 @@ def test_candidates_do_not_depend_on_row_order(spark):
     rows = sorted({int(centres[i % 20]) ^ f for i, f in enumerate(flips)})
 
     def edges(order, parts):
-        points = spark.createDataFrame([(v, v) for v in order], "point long, fp long").repartition(parts)
-        found = simhash.near_edges(points, simhash.masks(simhash.MASKS, simhash.BITS), simhash.RADIUS, simhash.WIDE)
+        keyed = [(v, v, [v >> k & ((1 << 22) - 1) for k in range(0, 2 * simhash.TREES, 2)]) for v in order]
+        points = spark.createDataFrame(keyed, "point long, fp long, keys array<int>").repartition(parts)
+        found = simhash.near_edges(points, simhash.RADIUS, simhash.LEVELS)
         return {(r["a"], r["b"]) for r in found.collect()}
 
     assert edges(rows, 2) == edges(rows[::-1], 5)
