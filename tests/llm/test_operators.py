@@ -171,6 +171,21 @@ def test_divergence_keeps_prose_and_refuses_junk(spark):
     assert kept[100]["char_distance"] == pytest.approx(math.sqrt(js))
 
 
+def test_divergence_refuses_letter_junk_and_texts_without_common_words(spark):
+    rng = np.random.default_rng(13)
+    bank = "the of and to a in is that it river stone walks over green hills with light".split()
+    clean = [(i, "en", " ".join(rng.choice(bank, 60 + 5 * i))) for i in range(60)]
+    rare = [w for w in bank if w.encode() not in quality_rules.COMMON]
+    plain = [(100 + i, "en", " ".join(f"{w}{'abcdefgh'[k]}" for w, k in zip(rng.choice(rare, n), rng.integers(0, 8, n)))) for i, n in enumerate((50, 90, 400))]
+    letters = [(200 + i, "en", " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(n))) for i, n in enumerate((50, 90, 400))]
+    marked = [(300 + i, "en", " ".join(x if k % 3 else "#$%|" for k, x in enumerate(rng.choice(bank, n)))) for i, n in enumerate((60, 200, 400))]
+    measured = quality_rules.measure(spark.createDataFrame(clean + plain + letters + marked, "doc_id long, lang string, text string"), "text", "m")
+    refs = quality_rules.references(measured.where("doc_id < 100"), "m", "lang")
+    got = {r["doc_id"]: r["v"] for r in quality_rules.judge(measured, refs, "m", "lang", "v").collect()}
+    assert not any(v["base_failed"] for v in got.values())
+    assert [i for i, v in got.items() if v["kept"]] == list(range(60))
+
+
 def brute_fingerprint(text, width):
     words = [w.encode().lower() for w in WORDS.findall(text)]
     grams = [b" ".join(words[k : k + width]) for k in range(len(words) - width + 1)] or ([b" ".join(words)] if words else [])
