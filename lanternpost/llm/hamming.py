@@ -72,39 +72,61 @@ def route(nodes: list[Node], points: np.ndarray, radius: int) -> Iterator[tuple[
 class Forest:
     """Merges positions of a shard; keeps one edge per merge, so a dense group stays linear."""
 
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
+    whole = False
+
+    def __init__(self, sets: np.ndarray | int) -> None:
+        """``sets``: the number of positions, or the set number of each."""
+        self.label = np.arange(sets) if isinstance(sets, int) else sets.copy()
+        self.members: dict[int, list[int]] = {}
+        for at, label in enumerate(self.label.tolist()):
+            self.members.setdefault(label, []).append(at)
         self.edges: list[tuple[int, int]] = []
 
     def join(self, row: int, others: np.ndarray) -> None:
-        labels, first = np.unique(self.label[others], return_index=True)
-        for other, at in zip(labels.tolist(), first.tolist()):
-            own = self.label[row]
+        for at in np.unique(self.label[others], return_index=True)[1].tolist():
+            own, other = int(self.label[row]), int(self.label[others[at]])
             if other != own:
-                self.label[self.label == other] = own
+                small, large = sorted((own, other), key=lambda x: len(self.members[x]))
+                moved = self.members.pop(small)
+                self.label[moved] = large
+                self.members[large] += moved
                 self.edges.append((row, int(others[at])))
 
 
 class LevelForests:
-    """Merges positions whose check fingerprints differ in at most so many bits, a forest for each level.
+    """Candidates of positions that are not yet in one set, for a later test that may refuse them.
 
-    For candidates that a later test may refuse: a refused edge between distant members then
-    leaves the edges between closer ones, and every position keeps the edge to its closest partner."""
+    Positions are candidates when their check fingerprints differ in at most so many bits.  Kept are
+    a spanning forest of each level and, for each position outside the largest set, its ``keep``
+    closest candidates; ``cut`` holds the positions that have more.  Two positions of one side do
+    not meet where ``side`` is given."""
 
-    def __init__(self, checks: np.ndarray, levels: tuple[int, ...]) -> None:
-        self.checks, self.levels = checks, levels
-        self.forests = [Forest(len(checks)) for _ in levels]
+    whole = True
+
+    def __init__(self, checks: np.ndarray, levels: tuple[int, ...], sets: np.ndarray, keep: int, side: np.ndarray | None = None) -> None:
+        self.checks, self.levels, self.sets, self.keep, self.side = checks, levels, sets, keep, side
+        size = np.bincount(sets)
+        self.skip = (sets == size.argmax()) & (size.max() > 1)
+        self.forests = [Forest(sets) for _ in levels]
         self.closest: list[tuple[int, int]] = []
+        self.cut: set[int] = set()
 
     def join(self, row: int, others: np.ndarray) -> None:
         far = np.bitwise_count(self.checks[others] ^ self.checks[row])
+        meet = (self.sets[others] != self.sets[row]) & (far <= self.levels[-1])
+        if self.side is not None:
+            meet &= self.side[others] != self.side[row]
+        others, far = others[meet], far[meet]
+        if not len(others):
+            return
         for level, forest in zip(self.levels, self.forests):
             near = others[far <= level]
             if len(near):
                 forest.join(row, near)
-        nearest = int(far.argmin())
-        if far[nearest] <= self.levels[-1]:
-            self.closest.append((row, int(others[nearest])))
+        if len(others) > self.keep:
+            self.cut.add(row)
+            others = others[np.argsort(far, kind="stable")[: self.keep]]
+        self.closest += [(row, o) for o in others.tolist()]
 
     @property
     def edges(self) -> list[tuple[int, int]]:
@@ -128,9 +150,25 @@ def search(points: np.ndarray, home: np.ndarray, visit: np.ndarray, radius: int,
             continue
         both = np.concatenate([home, visit])
         values = points[both]
+        if forest.whole:
+            _search_whole(values, both, len(home), radius, forest)
+            continue
         for a in range(0, len(home), 256):
             rows = home[a : a + 256]
             near = np.bitwise_count(values[a : a + len(rows), None] ^ values[None, a:]) <= radius
             for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
                 others = np.flatnonzero(near[i])
                 forest.join(int(rows[i]), both[others[others != i] + a])
+
+
+def _search_whole(values: np.ndarray, both: np.ndarray, n_home: int, radius: int, forest: LevelForests) -> None:
+    """Every position outside the largest set meets all its partners at once; two visiting ones never meet."""
+    at_home = np.arange(len(both)) < n_home
+    todo = np.flatnonzero(~forest.skip[both])
+    for a in range(0, len(todo), 256):
+        rows = todo[a : a + 256]
+        near = np.bitwise_count(values[rows, None] ^ values[None, :]) <= radius
+        near &= at_home[rows, None] | at_home[None, :]
+        near[np.arange(len(rows)), rows] = False
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            forest.join(int(both[rows[i]]), both[np.flatnonzero(near[i])])

@@ -1,7 +1,9 @@
 """SimHash near-dedup: fingerprints of word shingles, linked through vantage-point trees.
 
-Equal texts are collapsed first; shards then emit one edge per merge, never all pairs of a
-group.  Null texts and texts without words have fingerprint zero and are linked like others.
+Equal texts are collapsed first; shards then emit one edge per merge.  Where links are verified
+afterwards, rounds go on among the texts of refused links until every candidate is in one
+component with its partner or was tested.  Shards above MAX_SHARD rows are cut into slices that
+meet pairwise.  Null texts and texts without words have fingerprint zero and are linked like others.
 Fewer words than the shingle's width form one shingle.  Repeated rows are members like others.
 A null document id never names a component unless all its documents have none.  An empty table
 gives an empty table; columns of the input beside id and text are ignored.
@@ -29,6 +31,10 @@ SEED = 42
 SAMPLE = 32_768
 SHARD_POINTS = 1024
 ROUTED_POINTS = 16_384
+#: Rows of a shard, or of a slice of a larger one.
+MAX_SHARD = 4096
+#: A round keeps so many times as many candidates of each point as the round before.
+KEEP_GROWTH = 8
 
 # For shingles of five words: links need SIMILARITY.  Majority bits of two sets at that similarity
 # differ in 15 % of places and one-bit min-hashes in 10 %, so these fingerprint the sets: CHECK_BITS
@@ -135,36 +141,52 @@ def set_prints(docs: DataFrame, id_: str, text: str, width: int) -> DataFrame:
     return docs.select(id_, text).mapInArrow(run, SETS)
 
 
-def near_edges(points: DataFrame, radius: int, levels: tuple[int, ...] | None = None) -> DataFrame:
+def near_edges(points: DataFrame, radius: int, levels: tuple[int, ...] | None = None, keep: int = 1) -> DataFrame:
     """Edges (a, b) that join all points (point, fp) whose fingerprints differ in at most ``radius``
     bits: one spanning forest per shard.
 
     With ``levels`` points have ``keys`` too, one for each tree: candidates differ in at most
     ``radius`` bits of a key and, for a forest of each level, in at most so many bits of ``fp``.
+    The ``keep`` closest candidates of a point are edges besides; edges have a column ``more``,
+    true where a point has others.  Points of one ``label``, if there is that column, are not candidates.
     Points must be distinct.  Trees are fitted on a bounded sample; every point is routed.
     """
     n = points.count()
+    if levels is not None and "label" not in points.columns:
+        points = points.withColumn("label", F.col("point"))
+    columns = ["point", "fp"] if levels is None else ["point", "fp", "keys", "label"]
     of_tree = (lambda batch: [batch.column("fp").to_numpy().view(np.uint64)]) if levels is None else _keys
     sample = points.select(*([] if levels is None else ["keys"]), "fp").orderBy(F.xxhash64("fp", "point")).limit(SAMPLE).toArrow()
     leaves = max(1, n // SHARD_POINTS)
     trees = [hamming.fit(column, leaves) for column in of_tree(sample.combine_chunks())]
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(tree, leaf, len(at)) for tree, values in enumerate(of_tree(batch)) for leaf, at, _ in hamming.route(trees[tree], values, radius)]
+            a, b, c = np.array(found, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(c)], names=["tree", "shard", "n"])
+
+    parts = points.select(*columns).repartition(max(1, n // ROUTED_POINTS))
+    sizes = parts.mapInArrow(counted, "tree int, shard int, n long").groupBy("tree", "shard").agg(F.sum("n").alias("n"))
+    slices = {(r["tree"], r["shard"]): -(-r["n"] // MAX_SHARD) for r in sizes.where(F.col("n") > MAX_SHARD).collect()}
+
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            mixed = (batch.column("point").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            label = batch.column("point" if levels is None else "label")
             for tree, values in enumerate(of_tree(batch)):
                 for leaf, at, home in hamming.route(trees[tree], values, radius):
+                    m = slices.get((tree, leaf), 1)
+                    side = (mixed[at] % np.uint64(m)).astype(np.int32)
                     where = pa.array(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(at), tree, np.int32)),
-                            pa.array(np.full(len(at), leaf, np.int32)),
-                            pa.array(np.full(len(at), home)),
-                            batch.column("point").take(where),
-                            batch.column("fp").take(where),
-                            pa.array(values[at].view(np.int64)),
-                        ],
-                        names=["tree", "shard", "home", "point", "fp", "key"],
-                    )
+                    rows = [c.take(where) for c in (batch.column("point"), batch.column("fp"), label)]
+                    fixed = [pa.array(np.full(len(at), tree, np.int32)), pa.array(np.full(len(at), leaf, np.int32)), pa.array(np.full(len(at), home))]
+                    for other in range(m):
+                        low, high = np.minimum(side, np.int32(other)), np.maximum(side, np.int32(other))
+                        yield pa.RecordBatch.from_arrays(
+                            [*fixed, pa.array(low), pa.array(high), pa.array(side), *rows, pa.array(values[at].view(np.int64))],
+                            names=["tree", "shard", "home", "low", "high", "side", "point", "fp", "label", "key"],
+                        )
 
     def shard(key: tuple, table: pa.Table) -> pa.Table:
         # In a fixed order, as the forest depends on it: a shard run again gives the same edges.
@@ -172,22 +194,37 @@ def near_edges(points: DataFrame, radius: int, levels: tuple[int, ...] | None =
         ids = table.column("point").to_numpy()
         fps, values = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "key"))
         home = table.column("home").to_numpy()
-        # Points with one check fingerprint are one position here; each has an edge to the first of
-        # them, so a tight group of near copies costs no pairs.
-        _, first, same = np.unique(np.stack([fps, values]), axis=1, return_index=True, return_inverse=True)
-        same = first[same.ravel()]
-        first.sort()
-        at_home = np.zeros(len(ids), bool)
-        np.logical_or.at(at_home, same, home)
-        forest = hamming.Forest(len(ids)) if levels is None else hamming.LevelForests(fps, levels)
-        hamming.search(values, first[at_home[first]], first[~at_home[first]], radius, forest)
+        if levels is None:
+            forest = hamming.Forest(len(ids))
+        else:
+            sets = np.unique(table.column("label").to_numpy(), return_inverse=True)[1].ravel()
+            side = table.column("side").to_numpy() if key[2].as_py() != key[3].as_py() else None
+            forest = hamming.LevelForests(fps, levels, sets, keep, side)
+        hamming.search(values, np.flatnonzero(home), np.flatnonzero(~home), radius, forest)
         a, b = np.array(forest.edges, np.int64).reshape(-1, 2).T
-        rest = np.flatnonzero(same != np.arange(len(ids)))
-        return pa.table({"a": np.concatenate([ids[a], ids[rest]]), "b": np.concatenate([ids[b], ids[same[rest]]])})
+        cut = np.zeros(len(ids), bool)
+        if levels is not None:
+            cut[list(forest.cut)] = True
+        return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "more": cut[a]})
+
+    spread = parts.mapInArrow(routed, "tree int, shard int, home boolean, low int, high int, side int, point long, fp long, label long, key long")
+    edges = spread.groupBy("tree", "shard", "low", "high").applyInArrow(shard, "a long, b long, more boolean")
+    return edges.groupBy("a", "b").agg(F.max("more").alias("more"))
+
 
-    parts = points.select("point", "fp", *([] if levels is None else ["keys"])).repartition(max(1, n // ROUTED_POINTS))
-    spread = parts.mapInArrow(routed, "tree int, shard int, home boolean, point long, fp long, key long")
-    return spread.groupBy("tree", "shard").applyInArrow(shard, "a long, b long").distinct()
+def star_edges(points: DataFrame) -> DataFrame:
+    """Edges (a, b) of every point and the least point with its key, for each tree: a first fold of hot keys."""
+    keyed = points.select("point", "fp", F.posexplode("keys").alias("tree", "key"))
+    least = keyed.groupBy("tree", "key").agg(F.min(F.struct("point", "fp")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = keyed.join(least.drop("n"), ["tree", "key"]).where(F.col("point") != F.col("least.point"))
+    stars = stars.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= LEVELS[-1])
+    return stars.select(F.col("least.point").alias("a"), F.col("point").alias("b")).distinct()
+
+
+def _labelled(df: DataFrame, edges: DataFrame, column: str, into: str) -> DataFrame:
+    roots = components(edges, "a", "b").select(F.col("node").alias("labelled_node"), F.col("root").alias("labelled_root"))
+    joined = df.join(roots, F.col(column) == F.col("labelled_node"), "left")
+    return joined.select(*df.columns, F.coalesce("labelled_root", column).alias(into))
 
 
 def _with_components(prints: DataFrame, node: str, edges: DataFrame) -> DataFrame:
@@ -204,7 +241,7 @@ def linked_fingerprints(docs: DataFrame, id_: str, text: str, *, width: int, rad
     """(doc, fp, component_id): documents whose fingerprints differ in at most ``radius`` bits are linked."""
     prints = storage.stored(fingerprints(docs, id_, text, width), "fingerprints")
     points = storage.stored(prints.select("fp", F.col("fp").alias("point")).distinct(), "points")
-    edges = near_edges(points, radius)
+    edges = near_edges(points, radius).select("a", "b")
     return _with_components(prints, "fp", edges).select("doc", "fp", "component_id")
 
 
@@ -248,6 +285,32 @@ def near_documents(docs: DataFrame, id_: str, text: str, *, width: int = SHINGLE
     prints = storage.stored(set_prints(docs, id_, text, width), "fingerprints")
     points = prints.groupBy(F.col("set_id").alias("point")).agg(F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("doc").alias("rep"))
     points = storage.stored(points, "points")
-    edges = storage.stored(near_edges(points, RADIUS, LEVELS), "candidates")
-    good = similar(edges, docs, points.select("point", "rep"), id_, text, width, least)
+    reps = points.select("point", "rep")
+    stars = storage.stored(star_edges(points), "candidates")
+    good = storage.stored(similar(stars, docs, reps, id_, text, width, least), "links")
+    todo, keep = points, 1
+    while True:
+        labelled = storage.stored(_labelled(todo, good, "point", "label"), "labelled")
+        found = storage.stored(near_edges(labelled, RADIUS, LEVELS, keep), "candidates")
+        if found.isEmpty():
+            break
+        good = storage.stored(good.unionByName(similar(found.select("a", "b"), docs, reps, id_, text, width, least)), "links")
+        todo = still_open(todo, found, good)
+        if todo is None:
+            break
+        keep *= KEEP_GROWTH
     return _with_components(prints, "set_id", good).select("doc", "component_id")
+
+
+def still_open(points: DataFrame, found: DataFrame, good: DataFrame) -> DataFrame | None:
+    """The points that may have an untested candidate in another component: those of a group joined by
+    the edges ``found`` and ``good`` where an edge found has its ends apart and a point has more."""
+    ends = _labelled(_labelled(found, good, "a", "label_a"), good, "b", "label_b")
+    apart = ends.where("label_a != label_b")
+    if apart.isEmpty():
+        return None
+    graph = storage.stored(found.select("a", "b").unionByName(good), "graph")
+    groups = _labelled(ends.select("a", (F.col("label_a") != F.col("label_b")).alias("apart"), "more"), graph, "a", "group")
+    wanted = groups.groupBy("group").agg(F.max("apart").alias("apart"), F.max("more").alias("more")).where("apart AND more").select("group")
+    rest = storage.stored(_labelled(points, graph, "point", "group").join(wanted, "group", "left_semi").drop("group"), "open")
+    return None if rest.isEmpty() else rest

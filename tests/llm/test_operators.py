@@ -505,3 +505,40 @@ def test_candidates_do_not_depend_on_row_order(spark):
         return {(r["a"], r["b"]) for r in found.collect()}
 
     assert edges(rows, 2) == edges(rows[::-1], 5)
+
+
+def test_refused_links_do_not_hide_true_ones(spark):
+    rng = np.random.default_rng(31)
+    bases = [[f"w{k}" for k in rng.integers(0, 9000, 160)] for _ in range(2)]
+    texts = []
+    for i in range(240):
+        words = bases[i % 2].copy()
+        for k in rng.choice(160, 2, replace=False):
+            words[k] = f"new{rng.integers(0, 10**9)}"
+        texts.append(words)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc"]: r["component_id"] for r in simhash.near_documents(df, "doc_id", "text").collect()}
+    near = [(i, j) for i in range(len(sets)) for j in range(i % 2, i, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = brute_components(len(sets), near)
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert len(near) > 100 and sum(got[i] == got[j] for i, j in near) >= 0.99 * len(near)
+
+
+def test_every_point_keeps_its_closest_and_sides_meet():
+    rng = np.random.default_rng(8)
+    checks = rng.integers(0, 1 << 20, 700, dtype=np.uint64) & np.uint64(0x3FFF)
+    sets, side = np.arange(700), np.arange(700) % 2
+    values = np.zeros(700, np.uint64)
+    for sides in (None, side):
+        forest = hamming.LevelForests(checks, (16,), sets, 1, sides)
+        hamming.search(values, np.arange(0, 500), np.arange(500, 700), 1, forest)
+        far = np.bitwise_count(checks[:, None] ^ checks[None, :]).astype(int)
+        far[np.eye(700, dtype=bool)] = 99
+        far[500:, 500:] = 99
+        if sides is not None:
+            far[side[:, None] == side[None, :]] = 99
+        best = {}
+        for a, b in forest.edges:
+            best[a] = min(best.get(a, 99), far[a, b])
+        assert all(best[i] == far[i].min() for i in range(700))
