@@ -542,3 +542,13 @@ def test_every_point_keeps_its_closest_and_sides_meet():
         for a, b in forest.edges:
             best[a] = min(best.get(a, 99), far[a, b])
         assert all(best[i] == far[i].min() for i in range(700))
+
+
+def test_hot_shard_is_sliced(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MAX_SHARD", 60)
+    rng = np.random.default_rng(4)
+    rows = [(i, int(x), [7] * simhash.TREES) for i, x in enumerate(rng.integers(0, 1 << 62, 200))]
+    rows += [(1000 + i, rows[i][1] ^ 5, rows[i][2]) for i in range(200)]
+    points = spark.createDataFrame(rows, "point long, fp long, keys array<int>")
+    found = {(r["a"], r["b"]) for r in simhash.near_edges(points, simhash.RADIUS, simhash.LEVELS).collect()}
+    assert {(i, 1000 + i) for i in range(200)} <= found
