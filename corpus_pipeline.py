@@ -2,8 +2,9 @@
 
 Stages pass on the columns of their input.  Null and empty texts fail the quality rules; repeated
 rows of one document are one document to the near-dedup stage, and all but one document of a
-group go.  A document without an id goes only where a document with one is near to it.  An empty
-table passes through every stage.
+group go.  The least id stays, then the least hash of the text; a document without an id stays only
+where no document with one is near to it, and one of a group without ids.  An empty table passes
+through every stage.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from lanternpost.llm import line_dedup, packing, quality_rules, simhash, substri
 from lanternpost.llm.helpers import fresh_name
 from lanternpost.sources import storage
 
-NO_ID = -(1 << 63)
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -42,10 +42,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     found = simhash.near_documents(docs, "doc_id", "text")
-    key, text_hash, kept_key = fresh_name(docs, "id_key"), fresh_name(docs, "text_key"), fresh_name(docs, "kept_key")
-    kept = found.where(F.col("doc").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc", F.lit(NO_ID)).alias(kept_key)).distinct()
-    keyed = docs.withColumns({key: F.coalesce("doc_id", F.lit(NO_ID)), text_hash: F.xxhash64("text")})
-    one = keyed.join(kept, F.col(key) == F.col(kept_key), "left_semi").dropDuplicates([key, text_hash])
+    text_hash, kept_id, kept_hash = fresh_name(docs, "text_key"), fresh_name(docs, "kept_id"), fresh_name(docs, "kept_hash")
+    first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "text_hash"))
+    kept = found.groupBy("root").agg(first.alias("one")).select(F.col("one.doc").alias(kept_id), F.col("one.text_hash").alias(kept_hash)).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(text_hash) == F.col(kept_hash))
+    one = docs.withColumn(text_hash, F.xxhash64("text")).join(kept, on, "left_semi").dropDuplicates(["doc_id", text_hash])
     return one.select(*docs.columns)
 
 

@@ -50,7 +50,7 @@ RADIUS = 1
 LEVELS = (5, 8, 11, 16)
 
 PRINTS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("fp", T.LongType())])
-SETS = T.StructType([*PRINTS.fields, T.StructField("set_id", T.LongType()), T.StructField("keys", T.ArrayType(T.IntegerType()))])
+SETS = T.StructType([*PRINTS.fields, T.StructField("text_hash", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("keys", T.ArrayType(T.IntegerType()))])
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -118,7 +118,7 @@ def min_bits(hashes: np.ndarray) -> np.ndarray:
 
 
 def set_prints(docs: DataFrame, id_: str, text: str, width: int) -> DataFrame:
-    """(doc, fp, set_id, keys) of every row: the check fingerprint, a hash of the set of shingles, and a key for each tree."""
+    """(doc, fp, text_hash, set_id, keys) of every row: the check fingerprint, a hash of the set of shingles, and a key for each tree."""
     place = 1 << np.arange(KEY_BITS, dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,13 +132,14 @@ def set_prints(docs: DataFrame, id_: str, text: str, width: int) -> DataFrame:
                     [
                         part.column(id_).cast(pa.int64()),
                         pa.array(checks),
+                        part.column("text_hash"),
                         _signed([xxhash.xxh64_intdigest(s.tobytes()) for s in sets]),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, TREES, dtype=np.int32)), pa.array(keys.astype(np.int32))),
                     ],
                     names=SETS.names,
                 )
 
-    return docs.select(id_, text).mapInArrow(run, SETS)
+    return docs.select(id_, text, F.xxhash64(text).alias("text_hash")).mapInArrow(run, SETS)
 
 
 def near_edges(points: DataFrame, radius: int, levels: tuple[int, ...] | None = None, keep: int = 1) -> DataFrame:
@@ -228,12 +229,12 @@ def _labelled(df: DataFrame, edges: DataFrame, column: str, into: str) -> DataFr
 
 
 def _with_components(prints: DataFrame, node: str, edges: DataFrame) -> DataFrame:
-    """``prints`` and component_id, the least document id reachable through equal or linked nodes."""
+    """``prints``, the component's node ``root`` and component_id, the least document id reachable through equal or linked nodes."""
     roots = components(edges, "a", "b")
     named = prints.groupBy(F.col(node).alias("node")).agg(F.min("doc").alias("least")).join(roots, "node", "left")
     named = named.select("node", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = named.join(least, "root").select(F.col("node").alias(node), "component_id")
+    of_node = named.join(least, "root").select(F.col("node").alias(node), "root", "component_id")
     return prints.join(of_node, node)
 
 
@@ -280,7 +281,7 @@ def similar(edges: DataFrame, docs: DataFrame, reps: DataFrame, id_: str, text:
 
 
 def near_documents(docs: DataFrame, id_: str, text: str, *, width: int = SHINGLE_WORDS, least: float = SIMILARITY) -> DataFrame:
-    """(doc, component_id): documents are linked when their sets of shingles are equal, or when the
+    """(doc, text_hash, root, component_id), root never null: documents are linked when their sets of shingles are equal, or when the
     fingerprints make them candidates and the Jaccard similarity of the sets is ``least`` or more."""
     prints = storage.stored(set_prints(docs, id_, text, width), "fingerprints")
     points = prints.groupBy(F.col("set_id").alias("point")).agg(F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("doc").alias("rep"))
@@ -299,7 +300,7 @@ def near_documents(docs: DataFrame, id_: str, text: str, *, width: int = SHINGLE
         if todo is None:
             break
         keep *= KEEP_GROWTH
-    return _with_components(prints, "set_id", good).select("doc", "component_id")
+    return _with_components(prints, "set_id", good).select("doc", "text_hash", "root", "component_id")
 
 
 def still_open(points: DataFrame, found: DataFrame, good: DataFrame) -> DataFrame | None:

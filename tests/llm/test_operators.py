@@ -552,3 +552,14 @@ def test_hot_shard_is_sliced(spark, monkeypatch):
     points = spark.createDataFrame(rows, "point long, fp long, keys array<int>")
     found = {(r["a"], r["b"]) for r in simhash.near_edges(points, simhash.RADIUS, simhash.LEVELS).collect()}
     assert {(i, 1000 + i) for i in range(200)} <= found
+
+
+def test_one_row_of_each_group_without_ids_stays(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(41)
+    near, lone, two = (prose(rng, 200) for _ in range(3))
+    rows = [(1, near), (None, near + " tail"), (None, lone), (None, lone + " tail"), (7, two), (7, two + " tail"), (7, prose(rng, 200))]
+    left = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] or 0 for r in left) == [0, 1, 7, 7]
+    assert next(r["text"] for r in left if r["doc_id"] is None).startswith(lone)
