@@ -138,7 +138,7 @@ def window_runs(texts: DataFrame) -> DataFrame:
                     names=["anchor", "sig", "doc", "row", "at"],
                 )
 
-    return texts.mapInArrow(run, f"anchor long, sig long, doc {id_type}, row int, at long")
+    return texts.mapInArrow(run, f"anchor long, sig long, doc {id_type}, row long, at long")
 
 
 def windows_of(chosen: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def windows_of(chosen: DataFrame) -> DataFrame:
                     names=["anchor", "off", "h", "doc", "row", "pos", "weight"],
                 )
 
-    return chosen.mapInArrow(run, f"anchor long, off int, h long, doc {id_type}, row int, pos long, weight int")
+    return chosen.mapInArrow(run, f"anchor long, off int, h long, doc {id_type}, row long, pos long, weight int")
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     again = windows.groupBy("anchor", "off", "h").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "off", "h")
     single = windows.where("weight = 1").join(again, ["anchor", "off", "h"])
     single = single.select("doc", "row", F.col("pos").alias("first"), F.lit(1).cast("long").alias("count"))
-    return whole.unionByName(single).groupBy("doc", "row").agg(F.collect_list(F.struct("first", "count")).alias("ranges"))
+    return whole.unionByName(single).groupBy("doc", "row").agg(F.collect_set(F.struct("first", "count")).alias("ranges"))
 
 
 def _joined(texts: DataFrame, side: DataFrame, how: str, column: str) -> DataFrame:
@@ -228,8 +228,8 @@ def dedup_substrings(docs: DataFrame, id_: str, text: str, into: str) -> DataFra
     own, doc, row, ranges = (fresh_name(docs, c) for c in ("own_doc", "text_doc", "text_row", "ranges"))
     rest = [c for c in docs.columns if c not in (id_, text)]
     # The same projection and keys as the inner joins: without other columns they share one exchange.
-    keyed = docs.select(F.col(id_).alias(own), F.col(text), F.hash(F.col(text)).alias(row), *rest)
-    texts = docs.select(F.col(id_).alias("doc"), F.col(text).alias("text"), F.hash(F.col(text)).alias("row"))
+    keyed = docs.select(F.col(id_).alias(own), F.col(text), F.xxhash64(F.col(text)).alias(row), *rest)
+    texts = docs.select(F.col(id_).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("row"))
     found = repeated_windows(texts).select(F.col("doc").alias(doc), F.col("row").alias(row + "_"), F.col("ranges").alias(ranges))
     on = F.col(own).eqNullSafe(F.col(doc)) & (F.col(row) == F.col(row + "_"))
     joined = keyed.join(found, on, "left").select(*[F.col(own).alias(id_) if c == id_ else c for c in docs.columns], ranges)

@@ -563,3 +563,14 @@ def test_one_row_of_each_group_without_ids_stays(spark):
     left = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r["doc_id"] or 0 for r in left) == [0, 1, 7, 7]
     assert next(r["text"] for r in left if r["doc_id"] is None).startswith(lone)
+
+
+def test_texts_of_one_id_with_equal_short_hashes(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    numbers = spark.range(200_000).selectExpr("CAST(id AS string) AS n")
+    long = numbers.selectExpr(f"concat(n, ' {passage}') AS text").selectExpr("text AS long", "hash(text) AS h")
+    short = numbers.selectExpr("concat(n, ' short') AS text").selectExpr("text AS short", "hash(text) AS h")
+    pair = long.join(short, "h").orderBy("long").first()
+    df = spark.createDataFrame([(None, pair["long"]), (None, pair["short"]), (9, passage)], "doc_id long, text string")
+    got = {r["text"]: r["r"]["n_removed"] for r in substring_dedup.dedup_substrings(df, "doc_id", "text", "r").collect()}
+    assert got == {pair["long"]: 40, pair["short"]: 0, passage: 40}
