@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import Registry
 from ..sources import storage
 from ..sources.readers import table
-from . import chat_formatting, embedding_dedup, line_dedup, packing, quality_rules, simhash, sql, substring_dedup, token_counts, unigram, url_filters
+from . import chat_formatting, embedding_dedup, hard_negatives, line_dedup, packing, prefix_trie, quality_rules, simhash, sql, substring_dedup, token_counts, unigram, url_filters, warc
 
 registry = Registry()
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -116,4 +116,37 @@ def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.linked_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding")
 
 
+@registry.query("op11_hard_negatives", sql.OP11)
+def negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.scaled_rows(table(spark, folder, "embeddings"), "vec_id", "embedding", moved)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+@registry.query("op12_warc")
+def archived_pages(spark: SparkSession, folder: str) -> DataFrame:
+    monolithic, members = storage.shared_folder(spark, "monolithic"), storage.shared_folder(spark, "members")
+    warc.write_archives(table(spark, folder, "pages"), "page_id", "url", "html", monolithic)
+    warc.normalise(spark, monolithic, members)
+    read = warc.read_records(spark, members)
+    whole = F.col("record_type") == "response"
+    return read.select(
+        F.col("record_id").try_cast("long").alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(whole, warc.payload_digest(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").try_cast("long").alias("refers_to"),
+        "archive",
+        "offset",
+        "length",
+    )
+
+
+@registry.query("op13_prefix_trie", sql.OP13)
+def shared_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    turns = storage.stored(prefix_trie.ordered_turns(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text"), "ordered")
+    convs = storage.stored(turns.select("conv").distinct(), "conv-ids")
+    return prefix_trie.trie(storage.stored(prefix_trie.grafted(turns, convs), "rebuilt"), convs)
+
+
 QUERIES, ORACLE = registry.queries, registry.oracle
