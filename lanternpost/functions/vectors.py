@@ -44,15 +44,28 @@ def word_bucket(word: Column, dim: int = DEFAULT_DIM) -> Column:
     return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
 
 
+def run_lengths(ordered: Column) -> Column:
+    """Map of each value of a sorted array to how often it occurs, from the places where a run starts."""
+    size = F.size(ordered)
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: F.coalesce(F.get(ordered, i) != F.get(ordered, i - 1), F.lit(True)))
+
+    def counted(first: Column) -> Column:
+        lengths = F.transform(first, lambda at, i: F.coalesce(F.get(first, i + 1), size) - at)
+        return F.map_from_arrays(F.transform(first, lambda at: F.get(ordered, at)), lengths)
+
+    return bound(starts, counted)
+
+
 def hashed_counts(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """Hashed bag of lower-case words: ``dim`` counts, each the size lost when a bucket is removed."""
+    """Hashed bag of lower-case words: ``dim`` counts, read off the runs of the sorted buckets."""
 
-    def tally(buckets: Column) -> Column:
-        total = F.size(buckets)
+    def tally(runs: Column) -> Column:
         slots = F.sequence(F.lit(0), F.lit(dim - 1))
-        return F.transform(slots, lambda k: (total - F.size(F.array_remove(buckets, k))).cast("double"))
+        return F.transform(slots, lambda k: F.coalesce(F.try_element_at(runs, k), F.lit(0)).cast("double"))
 
-    return bound(F.transform(words(F.lower(text)), lambda w: word_bucket(w, dim)), tally)
+    ordered = F.sort_array(F.transform(words(F.lower(text)), lambda w: word_bucket(w, dim)))
+    return bound(bound(ordered, run_lengths), tally)
 
 
 def encoded(text: Column, dim: int = DEFAULT_DIM) -> Column:

@@ -5,10 +5,8 @@ query leave a task.  Two plans give the same rows:
 
 * few queries (their bytes are measured against a limit): the query matrix is
   broadcast and every knowledge-base partition is read once;
-* many queries: both sides are cut into cells around hash-chosen pivots.  A query
-  first meets its own cell, which gives a floor for its k-th similarity, and then
-  only the cells whose distance bound can still reach that floor.  Cells larger
-  than a block are split on both sides, so one dense cell is many groups.
+* many queries: an index of cells is built and searched in rounds, see
+  :mod:`vector_index`.  An index that is already there answers either way.
 
 Similarities are rounded before they are ranked and ties go to the smaller id.
 """
@@ -17,53 +15,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
+from ..sources.storage import delete, shared_folder
 from .ordering import per_group
+from .scoring import QUERY_STEP, fold, scored, unit_matrix
+from .vector_index import VectorIndex, build
 
 BROADCAST_BYTES = 16 << 20
-BLOCK_ROWS = 8192
-QUERY_STEP = 1024
-DIGITS = 9
-
-
-def _matrix(vectors) -> np.ndarray:
-    """Rows scaled to length one; zero rows stay zero."""
-    if len(vectors) == 0:
-        return np.zeros((0, 0))
-    m = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
-    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the ``k`` best scores per row; ties go to the smaller id."""
-    width = scores.shape[1]
-    least = np.partition(scores, width - k, axis=1)[:, width - k] if width > k else np.full(len(scores), -2.0)
-    if floor is not None:
-        least = np.maximum(least, floor)
-    rows, cols = np.nonzero(scores >= least[:, None])
-    id_order = np.unique(ids[cols], return_inverse=True)[1] if len(cols) else cols
-    order = np.lexsort((id_order, -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-    return rows[place < k], cols[place < k]
-
-
-def _fold(frames: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    merged = pd.concat(frames, ignore_index=True)
-    merged = merged.sort_values(["query_id", "similarity", "kb_id"], ascending=[True, False, True], kind="stable")
-    return merged.groupby("query_id", sort=False).head(k)
-
-
-def _scored(q_ids, q, kb_ids, kb, k: int, floor: float | None) -> pd.DataFrame:
-    sims = np.round(q @ kb.T, DIGITS) + 0.0
-    rows, cols = _best(sims, kb_ids, k, floor)
-    return pd.DataFrame({"query_id": q_ids[rows], "kb_id": kb_ids[cols], "similarity": sims[rows, cols]})
 
 
 def _result_schema(queries: DataFrame, query_id: str, kb: DataFrame, kb_id: str) -> str:
@@ -82,8 +43,8 @@ def _query_rows_within(queries: DataFrame, vector: str, limit: int) -> bool:
 def _broadcast_plan(
     queries: DataFrame, kb: DataFrame, ids: tuple[str, str], vectors: tuple[str, str], k: int, floor: float | None
 ) -> DataFrame:
-    local = queries.select(ids[0], vectors[0]).toPandas()
-    shared = kb.sparkSession.sparkContext.broadcast((local[ids[0]].to_numpy(), _matrix(local[vectors[0]])))
+    local = queries.where(F.col(vectors[0]).isNotNull()).select(ids[0], vectors[0]).toPandas()
+    shared = kb.sparkSession.sparkContext.broadcast((local[ids[0]].to_numpy(), unit_matrix(local[vectors[0]])))
     kb_id, kb_vector = ids[1], vectors[1]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,186 +53,56 @@ def _broadcast_plan(
         for batch in batches:
             if len(batch) == 0 or len(q_ids) == 0:
                 continue
-            block = _matrix(batch[kb_vector])
+            block = unit_matrix(batch[kb_vector])
             for at in range(0, len(q_ids), QUERY_STEP):
                 part = slice(at, at + QUERY_STEP)
-                found = _scored(q_ids[part], q[part], batch[kb_id].to_numpy(), block, k, floor)
+                found = scored(q_ids[part], q[part], batch[kb_id].to_numpy(), block, k, floor)
                 best = found if best is None else pd.concat([best, found], ignore_index=True)
-            best = _fold([best], k)
+            best = fold([best], k)
         if best is not None:
             yield best
 
-    return kb.select(kb_id, kb_vector).mapInPandas(scan, _result_schema(queries, ids[0], kb, kb_id))
-
-
-# --- cells --------------------------------------------------------------------
-
-
-def _pivots(kb: DataFrame, kb_id: str, kb_vector: str, count: int) -> np.ndarray:
-    rows = (
-        kb.where(F.exists(kb_vector, lambda x: x != 0))
-        .select(kb_id, kb_vector)
-        .orderBy(F.xxhash64(kb_id), kb_id)
-        .limit(count)
-        .toPandas()
-    )
-    return np.unique(_matrix(rows[kb_vector]), axis=0) if len(rows) else np.zeros((0, 0))
-
-
-def _nearest_pivot(df: DataFrame, id_col: str, vector: str, pivots: np.ndarray, names: tuple[str, str]) -> DataFrame:
-    """(id, vec, cell, dist): the closest pivot of each non-zero vector; zero vectors get cell -1."""
-    shared = df.sparkSession.sparkContext.broadcast(pivots)
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = shared.value
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            m = _matrix(batch[vector])
-            cosines = m @ p.T if p.size else np.zeros((len(m), 1))
-            cell = cosines.argmax(axis=1)
-            gap = np.sqrt(np.maximum(2.0 - 2.0 * cosines[np.arange(len(m)), cell], 0.0))
-            zero = ~m.any(axis=1)
-            yield pd.DataFrame(
-                {
-                    names[0]: batch[id_col],
-                    names[1]: list(m),
-                    "cell": np.where(zero, -1, cell).astype(np.int32),
-                    "dist": np.where(zero, 0.0, gap),
-                }
-            )
-
-    schema = f"{names[0]} {id_type}, {names[1]} array<double>, cell int, dist double"
-    return df.select(id_col, vector).mapInPandas(assign, schema)
-
-
-def _parts(rows: Column) -> Column:
-    return F.ceil(rows / F.lit(float(BLOCK_ROWS))).cast("int")
-
-
-def _part_of(id_col: str, parts: Column) -> Column:
-    return F.pmod(F.xxhash64(id_col), parts).cast("int")
-
-
-def _meet(visits: DataFrame, cells: DataFrame, k: int, floor: float | None, schema: str) -> DataFrame:
-    """Score every (query, cell) visit against the vectors of the cell, block by block."""
-    kb_parts = cells.groupBy("cell").agg(_parts(F.count(F.lit(1))).alias("kb_parts"))
-    q_parts = visits.groupBy("cell").agg(_parts(F.count(F.lit(1))).alias("q_parts"))
-    shape = kb_parts.join(q_parts, "cell")
-    left = (
-        visits.join(shape, "cell")
-        .withColumn("q_part", _part_of("query_id", F.col("q_parts")))
-        .withColumn("kb_part", F.explode(F.sequence(F.lit(0), F.col("kb_parts") - 1)))
-        .select("cell", "q_part", "kb_part", "query_id", "q_vec")
-    )
-    right = (
-        cells.join(shape, "cell")
-        .withColumn("kb_part", _part_of("kb_id", F.col("kb_parts")))
-        .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
-        .select("cell", "q_part", "kb_part", "kb_id", "kb_vec")
-    )
-
-    def score(q: pd.DataFrame, kb: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(kb) == 0:
-            return pd.DataFrame({"query_id": [], "kb_id": [], "similarity": []})
-        q_ids, q_vecs = q["query_id"].to_numpy(), np.vstack(q["q_vec"])
-        kb_ids, kb_vecs = kb["kb_id"].to_numpy(), np.vstack(kb["kb_vec"])
-        steps = [slice(at, at + QUERY_STEP) for at in range(0, len(q_ids), QUERY_STEP)]
-        return pd.concat([_scored(q_ids[s], q_vecs[s], kb_ids, kb_vecs, k, floor) for s in steps], ignore_index=True)
-
-    keys = ["cell", "q_part", "kb_part"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
+    return kb.where(F.col(kb_vector).isNotNull()).select(kb_id, kb_vector).mapInPandas(scan, _result_schema(queries, ids[0], kb, kb_id))
 
 
 def _cell_plan(
     queries: DataFrame, kb: DataFrame, ids: tuple[str, str], vectors: tuple[str, str], k: int, floor: float | None
 ) -> DataFrame:
-    spark = kb.sparkSession
-    schema = _result_schema(queries, ids[0], kb, ids[1])
-    size = kb.count()
-    pivots = _pivots(kb, ids[1], vectors[1], int(max(1, size**0.5 / 4)))
-    q_cells = stored(_nearest_pivot(queries, ids[0], vectors[0], pivots, ("query_id", "q_vec")), "query-cells")
-    kb_cells = stored(_nearest_pivot(kb, ids[1], vectors[1], pivots, ("kb_id", "kb_vec")), "kb-cells")
-
-    # A zero vector has similarity 0 with everything, so only its smallest ids can ever rank.
-    def first_ids(df: DataFrame) -> Column:
-        return df.orderBy("kb_id").limit(k).agg(F.array_sort(F.collect_list("kb_id"))).scalar()
-
-    zero_hits = (
-        q_cells.select("query_id", "cell")
-        .withColumn("zeros", first_ids(kb_cells.where("cell = -1")))
-        .withColumn("all", first_ids(kb_cells))
-        .select("query_id", F.explode(F.when(F.col("cell") < 0, F.col("all")).otherwise(F.col("zeros"))).alias("kb_id"))
-        .withColumn("similarity", F.lit(0.0))
-    )
-    if floor is not None:
-        zero_hits = zero_hits.where(F.col("similarity") >= floor)
-
-    live = kb_cells.where("cell >= 0")
-    home = stored(_meet(q_cells.where("cell >= 0"), live, k, floor, schema), "home-hits")
-
-    # Floor of each query: its k-th similarity at home, if home has k.
-    ranked = per_group(home, "query_id", F.desc("similarity"), "kb_id", k)
-    reach = ranked.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("reached"))
-    radii = {r["cell"]: r["r"] for r in live.groupBy("cell").agg(F.max("dist").alias("r")).collect()}
-    shared = spark.sparkContext.broadcast((pivots, radii))
-
-    def onward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, radius = shared.value
-        cells = np.array(sorted(radius), dtype=np.int64)
-        if len(cells) == 0:
-            return
-        r = np.array([radius[c] for c in cells])
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            m = np.vstack(batch["q_vec"])
-            gap = np.sqrt(np.maximum(2.0 - 2.0 * (m @ p.T), 0.0))[:, cells]
-            reached = batch["reached"].fillna(-2.0).to_numpy() - 10.0**-DIGITS
-            limit = np.sqrt(np.maximum(2.0 - 2.0 * reached, 0.0))
-            visit = (gap - r <= limit[:, None] + 1e-6) & (cells[None, :] != batch["cell"].to_numpy()[:, None])
-            rows, cols = np.nonzero(visit)
-            if len(rows) == 0:
-                continue
-            yield pd.DataFrame(
-                {
-                    "query_id": batch["query_id"].to_numpy()[rows],
-                    "q_vec": [batch["q_vec"].iloc[i] for i in rows],
-                    "cell": cells[cols].astype(np.int32),
-                }
-            )
-
-    q_type = queries.schema[ids[0]].dataType.simpleString()
-    visits = (
-        q_cells.where("cell >= 0")
-        .join(reach, "query_id", "left")
-        .mapInPandas(onward, f"query_id {q_type}, q_vec array<double>, cell int")
-    )
-    away = _meet(stored(visits, "visits"), live, k, floor, schema)
-    return home.unionByName(away).unionByName(zero_hits)
+    """An index for this search only."""
+    path = shared_folder(kb.sparkSession, "cells")
+    index = build(kb, path, ids[1], vectors[1])
+    hits = index.search(queries, k, query_id=ids[0], query_vector=vectors[0], floor=floor)
+    delete(kb.sparkSession, path)
+    return hits.drop("rank")
 
 
 def nearest(
     queries: DataFrame,
-    kb: DataFrame,
+    kb: DataFrame | VectorIndex,
     k: int,
     *,
     query_id: str,
     query_vector: str,
-    kb_id: str,
-    kb_vector: str,
+    kb_id: str = "id",
+    kb_vector: str = "vec",
     floor: float | None = None,
     plan: str = "auto",
+    probe: int | None = None,
 ) -> DataFrame:
     """(query_id, kb_id, similarity, rank): the ``k`` most similar rows of ``kb`` per query.
 
     ``floor`` drops hits below a similarity.  It is applied inside the tasks, which
-    gives the same rows as filtering the ranked result.
+    gives the same rows as filtering the ranked result.  ``probe`` limits the cells a query
+    visits; with it the search goes through an index and may miss rows.
     """
     ids, vectors = (query_id, kb_id), (query_vector, kb_vector)
     if plan == "auto":
-        plan = "broadcast" if _query_rows_within(queries, query_vector, BROADCAST_BYTES) else "cells"
-    build = {"broadcast": _broadcast_plan, "cells": _cell_plan}[plan]
-    hits = build(queries, kb, ids, vectors, k, floor)
+        few = probe is None and _query_rows_within(queries, query_vector, BROADCAST_BYTES)
+        plan = "broadcast" if few else "cells"
+    if isinstance(kb, VectorIndex):
+        if plan == "cells":
+            return kb.search(queries, k, query_id=query_id, query_vector=query_vector, floor=floor, probe=probe)
+        kb, ids, vectors = kb.table(), (query_id, "id"), (query_vector, "vec")
+    scan = {"broadcast": _broadcast_plan, "cells": _cell_plan}[plan]
+    hits = scan(queries, kb, ids, vectors, k, floor)
     return per_group(hits, "query_id", F.desc("similarity"), "kb_id", k)

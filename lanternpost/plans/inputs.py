@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions.vectors import cosine, encoded
 from ..operators.knowledge import chunk_rows
+from ..operators.vector_index import VectorIndex, build
 from ..sources.readers import table
+from ..sources.storage import is_kept, shared_folder
 from . import sql
 
 PHRASES = [
@@ -91,6 +93,20 @@ def kb_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return kb_chunks(spark, sf).withColumn("vector", encoded(F.col("text")))
 
 
+_indexes: dict[tuple, str] = {}
+
+
+def kb_index(spark: SparkSession, sf: str) -> VectorIndex:
+    """Index of the encoded chunks, built once per session and state of the source files."""
+    state = table(spark, sf, "documents").agg(F.max("_metadata.file_modification_time").alias("changed"), F.count(F.lit(1)).alias("n")).first()
+    key = (spark.sparkContext.applicationId, sf, state["changed"], state["n"])
+    if key not in _indexes or not is_kept(_indexes[key]):
+        path = shared_folder(spark, "kb-index")
+        build(kb_vectors(spark, sf), path, "doc_id", "vector", columns=["source", "intent", "concern", "text"])
+        _indexes[key] = path
+    return VectorIndex(spark, _indexes[key])
+
+
 CHUNKS = sql.chunked("documents", "doc_id", "text")
 
 

@@ -121,8 +121,8 @@ def grounded_overlap(spark: SparkSession, sf: str) -> DataFrame:
 _LINES = "lines AS (SELECT query_id, string_agg('- ' || replace(substr(text, 1, 250), chr(10), ' ') || chr(10), '' ORDER BY rank) AS ctx FROM cited GROUP BY query_id)"
 
 
-def _cited(spark: SparkSession, sf: str, posts: DataFrame | None = None) -> DataFrame:
-    return retrieval.citations(search.post_snippets(spark, sf, posts))
+def _cited(spark: SparkSession, sf: str, posts: DataFrame | None = None, *, with_vector: bool = False) -> DataFrame:
+    return retrieval.citations(search.post_snippets(spark, sf, posts, with_vector=with_vector))
 
 
 @query(
@@ -217,7 +217,7 @@ def extractive_replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.score_replies(pairs(spark, sf).join(_cited(spark, sf), "query_id", "left"), "query_id")
+    return quality.score_replies(pairs(spark, sf).join(_cited(spark, sf, with_vector=True), "query_id", "left"), "query_id")
 
 
 _QUALITY = [

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx, rules
 from ..functions.vectors import encoded
-from ..operators import neighbours, retrieval
-from ..sources.storage import stored
+from ..operators import neighbours, retrieval, vector_index
+from ..sources.storage import shared_folder, stored
 from . import inputs, sql
 from .registry import Registry
 
@@ -43,6 +43,29 @@ def topk_neighbours_by_cell(spark: SparkSession, sf: str) -> DataFrame:
     return _neighbours(spark, sf, "cells")
 
 
+@query("topk_by_index", _NEAREST)
+def topk_by_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same result from an index that is written to disk, opened by its path and searched in rounds."""
+    path = shared_folder(spark, "vector-index")
+    vector_index.build(inputs.snippet_vectors(spark, sf), path, "doc_id", "vector")
+    index = vector_index.VectorIndex(spark, path)
+    hits = index.search(inputs.snippet_vectors(spark, sf), 10, query_id="doc_id", query_vector="vector")
+    return hits.select("query_id", "kb_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("index_recall", "SELECT 10 AS k, count(*) * 10 AS n_exact, true AS enough FROM embeddings")
+def index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of a search that probes some of the cells, against the exact rows of the same index."""
+    path = shared_folder(spark, "vector-index")
+    vectors = inputs.snippet_vectors(spark, sf)
+    index = vector_index.build(vectors, path, "doc_id", "vector")
+    search = dict(query_id="doc_id", query_vector="vector")
+    exact = index.search(vectors, 10, **search).select("query_id", "kb_id")
+    probed = index.search(vectors, 10, probe=max(1, 3 * len(index.cells) // 4), **search).select("query_id", "kb_id", F.lit(True).alias("found"))
+    both = exact.join(probed, ["query_id", "kb_id"], "left")
+    return both.agg(F.lit(10).alias("k"), F.count(F.lit(1)).alias("n_exact"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
 @query(
     "filtered_search",
     sql.with_ctes(
@@ -135,11 +158,10 @@ def post_queries(posts: DataFrame) -> DataFrame:
     )
 
 
-def post_snippets(spark: SparkSession, sf: str, posts: DataFrame | None = None) -> DataFrame:
-    """Boosted retrieval of chunks for every user turn, or for ``posts``: the encoded tables are kept, then searched."""
-    wanted = post_queries(inputs.said(spark, sf) if posts is None else posts)
-    queries, kb = stored(wanted, "queries"), stored(inputs.kb_vectors(spark, sf), "kb-vectors")
-    return retrieval.boosted_retrieval(queries, kb, topk=20, keep=3, min_similarity=0.3)
+def post_snippets(spark: SparkSession, sf: str, posts: DataFrame | None = None, *, with_vector: bool = False) -> DataFrame:
+    """Boosted retrieval of chunks for every user turn, or for ``posts``, from the index of the knowledge base."""
+    queries = stored(post_queries(inputs.said(spark, sf) if posts is None else posts), "queries")
+    return retrieval.boosted_retrieval(queries, inputs.kb_index(spark, sf), topk=20, keep=3, min_similarity=0.3, with_vector=with_vector)
 
 
 POST_SNIPPETS = [

@@ -38,18 +38,24 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_kept(path: str) -> bool:
+    """Whether a folder of this session has not been released."""
+    return path in _written
+
+
 def discard(table: DataFrame) -> None:
     """Delete the files of a stored table that no later plan reads."""
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        _delete(table.sparkSession, folder)
+        delete(table.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables written so far; call it when their results have been read."""
     while _written:
-        _delete(spark, _written.pop())
+        delete(spark, _written.pop())
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder and what is in it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanternpost.operators import neighbours
+from lanternpost.operators import neighbours, vector_index
 
 
 def brute(queries, kb, k, floor=None):
@@ -64,7 +64,7 @@ def test_floor(spark, data, plan):
 
 @pytest.mark.parametrize("plan", ["broadcast", "cells"])
 def test_small_blocks_and_string_ids(spark, data, plan, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 16)
     monkeypatch.setattr(neighbours, "QUERY_STEP", 4)
     queries = [(f"q{i:03d}", v) for i, v in data[0]]
     kb = [(f"d{i:03d}", v) for i, v in data[1]]
@@ -90,5 +90,7 @@ def test_auto_picks_by_size(spark, monkeypatch):
     q = spark.range(10).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
     hit = dict(query_id="id", query_vector="v", kb_id="id", kb_vector="v")
     monkeypatch.setattr(neighbours, "BROADCAST_BYTES", 1)
-    text = neighbours.nearest(q, q, 2, **hit)._jdf.queryExecution().executedPlan().toString()
-    assert "CoGroup" in text
+    built = []
+    build = neighbours.build
+    monkeypatch.setattr(neighbours, "build", lambda *a, **k: built.append(1) or build(*a, **k))
+    assert neighbours.nearest(q, q, 2, **hit).count() == 20 and built
