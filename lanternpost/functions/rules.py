@@ -175,7 +175,10 @@ def grounded(reply: Column, snippet_words: Column, least: int = 3, least_ratio:
 
 
 def repaired(reply: Column) -> Column:
-    """Best ending for a reply that never became valid: whole sentences only, else an apology."""
+    """Best ending for a reply that never became valid: the whole sentences of one that was cut off, else an apology.
+
+    A reply that ends well was not cut off; it broke another rule and is not given out.
+    """
     ends_well = reply.rlike(rf"[.!?][{SPACE}]*\z")
     whole = F.regexp_extract(reply, r"(?s)(.*(?<!\p{Nd})[.!?])", 1)
     to_last_dot = F.regexp_extract(reply, r"(?s)(.*\.)", 1)
@@ -183,7 +186,7 @@ def repaired(reply: Column) -> Column:
     without_last = F.regexp_replace(reply, r" [^ ]*\z", "")
     return (
         F.when(F.coalesce(reply, F.lit("")) == "", lx.APOLOGY)
-        .when(ends_well, reply)
+        .when(ends_well, lx.APOLOGY)
         .when(whole != "", whole)
         .when(to_last_dot != "", to_last_dot)
         .when(marker, F.concat(without_last, F.lit(".")))

@@ -35,7 +35,7 @@ def repaired_sql(c: str) -> str:
     whole = f"CASE WHEN {marked} <> '' THEN {marked} WHEN regexp_matches({c}, '^[.!?]') THEN substr({c}, 1, 1) ELSE '' END"
     dotted = f"regexp_extract({c}, '^((?s:.*)\\.)', 1)"
     listed = f"regexp_matches({sql.strip(c)}, '(?:First|Second|Third)[{sql.BLANK}]*,?$')"
-    return f"""CASE WHEN coalesce({c}, '') = '' THEN {sql.q(lx.APOLOGY)} WHEN regexp_matches({c}, '[.!?][{sql.BLANK}]*$') THEN {c}
+    return f"""CASE WHEN coalesce({c}, '') = '' THEN {sql.q(lx.APOLOGY)} WHEN regexp_matches({c}, '[.!?][{sql.BLANK}]*$') THEN {sql.q(lx.APOLOGY)}
         WHEN {whole} <> '' THEN {whole} WHEN {dotted} <> '' THEN {dotted}
         WHEN {listed} THEN regexp_replace({c}, ' [^ ]*$', '') || '.' ELSE {sql.q(lx.APOLOGY)} END"""
 

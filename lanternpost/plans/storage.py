@@ -14,7 +14,7 @@ from ..functions import labels as lb
 from ..functions.vectors import encoded
 from ..operators import metrics, replies, retrieval, tagging
 from ..sources import readers, schemas, sinks
-from ..sources.storage import shared_folder
+from ..sources.storage import shared_folder, stored
 from ..streaming import jobs
 from . import evaluation, inputs, search, sql
 from .inputs import PAIRS, POSTS, pairs, posts, table
@@ -105,7 +105,7 @@ def json_salvage(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT count(*) AS n_lines, count(*) FILTER (WHERE doc_id % 5 < 3) AS n_ok, count(*) FILTER (WHERE doc_id % 5 >= 3) AS n_skipped FROM documents""",
 )
 def malformed_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines that are broken or lack a post are counted and skipped; blank lines do not count."""
+    """Lines that are broken or lack a post are skipped and counted in the pass that writes the others; blank lines do not count."""
     doc = F.col("doc_id")
     good = F.to_json(F.struct(F.col("text").alias("post"), F.col("lang").alias("intent")))
     line = (
@@ -116,9 +116,9 @@ def malformed_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     path = shared_folder(spark, "gold")
     table(spark, sf, "documents").select(line.alias("value")).write.mode("overwrite").text(path)
-    read = readers.read_jsonl_tolerant(spark, path, schemas.GOLD)
-    bad, _ = readers.usable_rows(read, "post")
-    return read.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(~bad).alias("n_ok"), F.count_if(bad).alias("n_skipped"))
+    kept = shared_folder(spark, "usable")
+    seen = readers.keep_usable(readers.read_jsonl_tolerant(spark, path, schemas.GOLD), "post", kept)
+    return spark.createDataFrame([(seen["n_lines"], spark.read.schema(schemas.GOLD).json(kept).count(), seen["n_skipped"])], "n_lines long, n_ok long, n_skipped long")
 
 
 @query(
@@ -236,12 +236,12 @@ def _log_counts(log: DataFrame) -> DataFrame:
 
 @query("routed_log_counts", _ROUTED)
 def routed_log_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Audit records appended under bucket and day, then counted from the files."""
+    """Audit records appended under bucket and day as one batch, twice, then counted from the files."""
     records = replies.audit_records(_interactions(table(spark, sf, "events")), snippets=F.lit(0), **_COLUMNS)
     path = shared_folder(spark, "log")
-    sinks.append_log(records, path)
-    wide = T.StructType([*schemas.INTERACTION.fields, T.StructField("bucket", T.StringType()), T.StructField("day", T.StringType())])
-    return _log_counts(spark.read.schema(wide).json(path))
+    for _ in range(2):  # the second time the batch is known
+        sinks.append_log(records, path, "events")
+    return _log_counts(sinks.read_log(spark, path))
 
 
 @query("streamed_log_counts", _ROUTED)
@@ -252,4 +252,32 @@ def streamed_log_counts(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "stream-log")
     started = jobs.start_audit_log(_interactions(events), f"{folder}/out", f"{folder}/state", snippets=F.lit(0), **_COLUMNS)
     started.awaitTermination()
-    return _log_counts(jobs.read_audit_log(spark, f"{folder}/out", schemas.INTERACTION))
+    return _log_counts(sinks.read_log(spark, f"{folder}/out"))
+
+
+# Each event reaches the stream twice, up to six hours late, in one of three arrivals.
+_DELAY_HOURS, _LATE_HOURS = 6, 12
+_ARRIVALS = 3
+_CLOSED = f"""SELECT date_trunc('hour', ts) AS start, CASE WHEN level IN ('immediate', 'high') THEN 'high_risk' ELSE 'general' END AS bucket,
+    count(*) AS n, count(*) FILTER (WHERE level IN ('immediate', 'high')) AS to_review FROM (SELECT *, {_EVENT_LEVEL} AS level FROM events)
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL {_LATE_HOURS} HOUR GROUP BY ALL"""
+
+
+@query("review_counts_by_hour", _CLOSED)
+def review_counts_by_hour(spark: SparkSession, sf: str) -> DataFrame:
+    """Closed hours of a stream whose rows come out of order and twice, in several runs of one checkpoint."""
+    folder = shared_folder(spark, "reviews")
+    events = table(spark, sf, "events")
+    ends = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    span = (ends["last"] - ends["first"]).total_seconds() + _DELAY_HOURS * 3600 + 1
+    made = replies.audit_records(_interactions(events.withColumn("props", F.col("event_id").cast("string"))), snippets=F.lit(0), **_COLUMNS)
+    copies = made.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    delay = F.pmod(F.xxhash64("post_hash", "copy"), F.lit(_DELAY_HOURS * 3600))
+    since = F.unix_timestamp("timestamp") - int(ends["first"].timestamp()) + delay
+    arrival = F.least(F.floor(since / F.lit(span / _ARRIVALS)), F.lit(_ARRIVALS - 1)).cast("int")
+    arriving = stored(copies.withColumn("arrival", arrival).drop("copy"), "arriving")
+    for i in range(_ARRIVALS):
+        arriving.where(F.col("arrival") == i).drop("arrival").write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.file_stream(spark, f"{folder}/in", arriving.drop("arrival").schema, fmt="parquet", files="*.parquet")
+        jobs.start_review_counts(stream, f"{folder}/out", f"{folder}/state", late=f"{_LATE_HOURS} hours").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("start", "bucket", "n", "to_review")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,15 @@ def usable_rows(df: DataFrame, required: str) -> tuple[Column, DataFrame]:
     return bad, df.where(~bad).drop(CORRUPT)
 
 
+def keep_usable(df: DataFrame, required: str, path: str) -> dict[str, int]:
+    """Write the usable rows of a tolerant read as JSON lines; counts of lines come from the same pass."""
+    bad, _ = usable_rows(df, required)
+    seen = Observation()
+    marked = df.withColumn("__bad", bad).observe(seen, F.count(F.lit(1)).alias("n_lines"), F.count_if("__bad").alias("n_skipped"))
+    marked.where(~F.col("__bad")).drop("__bad", CORRUPT).write.json(path)
+    return seen.get
+
+
 def either_shape(df: DataFrame) -> DataFrame:
     """(post, reply, citations) from flat and from wrapped prediction records."""
     wrapped = F.col("rag_output").isNotNull()
