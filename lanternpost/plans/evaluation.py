@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -356,7 +358,7 @@ def tagging_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("doc_id", lb.joined(F.col("Human_Tags")).alias("Human_Tags"), lb.joined(F.col("Model_Tags")).alias("Model_Tags"))
 
 
-# --- fitted models (no SQL counterpart) ---------------------------------------
+# --- fitted models ------------------------------------------------------------
 
 
 def _split_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -380,6 +382,19 @@ def logreg_ovr(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select("split", "label", metrics.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"), "support")
 
 
+@query(
+    "logreg_fit",
+    f"""SELECT 'class ' || i AS label, count(*) FILTER (WHERE label = i) AS support, true AS at_optimum, true AS learned
+    FROM embeddings, range({len(LABELS)}) t(i) GROUP BY i""",
+)
+def logreg_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Per label: its positives, whether the fit ended at the optimum, and whether it beats a model that knows nothing."""
+    own = F.array(*[(F.col("label") == i).cast("int") for i in range(len(LABELS))])
+    models = learners.fit_per_label(inputs.table(spark, sf, "embeddings").withColumn("truth", own), "embedding", "truth", LABELS)
+    rows = [(name, m.support, m.gradient_norm < 1e-8, m.loss < 0.99 * math.log(2.0)) for name, m in zip(LABELS, models) if m]
+    return spark.createDataFrame(rows, "label string, support long, at_optimum boolean, learned boolean")
+
+
 @query("logreg_multinomial")
 def logreg_multinomial(spark: SparkSession, sf: str) -> DataFrame:
     """A multinomial model for three classes; its confusion cells on the test rows."""

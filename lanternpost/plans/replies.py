@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx, rules
 from ..functions.text import word_set
-from ..operators import quality, replies, retrieval, summaries, tagging
+from ..operators import quality, replies, retrieval, tagging
+from ..sources import sinks
+from ..sources.storage import shared_folder
 from . import inputs, search, sql
 from .inputs import PAIRS, pairs, said
 from .registry import Registry
@@ -201,7 +203,7 @@ def crisis_routing(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def extractive_replies(spark: SparkSession, sf: str) -> DataFrame:
-    """Default generator over all posts; a post without snippets is a failed row."""
+    """Default generator over all posts; a post without snippets is a failed row.  Counted while the records are written."""
     made = said(spark, sf).join(_cited(spark, sf), "query_id", "left").select(
         "post",
         F.lit(None).cast("string").alias("predicted_intents"),
@@ -210,7 +212,10 @@ def extractive_replies(spark: SparkSession, sf: str) -> DataFrame:
         "citations",
     )
     records = replies.prediction_records(made.withColumn("error", F.when(F.col("reply").isNull(), "no snippet")))
-    return summaries.success_counts(records, F.col("error").isNotNull())
+    failed = F.col("error").isNotNull()
+    path = shared_folder(spark, "predictions")
+    seen = sinks.counted(records, lambda df: sinks.write_jsonl(df, path, keep_nulls=False), n_ok=F.count_if(~failed), n_fail=F.count_if(failed))
+    return spark.createDataFrame([(seen["n_ok"], seen["n_fail"])], "n_ok long, n_fail long")
 
 
 # --- quality ------------------------------------------------------------------
