@@ -67,3 +67,34 @@ class BoundedMemo(dict):
             self.clear()
         value = self[key] = self.fn(key)
         return value
+
+
+class ByteMemo(dict):
+    """Results by key in two generations of ``limit`` bytes: when the young one is full it becomes the
+    old one, whose results are taken over as they are asked for, so that what comes often stays.
+    Keys above ``longest`` are computed each time."""
+
+    ENTRY = 200
+
+    def __init__(self, fn: Callable, limit: int = 48 << 20, longest: int = 256) -> None:
+        super().__init__()
+        self.fn, self.limit, self.longest = fn, limit, longest
+        self.old: dict = {}
+        self.held = 0
+
+    def keep(self, key, value) -> None:
+        """Remember a result; a full generation is set aside first."""
+        if self.held >= self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        self[key] = value
+        self.held += len(key) + (len(value) if isinstance(value, bytes) else 0) + self.ENTRY
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
+        if len(key) <= self.longest:
+            self.keep(key, value)
+        return value

@@ -7,6 +7,7 @@ Repeated rows are packed one by one.  An empty table gives no pieces.  Other col
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,67 +17,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .helpers import BoundedMemo, blocks, utf8
+from .helpers import ByteMemo, blocks, utf8
 
 MAX_LENGTH = 2048
 END_ID = 1
-LETTERS = frozenset(range(97, 123)) | frozenset(range(65, 91))
 MARK = "<|endoftext|>"
-#: Words a task remembers, about 200 bytes each.
-MEMO_WORDS = 500_000
+WORD_END = "</w>"
+LAST_MARK = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
+#: Bytes of remembered words a task holds in each of two generations.
+MEMO_BYTES = 96 << 20
+LONGEST_WORD = 256
 
 
 class WordIds:
     """Ids of texts from a tokenizer whose pre-tokens never span ASCII white space: words are
-    encoded once and remembered, in a memo of bounded size, as little-endian 32-bit ids.
+    encoded once and remembered, in a memo of bounded bytes, as little-endian 32-bit ids.
 
-    A last full stop or comma after an ASCII letter is a pre-token of its own, and ASCII words
-    are lower-cased as the tokenizer does, so that fewer different words reach it.
+    ASCII letters are lower-cased as the tokenizer does, and a full stop or comma after a letter and
+    before white space, a pre-token of its own, is parted from its word, so that fewer different
+    words reach the tokenizer.  Texts that may hold special tokens are left as they are.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(MARK)
-        self.words = BoundedMemo(self._word, MEMO_WORDS)
-        self.parts: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.words = ByteMemo(self._word, MEMO_BYTES, LONGEST_WORD)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    @staticmethod
-    def _base(word: bytes) -> tuple[bytes, bytes]:
-        end = b""
-        if b"<|" in word:
-            return word, end
-        if len(word) > 1 and word[-1] in b".," and word[-2] in LETTERS:
-            word, end = word[:-1], word[-1:]
-        return (word.lower() if word.isascii() else word), end
-
-    def _part(self, part: bytes) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            got = self.parts[part] = self._ids(part.decode()).tobytes()
-        return got
-
     def _word(self, word: bytes) -> bytes:
-        base, end = self._base(word)
-        return self._part(base) + (self._part(end) if end else b"")
+        return self._ids(word.decode()).tobytes()
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, starts: list[int], stops: list[int]) -> None:
+        held = ids.tobytes()
+        for word, a, b in zip(words, starts, stops):
+            self.words.keep(word, held[4 * a : 4 * b])
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode the new words of a block in one call, with a special token between them."""
-        new = {p for w in words for p in self._base(w) if p and p not in self.parts}
-        new = [p for p in new if b"<|" not in p]
-        if len(self.parts) + len(new) > self.words.limit:
-            self.parts.clear()
-        if not new:
-            return
-        ids = self._ids(MARK.join(p.decode() for p in new))
-        cuts = np.flatnonzero(ids == self.mark)
-        for p, a, b in zip(new, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-            self.parts[p] = ids[a:b].tobytes()
+        """Encode the new words of a block in two calls.
+
+        Words of letters alone are one pre-token each, which ends with a token that closes a word;
+        a special token stands between the others.
+        """
+        new = [w for w in words if len(w) <= LONGEST_WORD and b"<|" not in w and w not in self.words.old]
+        texts = [w.decode() for w in new]
+        plain = [t.isalpha() for t in texts]
+        letters = [w for w, p in zip(new, plain) if p]
+        if letters:
+            ids = self._ids(" ".join(t for t, p in zip(texts, plain) if p))
+            stops = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(stops) != len(letters):
+                raise ValueError("a word of letters is not one pre-token")
+            self._keep(letters, ids, [0, *stops[:-1]], stops)
+        others = [w for w, p in zip(new, plain) if not p]
+        if others:
+            ids = self._ids(MARK.join(t for t, p in zip(texts, plain) if not p))
+            cuts = np.flatnonzero(ids == self.mark)
+            self._keep(others, ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [(t if b"<|" in t else LAST_MARK.sub(rb" \1", t.lower())).split() for t in texts]
         self.learn(set().union(*split).difference(self.words))
         of = self.words.__getitem__
         return [b"".join(map(of, words)) for words in split]

@@ -3,7 +3,7 @@
 The trie is keyed by UTF-8 bytes.  Spaces become markers and a marker is put in front; a
 character that no piece covers falls back to byte pieces, as does a marker character of the text
 itself, so decoding gives back every text.  Of equally good paths the one whose last piece
-starts first wins.  Words are encoded on their own and remembered in a memo of bounded size.
+starts first wins.  Words are encoded on their own and remembered in memos of bounded bytes.
 
 A null or empty text has no pieces and decodes to the empty text.  Repeated rows are encoded one
 by one; an empty table gives an empty table; input columns are passed through.
@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import pieces
-from .helpers import BoundedMemo, with_text_columns
+from .helpers import ByteMemo, with_text_columns
 
 #: A character without a piece scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 MARK = pieces.MARKER.encode()
+NEVER = float("-inf")
 #: Cells that a search for a free place may look back over.
 SEARCH = 64
 FIELDS = [T.StructField("ids", T.BinaryType()), T.StructField("n_pieces", T.LongType()), T.StructField("n_byte_pieces", T.LongType())]
@@ -96,39 +97,58 @@ class Unigram:
             self.bytes_of[i] = bytes([b])
         self.is_byte = np.zeros(len(vocabulary.texts), bool)
         self.is_byte[self.byte_ids] = True
-        self.words = BoundedMemo(self._packed)
+        self.pairs = {p[i : i + 2] for p in vocabulary.scores for i in range(len(p) - 1)}
+        self.words, self.parts = ByteMemo(self._packed), ByteMemo(self._part)
 
     def viterbi(self, unit: bytes) -> tuple[float, list[int]]:
         """Best score and ids of one unit."""
         n = len(unit)
-        best: list[float | None] = [None] * (n + 1)
-        back = [(0, -1)] * (n + 1)
+        best = [NEVER] * (n + 1)
+        start_of, piece_of = [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
+        base, check, value, score = self.trie.base, self.trie.check, self.trie.value, self.score
+        size = len(check)
         for i in range(n):
             so_far = best[i]
-            if so_far is None:
+            if so_far == NEVER:
                 continue
-            width = 1 if unit[i] < 0x80 else 2 if unit[i] < 0xE0 else 3 if unit[i] < 0xF0 else 4
-            single = False
-            for end, piece in self.trie.prefixes(unit, i):
-                total = so_far + self.score[piece]
-                single |= end == i + width
-                if best[end] is None or total > best[end]:
-                    best[end], back[end] = total, (i, piece)
-            if not single:
-                total, end = so_far + self.unknown, i + width
-                if best[end] is None or total > best[end]:
-                    best[end], back[end] = total, (i, -1)
+            lead = unit[i]
+            single = i + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            covered, state = False, 0
+            for end in range(i + 1, n + 1):
+                at = base[state] + unit[end - 1] + 1
+                if at >= size or check[at] != state:
+                    break
+                state = at
+                piece = value[at]
+                if piece >= 0:
+                    covered |= end == single
+                    total = so_far + score[piece]
+                    if total > best[end]:
+                        best[end], start_of[end], piece_of[end] = total, i, piece
+            if not covered and so_far + self.unknown > best[single]:
+                best[single], start_of[single], piece_of[single] = so_far + self.unknown, i, -1
         ids: list[int] = []
         at = n
         while at:
-            start, piece = back[at]
+            start, piece = start_of[at], piece_of[at]
             ids += [piece] if piece >= 0 else [self.byte_ids[b] for b in reversed(unit[start:at])]
             at = start
-        return best[n] or 0.0, ids[::-1]
+        return best[n], ids[::-1]
+
+    def _part(self, part: str) -> bytes:
+        return np.array(self.viterbi(part.encode())[1], "<u4").tobytes()
 
     def _packed(self, word: str) -> bytes:
-        return np.array(self.viterbi(MARK + word.encode())[1], "<u4").tobytes()
+        """Ids of a word after a marker, cut where no piece holds two neighbouring characters: parts come more often than words."""
+        unit = pieces.MARKER + word
+        pairs, parts, out, start = self.pairs, self.parts, [], 0
+        for i in range(1, len(unit)):
+            if unit[i - 1 : i + 1] not in pairs:
+                out.append(parts[unit[start:i]])
+                start = i
+        out.append(parts[unit[start:]])
+        return b"".join(out)
 
     def _literal(self, text: str) -> bytes:
         """Ids of a text that holds spaces in runs, or markers of its own."""
@@ -150,8 +170,7 @@ class Unigram:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's bytes; the marker put in front is taken off."""
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids.tolist()])[1:]
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))[1:]
 
 
 @lru_cache(2)
