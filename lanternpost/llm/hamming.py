@@ -1,18 +1,15 @@
 """Vantage-point trees over fingerprints of up to 64 bits under Hamming distance.
 
-A tree fitted on a bounded sample routes every fingerprint to one home shard.  A fingerprint
-inside a ball, within ``radius`` of its boundary, also visits the shards outside; by the
-triangle inequality no other shard can hold a partner.  Inside a shard the same search goes on.
+A vantage point parts the points of a node by a ball around it.  A point inside, within ``radius``
+of the boundary, also visits the other side; by the triangle inequality no other branch can hold a
+partner.  Small nodes are compared whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
-BRUTE = 1024
-Node = tuple[int, int, int, int]
+BRUTE = 512
 
 
 def distances(points: np.ndarray, vantage: int) -> np.ndarray:
@@ -27,59 +24,12 @@ def split(points: np.ndarray) -> tuple[int, int] | None:
     return (vantage, mu) if 0 < found[mu] < len(points) else None
 
 
-def fit(sample: np.ndarray, leaves: int) -> list[Node]:
-    """Nodes (vantage, mu, inside, outside) of a tree of about ``leaves`` leaves; a negative child is a leaf."""
-    nodes: list[Node] = []
-    count = 0
-    sample = np.unique(sample)
-
-    def grow(points: np.ndarray, share: float) -> int:
-        nonlocal count
-        cut = split(points) if share > 1 and len(points) >= 16 else None
-        if cut is None:
-            count += 1
-            return -count
-        at = len(nodes)
-        nodes.append((0, 0, 0, 0))
-        near = distances(points, cut[0]) <= cut[1]
-        inside = grow(points[near], share * near.mean())
-        outside = grow(points[~near], share * (1 - near.mean()))
-        nodes[at] = (*cut, inside, outside)
-        return at
-
-    grow(sample, float(leaves))
-    return nodes
-
-
-def route(nodes: list[Node], points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """(leaf, indexes into points, whether the leaf is their home)."""
-    todo = [(0 if nodes else -1, np.arange(len(points)), True)]
-    while todo:
-        at, rows, home = todo.pop()
-        if not len(rows):
-            continue
-        if at < 0:
-            yield -at, rows, home
-            continue
-        vantage, mu, inside, outside = nodes[at]
-        d = distances(points[rows], vantage).astype(np.int16)
-        if home:
-            todo += [(inside, rows[d <= mu], True), (outside, rows[d > mu], True), (outside, rows[(d <= mu) & (d > mu - radius)], False)]
-        else:
-            todo += [(inside, rows[d <= mu + radius], False), (outside, rows[d > mu - radius], False)]
-
-
 class Forest:
-    """Merges positions of a shard; keeps one edge per merge, so a dense group stays linear."""
-
-    whole = False
+    """Merges positions of a group; keeps one edge per merge, so a dense group stays linear."""
 
-    def __init__(self, sets: np.ndarray | int) -> None:
-        """``sets``: the number of positions, or the set number of each."""
-        self.label = np.arange(sets) if isinstance(sets, int) else sets.copy()
-        self.members: dict[int, list[int]] = {}
-        for at, label in enumerate(self.label.tolist()):
-            self.members.setdefault(label, []).append(at)
+    def __init__(self, positions: int) -> None:
+        self.label = np.arange(positions)
+        self.members: dict[int, list[int]] = {at: [at] for at in range(positions)}
         self.edges: list[tuple[int, int]] = []
 
     def join(self, row: int, others: np.ndarray) -> None:
@@ -93,47 +43,7 @@ class Forest:
                 self.edges.append((row, int(others[at])))
 
 
-class LevelForests:
-    """Candidates of positions that are not yet in one set, for a later test that may refuse them.
-
-    Positions are candidates when their check fingerprints differ in at most so many bits.  Kept are
-    a spanning forest of each level and, for each position outside the largest set, its ``keep``
-    closest candidates; ``cut`` holds the positions that have more.  Two positions of one side do
-    not meet where ``side`` is given."""
-
-    whole = True
-
-    def __init__(self, checks: np.ndarray, levels: tuple[int, ...], sets: np.ndarray, keep: int, side: np.ndarray | None = None) -> None:
-        self.checks, self.levels, self.sets, self.keep, self.side = checks, levels, sets, keep, side
-        size = np.bincount(sets)
-        self.skip = (sets == size.argmax()) & (size.max() > 1)
-        self.forests = [Forest(sets) for _ in levels]
-        self.closest: list[tuple[int, int]] = []
-        self.cut: set[int] = set()
-
-    def join(self, row: int, others: np.ndarray) -> None:
-        far = np.bitwise_count(self.checks[others] ^ self.checks[row])
-        meet = (self.sets[others] != self.sets[row]) & (far <= self.levels[-1])
-        if self.side is not None:
-            meet &= self.side[others] != self.side[row]
-        others, far = others[meet], far[meet]
-        if not len(others):
-            return
-        for level, forest in zip(self.levels, self.forests):
-            near = others[far <= level]
-            if len(near):
-                forest.join(row, near)
-        if len(others) > self.keep:
-            self.cut.add(row)
-            others = others[np.argsort(far, kind="stable")[: self.keep]]
-        self.closest += [(row, o) for o in others.tolist()]
-
-    @property
-    def edges(self) -> list[tuple[int, int]]:
-        return [e for f in self.forests for e in f.edges] + self.closest
-
-
-def search(points: np.ndarray, home: np.ndarray, visit: np.ndarray, radius: int, forest: Forest | LevelForests) -> None:
+def search(points: np.ndarray, home: np.ndarray, visit: np.ndarray, radius: int, forest: Forest) -> None:
     """Join every pair of a home position and a home or visiting one that differs in at most ``radius`` bits."""
     todo = [(home, visit)]
     while todo:
@@ -150,25 +60,9 @@ def search(points: np.ndarray, home: np.ndarray, visit: np.ndarray, radius: int,
             continue
         both = np.concatenate([home, visit])
         values = points[both]
-        if forest.whole:
-            _search_whole(values, both, len(home), radius, forest)
-            continue
         for a in range(0, len(home), 256):
             rows = home[a : a + 256]
             near = np.bitwise_count(values[a : a + len(rows), None] ^ values[None, a:]) <= radius
             for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
                 others = np.flatnonzero(near[i])
                 forest.join(int(rows[i]), both[others[others != i] + a])
-
-
-def _search_whole(values: np.ndarray, both: np.ndarray, n_home: int, radius: int, forest: LevelForests) -> None:
-    """Every position outside the largest set meets all its partners at once; two visiting ones never meet."""
-    at_home = np.arange(len(both)) < n_home
-    todo = np.flatnonzero(~forest.skip[both])
-    for a in range(0, len(todo), 256):
-        rows = todo[a : a + 256]
-        near = np.bitwise_count(values[rows, None] ^ values[None, :]) <= radius
-        near &= at_home[rows, None] | at_home[None, :]
-        near[np.arange(len(rows)), rows] = False
-        for i in np.flatnonzero(near.any(axis=1)).tolist():
-            forest.join(int(both[rows[i]]), both[np.flatnonzero(near[i])])

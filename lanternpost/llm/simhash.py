@@ -1,18 +1,21 @@
-"""SimHash near-dedup: fingerprints of word shingles, linked through vantage-point trees.
+"""SimHash near-dedup: fingerprints of word shingles, linked through groups of equal bits and vantage-point trees.
 
-Equal texts are collapsed first; shards then emit one edge per merge.  Where links are verified
-afterwards, rounds go on among the texts of refused links until every candidate is in one
-component with its partner or was tested.  Shards above MAX_SHARD rows are cut into slices that
-meet pairwise.  Null texts and texts without words have fingerprint zero and are linked like others.
+Equal fingerprints are one point.  A pair within the radius agrees in one of radius + 1 disjoint
+parts of the bits, so points meet in groups of equal part, three rows a point at radius two however
+large the table; groups that are too large are parted again.  In a group a vantage-point tree
+partitions the points by Hamming distance, branches are pruned by triangle bounds and points near a
+boundary are searched on both sides.  A group gives one edge per merge, never its pairs.
+
+Null texts and texts without words have fingerprint zero and are linked like others.
 Fewer words than the shingle's width form one shingle.  Repeated rows are members like others.
 A null document id never names a component unless all its documents have none.  An empty table
-gives an empty table; columns of the input beside id and text are ignored.
+gives an empty table; columns of the input beside id and text are ignored.  A text of any length is
+hashed in blocks of shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +30,14 @@ from .components import components
 from .helpers import blocks, utf8
 
 SEED = 42
-#: Trees are fitted on this many fingerprints at most, the least by hash of all.
-SAMPLE = 32_768
-SHARD_POINTS = 1024
-ROUTED_POINTS = 16_384
-#: Rows of a shard, or of a slice of a larger one.
-MAX_SHARD = 4096
-#: A round keeps so many times as many candidates of each point as the round before.
-KEEP_GROWTH = 8
-
-# For shingles of five words: links need SIMILARITY.  Majority bits of two sets at that similarity
-# differ in 15 % of places and one-bit min-hashes in 10 %, so these fingerprint the sets: CHECK_BITS
-# of them for all trees and KEY_BITS for each of TREES trees.  Candidates differ in at most RADIUS
-# bits of one key and in at most the last of LEVELS bits of the check fingerprint.  At the
-# similarity itself a pair is missed with a chance of 0.3 %.
-SHINGLE_WORDS = 5
-SIMILARITY = 0.8
-TREES = 14
-KEY_BITS = 22
-CHECK_BITS = 64
-RADIUS = 1
-LEVELS = (5, 8, 11, 16)
-
-PRINTS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("fp", T.LongType())])
-SETS = T.StructType([*PRINTS.fields, T.StructField("text_hash", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("keys", T.ArrayType(T.IntegerType()))])
+#: Points of a group that is searched as it is; larger ones are parted again.
+MOST_POINTS = 8192
+#: Ways in which bits are dealt out over the levels, at most; a greater radius may leave larger groups whole.
+MOST_PATHS = 4096
+#: Groups up to this size are compared whole at once.
+SMALL_GROUP = 512
+
+PRINTS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("text_hash", T.LongType())])
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -84,148 +71,108 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, id_: str, text: str, width: int) -> DataFrame:
-    """(doc, fp) of every row."""
+    """(doc, fp, text_hash) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, text):
                 fps = [fingerprint(shingle_hashes(t, width)) for t in utf8(part.column(text))]
-                yield pa.RecordBatch.from_arrays([part.column(id_).cast(pa.int64()), _signed(fps)], names=PRINTS.names)
+                yield pa.RecordBatch.from_arrays([part.column(id_).cast(pa.int64()), _signed(fps), part.column("text_hash")], names=PRINTS.names)
 
-    return docs.select(id_, text).mapInArrow(run, PRINTS)
+    return docs.select(id_, text, F.xxhash64(text).alias("text_hash")).mapInArrow(run, PRINTS)
 
 
-def _keys(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
-    """The keys of each tree."""
-    flat = table.column("keys").combine_chunks() if isinstance(table, pa.Table) else table.column("keys")
-    return list(np.ascontiguousarray(flat.flatten().to_numpy().reshape(-1, TREES).T).astype(np.uint64))
+# --- candidates -----------------------------------------------------------------------------------
 
 
-@lru_cache(1)
-def _factors() -> np.ndarray:
-    rng = np.random.default_rng(SEED)
-    return rng.integers(0, 1 << 32, CHECK_BITS + TREES * KEY_BITS, dtype=np.uint32) | np.uint32(1)
+def disjoint_masks(mask: int, parts: int) -> list[int]:
+    """The set bits of ``mask`` dealt out to ``parts`` masks of about equal size."""
+    bits = [k for k in range(64) if mask >> k & 1]
+    return [sum(1 << k for k in bits[at::parts]) for at in range(parts)]
 
 
-def min_bits(hashes: np.ndarray) -> np.ndarray:
-    """One bit of the least of the distinct ``hashes`` under each of fixed permutations: two sets
-    agree in a bit with a chance of (1 + Jaccard similarity) / 2."""
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(len(_factors()), (1 << 32) - 1, np.uint32)
-    for a in range(0, len(short), 1024):
-        np.minimum(least, (short[a : a + 1024, None] * _factors()).min(axis=0), out=least)
-    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+def _signed_int(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def set_prints(docs: DataFrame, id_: str, text: str, width: int) -> DataFrame:
-    """(doc, fp, text_hash, set_id, keys) of every row: the check fingerprint, a hash of the set of shingles, and a key for each tree."""
-    place = 1 << np.arange(KEY_BITS, dtype=np.int32)
+def _finer(rows: DataFrame, masks: list[int], parts: int) -> tuple[DataFrame, list[int]]:
+    """(group, path, fp) once per part of the bits that ``path``'s groups have not fixed, and the masks of the new paths.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, text):
-                sets = [np.unique(shingle_hashes(t, width)) for t in utf8(part.column(text))]
-                bits = np.stack([min_bits(s) for s in sets])
-                checks = np.packbits(bits[:, :CHECK_BITS], axis=1, bitorder="little").view(np.int64).ravel()
-                keys = bits[:, CHECK_BITS:].reshape(-1, KEY_BITS).astype(np.int32) @ place
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(id_).cast(pa.int64()),
-                        pa.array(checks),
-                        part.column("text_hash"),
-                        _signed([xxhash.xxh64_intdigest(s.tobytes()) for s in sets]),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, TREES, dtype=np.int32)), pa.array(keys.astype(np.int32))),
-                    ],
-                    names=SETS.names,
-                )
-
-    return docs.select(id_, text, F.xxhash64(text).alias("text_hash")).mapInArrow(run, SETS)
-
-
-def near_edges(points: DataFrame, radius: int, levels: tuple[int, ...] | None = None, keep: int = 1) -> DataFrame:
-    """Edges (a, b) that join all points (point, fp) whose fingerprints differ in at most ``radius``
-    bits: one spanning forest per shard.
-
-    With ``levels`` points have ``keys`` too, one for each tree: candidates differ in at most
-    ``radius`` bits of a key and, for a forest of each level, in at most so many bits of ``fp``.
-    The ``keep`` closest candidates of a point are edges besides; edges have a column ``more``,
-    true where a point has others.  Points of one ``label``, if there is that column, are not candidates.
-    Points must be distinct.  Trees are fitted on a bounded sample; every point is routed.
+    Fingerprints that differ in fewer than ``parts`` bits agree in one part at least, so every pair
+    of a group meets again in some group.
     """
-    n = points.count()
-    if levels is not None and "label" not in points.columns:
-        points = points.withColumn("label", F.col("point"))
-    columns = ["point", "fp"] if levels is None else ["point", "fp", "keys", "label"]
-    of_tree = (lambda batch: [batch.column("fp").to_numpy().view(np.uint64)]) if levels is None else _keys
-    sample = points.select(*([] if levels is None else ["keys"]), "fp").orderBy(F.xxhash64("fp", "point")).limit(SAMPLE).toArrow()
-    leaves = max(1, n // SHARD_POINTS)
-    trees = [hamming.fit(column, leaves) for column in of_tree(sample.combine_chunks())]
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(tree, leaf, len(at)) for tree, values in enumerate(of_tree(batch)) for leaf, at, _ in hamming.route(trees[tree], values, radius)]
-            a, b, c = np.array(found, np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(c)], names=["tree", "shard", "n"])
+    of_path = [disjoint_masks(m, parts) for m in masks]
+    chosen = F.array(*[F.lit(_signed_int(m)) for ms in of_path for m in ms])
+    split = rows.select("group", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.col("path") * parts + k)).alias("path"))
+    part = F.col("fp").bitwiseAND(F.element_at(chosen, F.col("path") + 1))
+    rest = [m & ~chosen_bits for m, ms in zip(masks, of_path) for chosen_bits in ms]
+    return split.select(F.xxhash64("group", "path", part).alias("group"), "path", "fp"), rest
 
-    parts = points.select(*columns).repartition(max(1, n // ROUTED_POINTS))
-    sizes = parts.mapInArrow(counted, "tree int, shard int, n long").groupBy("tree", "shard").agg(F.sum("n").alias("n"))
-    slices = {(r["tree"], r["shard"]): -(-r["n"] // MAX_SHARD) for r in sizes.where(F.col("n") > MAX_SHARD).collect()}
 
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def near_edges(points: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) that join all points ``fp`` that differ in at most ``radius`` bits, a spanning forest per group.
+
+    A point falls into one group for each of ``radius`` + 1 disjoint parts of its bits, so its rows do
+    not grow with the table.  Groups above ``MOST_POINTS`` are parted again by the bits that are still
+    free; at a radius of up to three so few bits are free after a few levels that no group of distinct
+    points can be larger.  Inside a group vantage-point trees find the pairs.  Points must be distinct.
+    """
+    parts = radius + 1
+    rows, masks = points.select(F.lit(0).cast("long").alias("group"), F.lit(0).alias("path"), "fp"), [(1 << 64) - 1]
+    found = None
+    while True:
+        rows, masks = _finer(rows, masks, parts)
+        rows = storage.stored(rows, "groups")
+        hot = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_POINTS).select("group")
+        hot = storage.stored(hot, "hot-groups")
+        some = len(masks) * parts <= MOST_PATHS and not hot.isEmpty()
+        edges = _searched(rows.join(hot, "group", "left_anti") if some else rows, radius)
+        found = edges if found is None else found.unionByName(edges)
+        if not some:
+            return found.distinct()
+        rows = rows.join(hot, "group", "left_semi")
+
+
+def _searched(rows: DataFrame, radius: int) -> DataFrame:
+    """The edges of all groups, read as a stream that is sorted by group; a task holds one group and one batch."""
+    ordered = rows.select("group", "fp").repartition("group").sortWithinPartitions("group", "fp")
+
+    def edges_of(fps: np.ndarray) -> list[tuple[int, int]]:
+        if len(fps) <= SMALL_GROUP and not (np.bitwise_count(fps[:, None] ^ fps[None]) <= radius).sum() > len(fps):
+            return []
+        forest = hamming.Forest(len(fps))
+        hamming.search(fps, np.arange(len(fps)), np.zeros(0, np.int64), radius, forest)
+        return forest.edges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_group, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+        def closed(group: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Whole groups in order."""
+            starts = np.r_[0, np.flatnonzero(np.diff(group)) + 1]
+            sizes = np.diff(np.r_[starts, len(group)])
+            a, b = [], []
+            for at, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+                for x, y in edges_of(fps[at : at + n]):
+                    a.append(at + x)
+                    b.append(at + y)
+            if a:
+                ends = fps[np.array([a, b])].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=0)), pa.array(ends.max(axis=0))], names=["a", "b"])
+
         for batch in batches:
-            mixed = (batch.column("point").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-            label = batch.column("point" if levels is None else "label")
-            for tree, values in enumerate(of_tree(batch)):
-                for leaf, at, home in hamming.route(trees[tree], values, radius):
-                    m = slices.get((tree, leaf), 1)
-                    side = (mixed[at] % np.uint64(m)).astype(np.int32)
-                    where = pa.array(at)
-                    rows = [c.take(where) for c in (batch.column("point"), batch.column("fp"), label)]
-                    fixed = [pa.array(np.full(len(at), tree, np.int32)), pa.array(np.full(len(at), leaf, np.int32)), pa.array(np.full(len(at), home))]
-                    for other in range(m):
-                        low, high = np.minimum(side, np.int32(other)), np.maximum(side, np.int32(other))
-                        yield pa.RecordBatch.from_arrays(
-                            [*fixed, pa.array(low), pa.array(high), pa.array(side), *rows, pa.array(values[at].view(np.int64))],
-                            names=["tree", "shard", "home", "low", "high", "side", "point", "fp", "label", "key"],
-                        )
-
-    def shard(key: tuple, table: pa.Table) -> pa.Table:
-        # In a fixed order, as the forest depends on it: a shard run again gives the same edges.
-        table = table.sort_by([("point", "ascending"), ("home", "ascending")])
-        ids = table.column("point").to_numpy()
-        fps, values = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "key"))
-        home = table.column("home").to_numpy()
-        if levels is None:
-            forest = hamming.Forest(len(ids))
-        else:
-            sets = np.unique(table.column("label").to_numpy(), return_inverse=True)[1].ravel()
-            side = table.column("side").to_numpy() if key[2].as_py() != key[3].as_py() else None
-            forest = hamming.LevelForests(fps, levels, sets, keep, side)
-        hamming.search(values, np.flatnonzero(home), np.flatnonzero(~home), radius, forest)
-        a, b = np.array(forest.edges, np.int64).reshape(-1, 2).T
-        cut = np.zeros(len(ids), bool)
-        if levels is not None:
-            cut[list(forest.cut)] = True
-        return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "more": cut[a]})
-
-    spread = parts.mapInArrow(routed, "tree int, shard int, home boolean, low int, high int, side int, point long, fp long, label long, key long")
-    edges = spread.groupBy("tree", "shard", "low", "high").applyInArrow(shard, "a long, b long, more boolean")
-    return edges.groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def star_edges(points: DataFrame) -> DataFrame:
-    """Edges (a, b) of every point and the least point with its key, for each tree: a first fold of hot keys."""
-    keyed = points.select("point", "fp", F.posexplode("keys").alias("tree", "key"))
-    least = keyed.groupBy("tree", "key").agg(F.min(F.struct("point", "fp")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = keyed.join(least.drop("n"), ["tree", "key"]).where(F.col("point") != F.col("least.point"))
-    stars = stars.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= LEVELS[-1])
-    return stars.select(F.col("least.point").alias("a"), F.col("point").alias("b")).distinct()
-
-
-def _labelled(df: DataFrame, edges: DataFrame, column: str, into: str) -> DataFrame:
-    roots = components(edges, "a", "b").select(F.col("node").alias("labelled_node"), F.col("root").alias("labelled_root"))
-    joined = df.join(roots, F.col(column) == F.col("labelled_node"), "left")
-    return joined.select(*df.columns, F.coalesce("labelled_root", column).alias(into))
+            if not batch.num_rows:
+                continue
+            group = np.concatenate([held_group, batch.column("group").to_numpy()])
+            fps = np.concatenate([held, batch.column("fp").to_numpy().view(np.uint64)])
+            cut = int(np.searchsorted(group, group[-1]))
+            if cut:
+                yield from closed(group[:cut], fps[:cut])
+            held_group, held = group[cut:], fps[cut:]
+        if len(held):
+            yield from closed(held_group, held)
+
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _with_components(prints: DataFrame, node: str, edges: DataFrame) -> DataFrame:
@@ -239,79 +186,11 @@ def _with_components(prints: DataFrame, node: str, edges: DataFrame) -> DataFram
 
 
 def linked_fingerprints(docs: DataFrame, id_: str, text: str, *, width: int, radius: int) -> DataFrame:
-    """(doc, fp, component_id): documents whose fingerprints differ in at most ``radius`` bits are linked."""
-    prints = storage.stored(fingerprints(docs, id_, text, width), "fingerprints")
-    points = storage.stored(prints.select("fp", F.col("fp").alias("point")).distinct(), "points")
-    edges = near_edges(points, radius).select("a", "b")
-    return _with_components(prints, "fp", edges).select("doc", "fp", "component_id")
-
+    """(doc, fp, text_hash, root, component_id): documents whose fingerprints differ in at most ``radius`` bits are linked.
 
-def similar(edges: DataFrame, docs: DataFrame, reps: DataFrame, id_: str, text: str, width: int, least: float) -> DataFrame:
-    """The edges (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more.
-
-    ``reps`` names one document (doc) for each point; only points of an edge are read.
+    ``root`` names the component and is never null; ``text_hash`` tells rows of one id apart.
     """
-    ends = edges.select(F.col("a").alias("point")).unionByName(edges.select(F.col("b").alias("point"))).distinct()
-    wanted = reps.join(ends, "point")
-    texts = docs.select(F.col(id_).alias("doc"), F.col(text).alias("text"))
-    chosen = texts.join(wanted, F.col("doc").eqNullSafe(F.col("rep"))).select("point", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, "text"):
-                found = [np.unique(shingle_hashes(t, width)).tobytes() for t in utf8(part.column("text"))]
-                names = [xxhash.xxh64_intdigest(f) for f in found]
-                yield pa.RecordBatch.from_arrays([part.column("point"), _signed(names), pa.array(found, pa.binary())], names=["point", "set_id", "shingles"])
-
-    known = chosen.mapInArrow(sets, "point long, set_id long, shingles binary").where("point = set_id").dropDuplicates(["point"]).drop("set_id")
-    known = storage.stored(known, "shingles")
-    pairs = edges.join(known.select(F.col("point").alias("a"), F.col("shingles").alias("left")), "a")
-    pairs = pairs.join(known.select(F.col("point").alias("b"), F.col("shingles").alias("right")), "b")
-
-    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(utf8(batch.column("left")), utf8(batch.column("right"))):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(shared >= least * (len(a) + len(b) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "left", "right").mapInArrow(enough, "a long, b long")
-
-
-def near_documents(docs: DataFrame, id_: str, text: str, *, width: int = SHINGLE_WORDS, least: float = SIMILARITY) -> DataFrame:
-    """(doc, text_hash, root, component_id), root never null: documents are linked when their sets of shingles are equal, or when the
-    fingerprints make them candidates and the Jaccard similarity of the sets is ``least`` or more."""
-    prints = storage.stored(set_prints(docs, id_, text, width), "fingerprints")
-    points = prints.groupBy(F.col("set_id").alias("point")).agg(F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("doc").alias("rep"))
-    points = storage.stored(points, "points")
-    reps = points.select("point", "rep")
-    stars = storage.stored(star_edges(points), "candidates")
-    good = storage.stored(similar(stars, docs, reps, id_, text, width, least), "links")
-    todo, keep = points, 1
-    while True:
-        labelled = storage.stored(_labelled(todo, good, "point", "label"), "labelled")
-        found = storage.stored(near_edges(labelled, RADIUS, LEVELS, keep), "candidates")
-        if found.isEmpty():
-            break
-        good = storage.stored(good.unionByName(similar(found.select("a", "b"), docs, reps, id_, text, width, least)), "links")
-        todo = still_open(todo, found, good)
-        if todo is None:
-            break
-        keep *= KEEP_GROWTH
-    return _with_components(prints, "set_id", good).select("doc", "text_hash", "root", "component_id")
-
-
-def still_open(points: DataFrame, found: DataFrame, good: DataFrame) -> DataFrame | None:
-    """The points that may have an untested candidate in another component: those of a group joined by
-    the edges ``found`` and ``good`` where an edge found has its ends apart and a point has more."""
-    ends = _labelled(_labelled(found, good, "a", "label_a"), good, "b", "label_b")
-    apart = ends.where("label_a != label_b")
-    if apart.isEmpty():
-        return None
-    graph = storage.stored(found.select("a", "b").unionByName(good), "graph")
-    groups = _labelled(ends.select("a", (F.col("label_a") != F.col("label_b")).alias("apart"), "more"), graph, "a", "group")
-    wanted = groups.groupBy("group").agg(F.max("apart").alias("apart"), F.max("more").alias("more")).where("apart AND more").select("group")
-    rest = storage.stored(_labelled(points, graph, "point", "group").join(wanted, "group", "left_semi").drop("group"), "open")
-    return None if rest.isEmpty() else rest
+    prints = storage.stored(fingerprints(docs, id_, text, width), "fingerprints")
+    points = storage.stored(prints.select("fp").distinct(), "points")
+    edges = storage.stored(near_edges(points, radius), "edges")
+    return _with_components(prints, "fp", edges).select("doc", "fp", "text_hash", "root", "component_id")

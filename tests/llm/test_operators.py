@@ -219,86 +219,72 @@ def test_fingerprints_and_components(docs):
     assert rows_of(got, "doc", "f", "component_id") == want
 
 
-@pytest.mark.parametrize("bits", [64, 22])
-def test_tree_finds_all_pairs(bits):
+def group_of_each(n, pairs):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in pairs:
+        x, y = sorted((root(x), root(y)))
+        parent[y] = x
+    return [root(x) for x in range(n)]
+
+
+@pytest.fixture(scope="module")
+def points():
+    """Tight clusters, a dense ball of points that share most bits, and spread points."""
     rng = np.random.default_rng(9)
+    bit = lambda n: np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
     centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
-    points = np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for c in centres] + [rng.integers(0, 1 << 63, 3000, dtype=np.uint64)])
-    points = np.unique(points >> np.uint64(64 - bits))
-    rng.shuffle(points)
-    tree = hamming.fit(points[:2000], 30)
-    shards = {}
-    for leaf, at, home in hamming.route(tree, points, 2):
-        shards.setdefault(leaf, ([], []))[0 if home else 1].extend(at.tolist())
-    assert len(shards) > 5 and sum(len(h) for h, _ in shards.values()) == len(points)
-    edges = []
-    for home, visit in shards.values():
-        own = np.array(home + visit)
-        forest = hamming.Forest(len(own))
-        hamming.search(points[own], np.arange(len(home)), np.arange(len(home), len(own)), 2, forest)
-        edges += [(own[a], own[b]) for a, b in forest.edges]
+    close = [c ^ bit(60) for c in centres]
+    dense = rng.integers(0, 1 << 12, 900, dtype=np.uint64) << np.uint64(20)
+    return np.unique(np.concatenate([*close, dense, rng.integers(0, 1 << 63, 3000, dtype=np.uint64)]))
+
+
+def test_trees_find_all_pairs(points, monkeypatch):
+    monkeypatch.setattr(hamming, "BRUTE", 40)
+    forest = hamming.Forest(len(points))
+    hamming.search(points, np.arange(len(points)), np.zeros(0, np.int64), 2, forest)
     near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 2
     a, b = np.nonzero(np.triu(near, 1))
-    assert all(near[x, y] for x, y in edges)
-
-    def groups(pairs):
-        parent = list(range(len(points)))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for x, y in pairs:
-            x, y = sorted((root(x), root(y)))
-            parent[y] = x
-        return [root(x) for x in range(len(points))]
-
-    assert groups(edges) == groups(zip(a.tolist(), b.tolist()))
-
-
-def test_near_documents_are_verified(spark):
-    rng = np.random.default_rng(11)
-    base = prose(rng, 300).split()
-    close = base.copy()
-    for k in (20, 150, 280):
-        close[k] = "changed" + str(k)
-    half = base[:150] + prose(rng, 150).split()
-    rows = [(5, " ".join(base)), (6, " ".join(close)), (7, " ".join(half)), (8, "".join(c.upper() if c.isascii() else c for c in " ".join(base))), (9, prose(rng, 300)), (10, None), (11, "  ")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc"]: r["component_id"] for r in simhash.near_documents(df, "doc_id", "text").collect()}
-    assert got == {5: 5, 6: 5, 7: 7, 8: 5, 9: 9, 10: 10, 11: 10}
-
-
-def test_near_documents_find_the_links_of_brute_force(spark):
-    rng = np.random.default_rng(21)
-    texts = []
-    for _ in range(60):
-        words = [f"w{k}" for k in rng.integers(0, 5000, int(rng.integers(60, 400)))]
-        texts.append(words)
-        for _ in range(4):
-            edited = words.copy()
-            for k in rng.choice(len(words), int(rng.integers(1, len(words) // 30 + 2)), replace=False):
-                edited[k] = f"new{rng.integers(0, 10**9)}"
-            texts.append(edited)
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
-    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    want = brute_components(len(sets), links)
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc"]: r["component_id"] for r in simhash.near_documents(df, "doc_id", "text").collect()}
-    together = [got[i] == got[j] for i, j in links]
-    assert len(links) > 200 and sum(together) >= 0.98 * len(together)
-    assert all(want[i] == want[c] for i, c in got.items())
-
-
-def test_tight_group_has_few_edges(spark):
-    rng = np.random.default_rng(22)
-    words = [f"w{k}" for k in rng.integers(0, 5000, 800)]
-    rows = [(i, " ".join([*words, f"tail{i}"])) for i in range(1500)]
-    prints = simhash.set_prints(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5)
-    edges = simhash.near_edges(prints.selectExpr("set_id AS point", "fp", "keys"), simhash.RADIUS, simhash.LEVELS)
-    assert 1499 <= edges.count() < 1500 * simhash.TREES * 5
+    assert all(near[x, y] for x, y in forest.edges) and len(forest.edges) < len(points) < len(a)
+    assert group_of_each(len(points), forest.edges) == group_of_each(len(points), zip(a.tolist(), b.tolist()))
+
+
+@pytest.mark.parametrize("most, radius", [(8192, 2), (50, 2), (50, 1), (200, 3)])
+def test_linked_points_equal_brute_force(spark, points, monkeypatch, most, radius):
+    monkeypatch.setattr(simhash, "MOST_POINTS", most)
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long").repartition(5)
+    edges = [(r["a"], r["b"]) for r in simhash.near_edges(df, radius).collect()]
+    assert edges and len(edges) == len(set(edges))
+    at = {int(p): i for i, p in enumerate(points.view(np.int64))}
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= radius
+    assert all(near[at[a], at[b]] for a, b in edges)
+    a, b = np.nonzero(np.triu(near, 1))
+    assert group_of_each(len(points), [(at[x], at[y]) for x, y in edges]) == group_of_each(len(points), zip(a.tolist(), b.tolist()))
+
+
+def test_groups_hold_three_rows_a_point_at_any_size(spark):
+    for n in (2000, 10_000):
+        df = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        rows, masks = simhash._finer(df.select(F.lit(0).cast("long").alias("group"), F.lit(0).alias("path"), "fp"), [(1 << 64) - 1], 3)
+        assert rows.count() == 3 * n and len(masks) == 3
+
+
+def test_masks_part_all_bits():
+    for mask, parts in (((1 << 64) - 1, 3), (0b1011001, 4), (0, 3)):
+        dealt = simhash.disjoint_masks(mask, parts)
+        assert len(dealt) == parts and sum(dealt) == mask and all(a & b == 0 for i, a in enumerate(dealt) for b in dealt[:i])
+
+
+def near_variant(text, radius=2):
+    """Another text whose fingerprint is within the radius."""
+    own = brute_fingerprint(text, 3)
+    return next(t for t in (f"{text} tail{k}" for k in range(500)) if (brute_fingerprint(t, 3) ^ own).bit_count() <= radius)
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -456,7 +442,6 @@ def test_empty_tables(spark, docs):
     assert line_dedup.dedup_lines(none, "doc_id", "text", "r").count() == 0
     assert substring_dedup.dedup_substrings(none, "doc_id", "text", "r").count() == 0
     assert simhash.linked_fingerprints(none, "doc_id", "text", width=3, radius=2).count() == 0
-    assert simhash.near_documents(none, "doc_id", "text").count() == 0
     assert packing.pack(none, "doc_id", "text", WORD_MODEL).count() == 0
     assert token_counts.count_tokens(none, "text", "c", PIECE_MODEL).count() == 0
     m = quality_rules.measure(none, "text", "m")
@@ -475,9 +460,7 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
     clean = [" ".join(f"{a}{b}" if b > 5 else a for a, b in zip(rng.choice(bank, 200), rng.integers(0, 30, 200))) for _ in range(40)]
     passage = " ".join(f"shared{i}" for i in rng.integers(0, 999, 60))
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean)]
-    words = clean[3].split()
-    words[50] = "edited"
-    rows += [(100, clean[2], "en", "s", 1), (101, " ".join(words), "en", "s", 1), (102, None, "en", "s", 0), (103, "short", None, None, None)]
+    rows += [(100, clean[2], "en", "s", 1), (101, near_variant(clean[3]), "en", "s", 1), (102, None, "en", "s", 0), (103, "short", None, None, None)]
     rows += [(200 + i, f"{clean[10 + i][:500]}x {passage} {clean[20 + i][:500]}x", "en", "s", 1) for i in range(3)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -492,79 +475,26 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(texts)
 
 
-def test_candidates_do_not_depend_on_row_order(spark):
-    rng = np.random.default_rng(5)
-    centres = rng.integers(0, 1 << 63, 20, np.int64)
-    flips = [sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 8)), replace=False)) for _ in range(600)]
-    rows = sorted({int(centres[i % 20]) ^ f for i, f in enumerate(flips)})
-
-    def edges(order, parts):
-        keyed = [(v, v, [v >> k & ((1 << 22) - 1) for k in range(0, 2 * simhash.TREES, 2)]) for v in order]
-        points = spark.createDataFrame(keyed, "point long, fp long, keys array<int>").repartition(parts)
-        found = simhash.near_edges(points, simhash.RADIUS, simhash.LEVELS)
-        return {(r["a"], r["b"]) for r in found.collect()}
-
-    assert edges(rows, 2) == edges(rows[::-1], 5)
-
-
-def test_refused_links_do_not_hide_true_ones(spark):
-    rng = np.random.default_rng(31)
-    bases = [[f"w{k}" for k in rng.integers(0, 9000, 160)] for _ in range(2)]
-    texts = []
-    for i in range(240):
-        words = bases[i % 2].copy()
-        for k in rng.choice(160, 2, replace=False):
-            words[k] = f"new{rng.integers(0, 10**9)}"
-        texts.append(words)
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc"]: r["component_id"] for r in simhash.near_documents(df, "doc_id", "text").collect()}
-    near = [(i, j) for i in range(len(sets)) for j in range(i % 2, i, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    want = brute_components(len(sets), near)
-    assert all(want[i] == want[c] for i, c in got.items())
-    assert len(near) > 100 and sum(got[i] == got[j] for i, j in near) >= 0.99 * len(near)
-
-
-def test_every_point_keeps_its_closest_and_sides_meet():
-    rng = np.random.default_rng(8)
-    checks = rng.integers(0, 1 << 20, 700, dtype=np.uint64) & np.uint64(0x3FFF)
-    sets, side = np.arange(700), np.arange(700) % 2
-    values = np.zeros(700, np.uint64)
-    for sides in (None, side):
-        forest = hamming.LevelForests(checks, (16,), sets, 1, sides)
-        hamming.search(values, np.arange(0, 500), np.arange(500, 700), 1, forest)
-        far = np.bitwise_count(checks[:, None] ^ checks[None, :]).astype(int)
-        far[np.eye(700, dtype=bool)] = 99
-        far[500:, 500:] = 99
-        if sides is not None:
-            far[side[:, None] == side[None, :]] = 99
-        best = {}
-        for a, b in forest.edges:
-            best[a] = min(best.get(a, 99), far[a, b])
-        assert all(best[i] == far[i].min() for i in range(700))
-
-
-def test_hot_shard_is_sliced(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "MAX_SHARD", 60)
-    rng = np.random.default_rng(4)
-    rows = [(i, int(x), [7] * simhash.TREES) for i, x in enumerate(rng.integers(0, 1 << 62, 200))]
-    rows += [(1000 + i, rows[i][1] ^ 5, rows[i][2]) for i in range(200)]
-    points = spark.createDataFrame(rows, "point long, fp long, keys array<int>")
-    found = {(r["a"], r["b"]) for r in simhash.near_edges(points, simhash.RADIUS, simhash.LEVELS).collect()}
-    assert {(i, 1000 + i) for i in range(200)} <= found
-
-
 def test_one_row_of_each_group_without_ids_stays(spark):
     import corpus_pipeline
 
     rng = np.random.default_rng(41)
     near, lone, two = (prose(rng, 200) for _ in range(3))
-    rows = [(1, near), (None, near + " tail"), (None, lone), (None, lone + " tail"), (7, two), (7, two + " tail"), (7, prose(rng, 200))]
+    rows = [(1, near), (None, near_variant(near)), (None, lone), (None, near_variant(lone)), (7, two), (7, near_variant(two)), (7, prose(rng, 200))]
     left = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r["doc_id"] or 0 for r in left) == [0, 1, 7, 7]
     assert next(r["text"] for r in left if r["doc_id"] is None).startswith(lone)
 
 
+def test_a_thousand_rows_without_id(spark):
+    rng = np.random.default_rng(42)
+    texts = [prose(rng, 60) for _ in range(100)]
+    rows = [(None, texts[i % 100]) for i in range(1000)]
+    linked = simhash.linked_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", width=3, radius=2)
+    assert linked.count() == 1000
+    assert {r["component_id"] for r in linked.collect()} == {None}
+
+
 def test_texts_of_one_id_with_equal_short_hashes(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     numbers = spark.range(200_000).selectExpr("CAST(id AS string) AS n")
