@@ -18,6 +18,7 @@ from lanternpost.llm.helpers import fresh_name
 from lanternpost.sources import storage
 
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
+SHINGLE_WORDS, MOST_BITS = 3, 2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    found = simhash.near_documents(docs, "doc_id", "text")
+    """One document of each group of linked fingerprints."""
+    found = simhash.linked_fingerprints(docs, "doc_id", "text", width=SHINGLE_WORDS, radius=MOST_BITS)
     text_hash, kept_id, kept_hash = fresh_name(docs, "text_key"), fresh_name(docs, "kept_id"), fresh_name(docs, "kept_hash")
     first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "text_hash"))
     kept = found.groupBy("root").agg(first.alias("one")).select(F.col("one.doc").alias(kept_id), F.col("one.text_hash").alias(kept_hash)).distinct()
