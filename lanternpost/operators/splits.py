@@ -7,13 +7,15 @@ the cut value is then compared with each row.  The rows themselves are not shuff
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
-from .summaries import everything
+from .ordering import with_row_number
 
 PREFIX = 4
 
@@ -23,19 +25,18 @@ def id_hash(id_col: str, seed: int) -> Column:
 
 
 def _kept(size: str, share: float, name: str, counts: DataFrame) -> DataFrame:
-    """Rows of each stratum that stay when ``share`` is held out, by largest remainder."""
-    total = F.sum(size).over(everything())
-    drawn = total - F.ceil(F.lit(share) * total)
-    exact = F.col(size) / F.greatest(total, F.lit(1)) * drawn
-    parts = counts.withColumn("__floor", F.floor(exact)).withColumn("__rest", exact - F.col("__floor"))
-    spare = drawn - F.sum("__floor").over(everything())
-    place = F.row_number().over(everything().orderBy(F.desc("__rest"), "__stratum"))
-    return (
-        parts.withColumn("__spare", spare)
-        .withColumn("__place", place)
-        .withColumn(name, F.col("__floor") + (F.col("__place") <= F.col("__spare")).cast("int"))
-        .drop("__floor", "__rest", "__spare", "__place")
-    )
+    """Rows of each stratum that stay when ``share`` is held out, by largest remainder.
+
+    Totals are scalars and the places of the remainders are numbered by ranges, so strata may be many.
+    """
+    counts = stored(counts, "strata")
+    total = counts.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    drawn = total - math.ceil(share * total)
+    exact = F.col(size) / F.lit(max(total, 1)) * F.lit(drawn)
+    parts = counts.withColumn("__floor", F.floor(exact)).withColumn("__order", F.struct((F.col("__floor") - exact).alias("rest"), "__stratum"))
+    spare = drawn - (parts.agg(F.sum("__floor").alias("n")).first()["n"] or 0)
+    placed = with_row_number(parts, "__order", "__place")
+    return placed.withColumn(name, F.col("__floor") + (F.col("__place") <= spare).cast("int")).drop("__floor", "__order", "__place")
 
 
 def _split(

@@ -6,14 +6,16 @@ from the provided tables; the result is what is read back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import labels as lb
 from ..functions.vectors import encoded
-from ..operators import metrics, replies, retrieval, tagging
-from ..sources import readers, schemas, sinks
+from ..operators import metrics, quality, replies, retrieval, tagging
+from ..sources import multiline, readers, schemas, sinks
 from ..sources.storage import shared_folder, stored
 from ..streaming import jobs
 from . import evaluation, inputs, search, sql
@@ -28,21 +30,31 @@ query = registry.query
 # --- CSV ----------------------------------------------------------------------
 
 
-@query(
-    "csv_post_table",
-    f"""WITH {POSTS}, {ordered_unique(LITERAL_PIECES, tag_name_sql('raw'))}
-    SELECT md5('"' || post || chr(10) || '"') AS post_md5, coalesce(l.tags, 'Miscellaneous') AS tags FROM posts p LEFT JOIN listed l USING (doc_id)""",
-)
-def csv_post_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Posts with newlines and quotes written as CSV, read back and canonicalised."""
+_POST_TABLE = f"""WITH {POSTS}, {ordered_unique(LITERAL_PIECES, tag_name_sql('raw'))}
+    SELECT md5('"' || post || chr(10) || '"') AS post_md5, coalesce(l.tags, 'Miscellaneous') AS tags FROM posts p LEFT JOIN listed l USING (doc_id)"""
+
+
+def _post_table(spark: SparkSession, sf: str, read: Callable[[SparkSession, str, T.StructType], DataFrame]) -> DataFrame:
     quoted = F.concat(F.lit('"'), "post", F.lit('\n"'))
     path = shared_folder(spark, "posts-csv")
     sinks.write_csv(posts(spark, sf).select(quoted.alias("Text"), F.col("tag").alias("Final_Tags")), path)
     schema = T.StructType([T.StructField("Text", T.StringType()), T.StructField("Final_Tags", T.StringType())])
-    parsed = tagging.post_table(readers.read_csv(spark, path, schema))
+    parsed = tagging.post_table(read(spark, path, schema))
     return parsed.select(F.md5("Post").alias("post_md5"), lb.joined(F.col("TagsList")).alias("tags"))
 
 
+@query("csv_post_table", _POST_TABLE)
+def csv_post_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts with newlines and quotes written as CSV, read back and canonicalised."""
+    return _post_table(spark, sf, readers.read_csv)
+
+
+@query("csv_post_table_parallel", _POST_TABLE)
+def csv_post_table_parallel(spark: SparkSession, sf: str) -> DataFrame:
+    """The same table with the quoted newlines resolved across file ranges, many tasks per file."""
+    return _post_table(spark, sf, multiline.read_csv_parallel)
+
+
 # --- JSON lines ---------------------------------------------------------------
 
 
@@ -80,7 +92,7 @@ def vector_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def _noisy(doc: Column) -> Column:
     """A line per row: a whole object, an object after log text, an object before log text, or no object."""
-    body = F.to_json(F.struct(F.col("lang").alias("intent"), F.concat(F.lit("r{"), "doc_id", F.lit("}")).alias("post")))
+    body = F.to_json(F.struct(F.col("lang").alias("intent"), F.concat(F.lit("r{"), "doc_id", F.lit("}\n"), "text").alias("post")))
     return (
         F.when(doc % 4 == 0, body)
         .when(doc % 4 == 1, F.concat(F.lit("DEBUG: loaded\nWARN "), body, F.lit("\nbye")))
@@ -91,13 +103,13 @@ def _noisy(doc: Column) -> Column:
 
 @query(
     "json_salvage",
-    """SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN lang END AS intent, CASE WHEN doc_id % 4 < 2 THEN 'r{' || doc_id || '}' END AS post,
+    """SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN lang END AS intent, CASE WHEN doc_id % 4 < 2 THEN md5('r{' || doc_id || '}' || chr(10) || text) END AS post_md5,
     doc_id % 4 >= 2 AS failed FROM documents""",
 )
 def json_salvage(spark: SparkSession, sf: str) -> DataFrame:
-    noisy = table(spark, sf, "documents").select("doc_id", _noisy(F.col("doc_id")).alias("line"))
+    noisy = table(spark, sf, "documents").select("doc_id", _noisy(F.col("doc_id")).alias("line"))  # every text stands inside its object
     found = noisy.withColumn("o", readers.salvaged_json(F.col("line"), schemas.GOLD))
-    return found.select("doc_id", F.col("o.intent").alias("intent"), F.col("o.post").alias("post"), F.col("o").isNull().alias("failed"))
+    return found.select("doc_id", F.col("o.intent").alias("intent"), F.md5("o.post").alias("post_md5"), F.col("o").isNull().alias("failed"))
 
 
 @query(
@@ -123,11 +135,12 @@ def malformed_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "two_shape_predictions",
-    f"WITH {PAIRS} SELECT md5(post) AS post_md5, CASE WHEN turn % 8 = 4 THEN '' ELSE reply END AS reply, CASE WHEN turn % 4 = 0 THEN 0 ELSE 1 END AS n_citations FROM pairs",
+    f"WITH {PAIRS} SELECT md5(post) AS post_md5, CASE WHEN turn % 8 = 4 THEN '' ELSE reply END AS reply, CASE WHEN turn % 4 = 0 THEN 0 ELSE 1 END AS n_citations, CASE WHEN turn % 4 = 0 THEN '' ELSE ['text', 'snippet', 'content'][turn % 3 + 1] || turn END AS cited FROM pairs",
 )
 def two_shape_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Flat and wrapped records in one file; the wrapper wins where it is present."""
-    cited = F.array(F.struct(F.lit("d").alias("doc_id"), F.lit("s").alias("text")))
+    """Flat and wrapped records in one file; the wrapper wins where it is present, and a citation's text may have three names."""
+    field = lambda name, k: F.when(F.col("turn") % 3 == k, F.concat(F.lit(name), "turn")).alias(name)
+    cited = F.array(F.struct(F.lit("d").alias("doc_id"), field("text", 0), field("snippet", 1), field("content", 2)))
     base = pairs(spark, sf).select("post", "reply", "turn")
     flat = base.where("turn % 4 <> 0").select("post", "reply", cited.alias("citations"))
     wrapped = base.where("turn % 4 = 0").select(
@@ -136,7 +149,8 @@ def two_shape_predictions(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark, "predictions")
     sinks.write_jsonl(flat.unionByName(wrapped, allowMissingColumns=True), path, keep_nulls=False)
     read = readers.either_shape(readers.read_jsonl(spark, path, schemas.ANY_PREDICTION))
-    return read.select(F.md5("post").alias("post_md5"), "reply", F.size("citations").alias("n_citations"))
+    texts = quality.snippet_texts(F.col("citations"), quality.text_fields(read))
+    return read.select(F.md5("post").alias("post_md5"), "reply", F.size("citations").alias("n_citations"), F.array_join(texts, "|").alias("cited"))
 
 
 @query(

@@ -14,8 +14,9 @@ CORRUPT = "_corrupt_record"
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = True) -> DataFrame:
     """Header CSV with quoted fields that may hold newlines and doubled quotes.
 
-    Missing markers become NULL.  A multi-line file is one task: keep large inputs in
-    many files, or pass ``multi_line=False`` where fields hold no newlines.
+    Missing markers become NULL.  A multi-line file is one task here; see
+    :func:`multiline.read_csv_parallel` for large ones, or pass ``multi_line=False`` where fields
+    hold no newlines.
     Columns are matched by header name; the schema's own order is returned.
     """
     raw = (
@@ -26,7 +27,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, multi_line
         .schema(schema)
         .csv(path)
     )
-    return raw.select(
+    return missing_as_null(raw, schema)
+
+
+def missing_as_null(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema``, with NULL for the markers of a missing text."""
+    return rows.select(
         *[
             F.when(~F.col(f.name).isin(lx.CSV_MISSING), F.col(f.name)).alias(f.name)
             if isinstance(f.dataType, T.StringType)
