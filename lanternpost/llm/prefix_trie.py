@@ -77,6 +77,7 @@ def _nodes(blocks: DataFrame, classes: DataFrame, root: int) -> tuple[DataFrame,
     kids = classes.groupBy("prev").agg(F.count(F.lit(1)).alias("kids"))
     reps = classes.select(F.col("key").alias("prev"), F.col("rep").alias("up"))
     above = kids.join(reps, "prev", "left").select("prev", "kids", F.coalesce("up", F.lit(root)).alias("up"))
+    above = storage.stored(above, "parents")  # on its own, so that the join below can split a prefix that very many follow
     turns = blocks.select(F.col("conv").alias("rep"), "k", "turns")
     known = storage.stored(classes.join(above, "prev").join(turns, ["rep", "k"]), "block-classes")
     first = F.col("k") * BLOCK
