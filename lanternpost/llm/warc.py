@@ -43,7 +43,7 @@ URN = "urn:record:"
 DATE = "2000-01-01T00:00:00Z"
 LEVEL = 6
 READ_BYTES = 4 << 20
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 INDEX = "archive string, offset long, length long, record_id string, record_type string"
 MANIFEST = "source string, archive string, n_records long, n_bytes long"
 RECORDS = (
@@ -277,7 +277,9 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the normalised archives, read by offset in ranges of an archive."""
     index = offsets(spark, folder).select("archive", "offset", "length")
     part = F.floor(F.col("offset") / RANGE_BYTES)
-    ranges = index.repartition(F.col("archive"), part).sortWithinPartitions("archive", "offset")
+    # The rows to shuffle are tiny and what they make a task read is not, so the number of tasks follows the bytes.
+    held = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
+    ranges = index.repartition(2 * (held // RANGE_BYTES) + 1, F.col("archive"), part).sortWithinPartitions("archive", "offset")
     names = [f.split()[0] for f in RECORDS.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
