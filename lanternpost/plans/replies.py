@@ -9,7 +9,7 @@ from ..functions import lexicon as lx, rules
 from ..functions.text import word_set
 from ..operators import quality, replies, retrieval, tagging
 from ..sources import sinks
-from ..sources.storage import shared_folder
+from ..sources.storage import shared_folder, side_session
 from . import inputs, search, sql
 from .inputs import PAIRS, pairs, said
 from .registry import Registry
@@ -204,7 +204,8 @@ def crisis_routing(spark: SparkSession, sf: str) -> DataFrame:
 )
 def extractive_replies(spark: SparkSession, sf: str) -> DataFrame:
     """Default generator over all posts; a post without snippets is a failed row.  Counted while the records are written."""
-    made = said(spark, sf).join(_cited(spark, sf), "query_id", "left").select(
+    side = side_session(spark)
+    made = said(side, sf).join(_cited(side, sf), "query_id", "left").select(
         "post",
         F.lit(None).cast("string").alias("predicted_intents"),
         F.col("concern").alias("predicted_concern"),

@@ -129,7 +129,7 @@ def malformed_lines(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark, "gold")
     table(spark, sf, "documents").select(line.alias("value")).write.mode("overwrite").text(path)
     kept = shared_folder(spark, "usable")
-    seen = readers.keep_usable(readers.read_jsonl_tolerant(spark, path, schemas.GOLD), "post", kept)
+    seen = readers.keep_usable(spark, path, schemas.GOLD, "post", kept)
     return spark.createDataFrame([(seen["n_lines"], spark.read.schema(schemas.GOLD).json(kept).count(), seen["n_skipped"])], "n_lines long, n_ok long, n_skipped long")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexicon as lx
+from .storage import side_session
 
 CORRUPT = "_corrupt_record"
 
@@ -59,8 +60,9 @@ def usable_rows(df: DataFrame, required: str) -> tuple[Column, DataFrame]:
     return bad, df.where(~bad).drop(CORRUPT)
 
 
-def keep_usable(df: DataFrame, required: str, path: str) -> dict[str, int]:
-    """Write the usable rows of a tolerant read as JSON lines; counts of lines come from the same pass."""
+def keep_usable(spark: SparkSession, source: str, schema: T.StructType, required: str, path: str) -> dict[str, int]:
+    """Write the usable rows of JSON lines as JSON lines; counts of lines come from the same pass."""
+    df = read_jsonl_tolerant(side_session(spark), source, schema)
     bad, _ = usable_rows(df, required)
     seen = Observation()
     marked = df.withColumn("__bad", bad).observe(seen, F.count(F.lit(1)).alias("n_lines"), F.count_if("__bad").alias("n_skipped"))

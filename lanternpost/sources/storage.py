@@ -11,6 +11,19 @@ SETTING = "spark.checkpoint.dir"
 _written: list[str] = []
 
 
+def side_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings, for writes that are observed.
+
+    A session that has observed a write cannot be serialized any more, and models that Spark fits
+    hold on to theirs; so the caller's session is left as it is.
+    """
+    side = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            side.conf.set(key, value)
+    return side
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the session's checkpoint directory.
 
