@@ -199,6 +199,15 @@ def metrics_document(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams and logs ---------------------------------------------------------
 
 
+def _table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A provided table as a stream of files, be it one file or a folder of them."""
+    rows = table(spark, sf, name)
+    some = rows.select("_metadata.file_name").first()
+    if some is None or some["file_name"] == f"{name}.parquet":
+        return jobs.file_stream(spark, sf, rows.schema, fmt="parquet", files=f"{name}.parquet")
+    return jobs.file_stream(spark, f"{sf}/{name}.parquet", rows.schema, fmt="parquet", files="*.parquet")
+
+
 @query(
     "stream_scoring",
     sql.with_ctes(
@@ -211,8 +220,7 @@ def metrics_document(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """User turns scored as a stream into a file sink; equal to the batch result."""
-    schema = table(spark, sf, "conversations").schema
-    turns = jobs.file_stream(spark, sf, schema, fmt="parquet", files="conversations.parquet").where("role = 'user'")
+    turns = _table_stream(spark, sf, "conversations").where("role = 'user'")
     planted = F.concat("text", F.lit(" "), inputs.pick(inputs.PHRASES, F.col("conv_id") + F.col("turn")))
     folder = shared_folder(spark, "scoring")
     started = jobs.start_scoring(turns.select("conv_id", "turn", planted.alias("post")), f"{folder}/out", f"{folder}/state")
@@ -261,8 +269,7 @@ def routed_log_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("streamed_log_counts", _ROUTED)
 def streamed_log_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The same log written by a stream, one folder per micro-batch."""
-    schema = table(spark, sf, "events").schema
-    events = jobs.file_stream(spark, sf, schema, fmt="parquet", files="events.parquet")
+    events = _table_stream(spark, sf, "events")
     folder = shared_folder(spark, "stream-log")
     started = jobs.start_audit_log(_interactions(events), f"{folder}/out", f"{folder}/state", snippets=F.lit(0), **_COLUMNS)
     started.awaitTermination()
