@@ -1,9 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run holds one row per line key: two 64-bit hashes, the number of documents, the largest
-document id, and whether no earlier run had the key.  Each batch of documents is anti-joined
-with the runs (new keys) and semi-joined (known keys) and adds one run sorted by key; when a
-level holds ``fan_in`` runs they are merged into one of the next level.
+Documents come in batches of falling ids, cut at a bounded sample of ids.  The keys of a batch are
+anti-joined with the runs of the batches before: a key that no run holds is sighted for the first
+time, so the largest document id with it is the largest of this batch.  The batch adds one run
+sorted by key, with the holder of each first sighting and only a number of documents for each known
+key.  When a level holds ``fan_in`` runs they are merged into one of the next level.  What is
+dropped is read from the merged levels by key.
 
 Null and empty texts are one empty line.  Repeated rows of one document count as one document.
 A null document id counts as one document, smaller than any other.  Rows that share an id but
@@ -22,6 +24,8 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 BATCHES = 4
 FAN_IN = 2
+#: Ids that the cuts between batches are taken from.
+SAMPLE = 1000
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 KEY = ["h1", "h2"]
@@ -37,6 +41,20 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def falling_batch(docs: DataFrame, id_: str, batches: int) -> Column:
+    """Batch number of a document: 0 for the largest ids, null ids last.
+
+    The cuts are evenly spaced among at most SAMPLE ids of least hash; they decide how even the
+    batches are, not what is found.
+    """
+    doc = F.col(id_)
+    chosen = docs.select(doc.alias("doc")).where(F.col("doc").isNotNull()).distinct().orderBy(F.xxhash64("doc")).limit(SAMPLE)
+    ids = [r["doc"] for r in chosen.orderBy(F.desc("doc")).collect()]
+    cuts = sorted({len(ids) * i // batches for i in range(1, batches)} - {0})
+    below = [F.coalesce((doc < F.lit(ids[c])).cast("int"), F.lit(1)) for c in cuts]
+    return sum(below, F.lit(0))
+
+
 def line_table(docs: DataFrame, id_: str, text: str, batches: int) -> DataFrame:
     """(doc, row, batch, pos, h1, h2) of all lines with a key of at least MIN_CHARS characters."""
     keyed = F.filter(
@@ -46,7 +64,7 @@ def line_table(docs: DataFrame, id_: str, text: str, batches: int) -> DataFrame:
     lines = docs.select(
         F.col(id_).alias("doc"),
         F.xxhash64(F.col(text)).alias("row"),
-        F.pmod(F.xxhash64(F.col(id_)), F.lit(batches)).cast("int").alias("batch"),
+        falling_batch(docs, id_, batches).alias("batch"),
         F.explode(keyed).alias("line"),
     )
     key = F.col("line.key")
@@ -77,15 +95,17 @@ class LineRuns:
         return self.spark.read.parquet(*paths) if paths else None
 
     def add(self, lines: DataFrame) -> None:
-        """Count one batch of lines (doc, h1, h2) and add its run."""
+        """Add the run of one batch of lines (doc, h1, h2); batches come with falling ids."""
         counted = lines.select("doc", *KEY).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("holder"))
         before = self.rows()
         if before is None:
             run = counted.withColumn("first", F.lit(True))
         else:
             known = before.where("first").select(*KEY)
-            new = counted.join(known, KEY, "left_anti").withColumn("first", F.lit(True))
-            run = new.unionByName(counted.join(known, KEY, "left_semi").withColumn("first", F.lit(False)))
+            sighted = counted.join(known, KEY, "left_anti").withColumn("first", F.lit(True))
+            again = counted.join(known, KEY, "left_semi")
+            nobody = F.lit(None).cast(counted.schema["holder"].dataType)
+            run = sighted.unionByName(again.withColumn("holder", nobody).withColumn("first", F.lit(False)))
         self._write(run, 0)
 
     def totals(self) -> DataFrame | None:
@@ -93,9 +113,18 @@ class LineRuns:
         rows = self.rows()
         return None if rows is None else merged(rows)
 
+    def decided(self, min_docs: int) -> DataFrame:
+        """(h1, h2, holder) of the keys in ``min_docs`` documents; the holder is the first sighting's.
+
+        Stored, so that joins with it have an exchange of their own and a hot key can be split.
+        """
+        return storage.stored(self.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "holder"), "common-lines")
+
 
 def merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"), F.max("first").alias("first"))
+    """One row per key: documents are added up; only the row of the first sighting has a holder."""
+    holder = F.max(F.when(F.col("first"), F.col("holder")))
+    return runs.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), holder.alias("holder"), F.max("first").alias("first"))
 
 
 def dedup_lines(docs: DataFrame, id_: str, text: str, into: str, *, batches: int = BATCHES, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -111,8 +140,7 @@ def dedup_lines(docs: DataFrame, id_: str, text: str, into: str, *, batches: int
     runs = LineRuns(spark, f"{folder}/runs")
     for batch in range(batches):
         runs.add(lines.where(F.col("batch") == batch))
-    common = runs.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "holder")
-    gone = lines.join(common, KEY).where(~F.col("doc").eqNullSafe(F.col("holder")))
+    gone = lines.join(runs.decided(min_docs), KEY).where(~F.col("doc").eqNullSafe(F.col("holder")))
     doc, row, gone_at, parts = (fresh_name(docs, c) for c in ("line_doc", "line_row", "line_gone", "line_parts"))
     positions = gone.groupBy(F.col("doc").alias(doc), F.col("row").alias(row)).agg(F.collect_set("pos").alias(gone_at))
     joined = docs.join(positions, F.col(id_).eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text)) == F.col(row)), "left")

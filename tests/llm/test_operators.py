@@ -130,7 +130,7 @@ def test_lines_equal_brute_force(docs):
 
 def test_runs_are_levelled(spark, tmp_path):
     runs = line_dedup.LineRuns(spark, str(tmp_path), fan_in=2)
-    for k in range(5):
+    for k in reversed(range(5)):  # batches come with falling ids
         runs.add(spark.createDataFrame([(k, 1, 1), (k, k + 10, 2)], "doc long, h1 long, h2 long"))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     totals = {(r["h1"], r["n_docs"], r["holder"]) for r in runs.totals().collect()}
@@ -138,6 +138,23 @@ def test_runs_are_levelled(spark, tmp_path):
     assert runs.rows().where("first").groupBy("h1", "h2").count().where("count > 1").count() == 0
 
 
+def test_later_batches_do_not_move_a_line(spark, tmp_path):
+    """The anti-join decides: a key that a run holds keeps the holder of its first sighting."""
+    runs = line_dedup.LineRuns(spark, str(tmp_path), fan_in=3)
+    for part in ([(9, 1, 1), (8, 1, 1), (8, 2, 2)], [(7, 1, 1), (7, 3, 3)], [(None, 1, 1), (None, 4, 4)]):
+        runs.add(spark.createDataFrame(part, "doc long, h1 long, h2 long"))
+    assert {tuple(r) for r in runs.decided(3).collect()} == {(1, 1, 9)}
+    assert {tuple(r) for r in runs.decided(1).collect()} == {(1, 1, 9), (2, 2, 8), (3, 3, 7), (4, 4, None)}
+
+
+def test_batches_fall_by_id(spark):
+    for ids, kind in ([None, *range(40)], "long"), ([None, *map(str, range(40))], "string"), ([None, 5, 5], "long"), ([], "long"):
+        df = spark.createDataFrame([(i,) for i in ids], f"doc_id {kind}")
+        got = df.select("doc_id", line_dedup.falling_batch(df, "doc_id", 4).alias("b")).collect()
+        assert [r["b"] for r in sorted((r for r in got if r["doc_id"] is not None), key=lambda r: r["doc_id"], reverse=True)] == sorted(r["b"] for r in got if r["doc_id"] is not None)
+        assert all(r["b"] == max(x["b"] for x in got) for r in got if r["doc_id"] is None)
+
+
 def quality_counts(text):
     words = WORDS.findall(text)
     lines = [x for x in text.split("\n") if WORDS.search(x)]
