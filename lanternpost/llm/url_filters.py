@@ -4,6 +4,12 @@ A rule fits its host and all subdomains where the url's path starts with the rul
 longest fitting rule wins.  Other urls are judged by the model.  A null url, or one without
 ``://``, has an empty host and path, fits no rule and has no n-grams: the model's bias judges it.
 Repeated urls get the same verdict; an empty table gives an empty table; other columns are ignored.
+
+A few rules are compiled into the plan.  A table of rules, or a long list, is joined: every suffix
+of a host meets the path lengths its rules have, then each such prefix of the path meets the rule
+itself, so a url meets at most one rule for each suffix and length, however many rules a host has.
+Of equally long fitting rules the first of a list wins; of a table, the one with the longer host,
+then a block.  Rules with a null in any field are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +24,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import storage
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 12
-#: Rules are compiled into the plan; a longer list is refused.
-MAX_RULES = 1000
+#: Up to so many rules are compiled into the plan; more are joined, with the same result.
+INLINE_RULES = 1000
 
 # The labelled urls the model is trained on, blocked and allowed.
 BLOCKED_URLS = """
@@ -77,13 +85,46 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, list[Rule]]:
     """Place of the longest fitting rule in the returned list, else null; of equally long ones the first given."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     ranked = sorted(rules, key=lambda r: -len(r.text))
     fits = [((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path)) for r in ranked]
     return F.coalesce(*[F.when(f, F.lit(i)) for i, f in enumerate(fits)], F.lit(None).cast("int")), ranked
 
 
+def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """(host, path, verdict, place) of a list of rules; ``place`` falls, so that the first is the greatest."""
+    rows = [(r.host, r.path, r.verdict, -i) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "host string, path string, verdict string, place long")
+
+
+def host_suffixes(host: Column) -> Column:
+    """The host and what follows each of its dots."""
+    labels = F.split(host, r"\.", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def with_joined_rule(parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``parts`` with ``rule`` and ``ruled``: text and verdict of the longest fitting rule, else null.
+
+    ``rules`` has host, path, verdict and may have place; ``parts`` has host and path.  Urls meet
+    the rules once for each distinct host and path.  Both tables that are joined to are stored, so
+    that a host with a large part of all urls or rules can be split at run time.
+    """
+    place = F.col("place") if "place" in rules.columns else F.lit(0).cast("long")
+    ranked = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict", place.alias("place")).dropna()
+    size = F.char_length("rule_host") + F.char_length("rule_path")
+    best = F.max(F.struct("place", "verdict"))
+    distinct = storage.stored(ranked.groupBy("rule_host", "rule_path").agg(best.alias("best")).select("rule_host", "rule_path", "best.*", size.alias("size")), "url-rules")
+    lengths = storage.stored(distinct.groupBy("rule_host").agg(F.collect_set(F.char_length("rule_path")).alias("lengths")), "rule-lengths")
+    urls = parts.select("host", "path").distinct()
+    suffixes = urls.select("*", F.explode(host_suffixes(F.col("host"))).alias("rule_host"))
+    fitting = F.filter("lengths", lambda n: n <= F.char_length("path"))
+    prefixes = suffixes.join(lengths, "rule_host").select("host", "path", "rule_host", F.explode(fitting).alias("n"))
+    met = prefixes.withColumn("rule_path", F.left("path", F.col("n"))).join(distinct, ["rule_host", "rule_path"])
+    longest = F.max(F.struct("size", "place", F.char_length("rule_host").alias("host_size"), "verdict", F.concat("rule_host", "rule_path").alias("rule")))
+    won = storage.stored(met.groupBy("host", "path").agg(longest.alias("won")).select("host", "path", "won.rule", F.col("won.verdict").alias("ruled")), "ruled-urls")
+    return parts.join(won, ["host", "path"], "left")
+
+
 def ngrams(host: Column, path: Column, sizes: Sequence[int] = SIZES) -> Column:
     """Character n-grams of host and path, marked with the part they come from."""
 
@@ -115,19 +156,18 @@ def train(labelled: DataFrame) -> PipelineModel:
     return PipelineModel([hashed, model])
 
 
-def judge(pages: DataFrame, id_: str, url: str, rules: Sequence[Rule], model: PipelineModel) -> DataFrame:
-    """(id, host, path, rule, verdict, score) of every row; ``score`` is the model's chance of block."""
+def judge(pages: DataFrame, id_: str, url: str, rules: Sequence[Rule] | DataFrame, model: PipelineModel) -> DataFrame:
+    """(id, host, path, rule, verdict, score) of every row; ``score`` is the model's chance of block.
+
+    ``rules`` is a list, or a table (host, path, verdict) of any length.
+    """
     parts = with_ngrams(pages.select(F.col(id_).alias("id"), F.col(url).alias("url")), "url")
-    at, ranked = fitting_rule(F.col("host"), F.col("path"), rules)
-    scored = model.transform(parts.withColumn("at", at))
-    judged = scored.select("id", "host", "path", "at", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
-    texts, verdicts = (F.array(*[F.lit(x) for x in y]).cast("array<string>") for y in ([r.text for r in ranked], [r.verdict for r in ranked]))
+    if isinstance(rules, DataFrame) or len(rules) > INLINE_RULES:
+        ruled = with_joined_rule(parts, rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules))
+    else:
+        at, ranked = fitting_rule(F.col("host"), F.col("path"), rules)
+        texts, verdicts = (F.array(*[F.lit(x) for x in y]).cast("array<string>") for y in ([r.text for r in ranked], [r.verdict for r in ranked]))
+        ruled = parts.withColumn("at", at).withColumn("rule", F.get(texts, F.col("at"))).withColumn("ruled", F.get(verdicts, F.col("at")))
+    judged = model.transform(ruled).select("id", "host", "path", "rule", "ruled", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
     by_model = F.when(F.col("score") > 0.5, "block").otherwise("allow")
-    return judged.select(
-        F.col("id").alias(id_),
-        "host",
-        "path",
-        F.get(texts, F.col("at")).alias("rule"),
-        F.coalesce(F.get(verdicts, F.col("at")), by_model).alias("verdict"),
-        "score",
-    )
+    return judged.select(F.col("id").alias(id_), "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")

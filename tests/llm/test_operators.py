@@ -420,6 +420,39 @@ def test_url_rules_and_parts(spark):
     assert [got[i]["verdict"] for i in (0, 1, 2, 3, 4, 6, 7, 8)] == ["allow", "allow", "allow", "block", "block", "allow", "block", "allow"]
 
 
+def test_joined_rules_equal_compiled_ones(spark):
+    urls = [None, "", "no scheme", "HTTP://WWW.Example.ORG/es/x?y", "http://example.org/en/12", "http://a.org", "x://b.com/fr/?a://c", "http://com/de/", "http://notexample.org/es/", "http://ÉA.com#f/", "ftp://h?q", "ftp://h?q", "http://end.org./x", "http://a..com/fr/", "http:///fr/", "http://x.com/" + "é/" * 5000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("rule", F.lit(1))
+    model = url_filters.train(url_filters.labelled_urls(spark))
+    rules = [*RULES, url_filters.Rule("", "", "block"), url_filters.Rule("", "/x", "allow"), url_filters.Rule("b.com", "", "allow"), url_filters.Rule("com", "/é", "block"), url_filters.Rule("com", "/é", "allow"), url_filters.Rule("x.com", "/" + "é/" * 4000, "allow")]
+    want = rows_of(url_filters.judge(df, "page_id", "url", rules, model), "page_id", "host", "path", "rule", "verdict")
+    table = url_filters.rule_table(spark, rules)
+    assert rows_of(url_filters.judge(df, "page_id", "url", table, model), "page_id", "host", "path", "rule", "verdict") == want
+    assert {r[3] for r in want} >= {"example.org/es/", "org/", "com/fr/", "", None}
+    gaps = spark.createDataFrame([(None, "/", "block"), ("org", None, "block"), ("org", "/", None)], "host string, path string, verdict string")
+    assert {r["rule"] for r in url_filters.judge(df, "page_id", "url", gaps, model).collect()} == {None}
+
+
+def test_ties_of_a_rule_table(spark):
+    df = spark.createDataFrame([(1, "http://b.com/xy"), (2, "http://org/")], "page_id long, url string")
+    table = spark.createDataFrame([("com", "/xy", "block"), ("b.com", "/", "allow"), ("org", "/", "allow"), ("org", "/", "block")], "host string, path string, verdict string")
+    got = url_filters.judge(df, "page_id", "url", table, url_filters.train(url_filters.labelled_urls(spark))).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [("b.com/", "allow"), ("org/", "block")]
+
+
+def test_a_long_rule_table_is_joined(spark):
+    """200,000 rules of one hot host and of many hosts; a url meets one rule for each suffix and length."""
+    ids = spark.range(100_000)
+    rules = ids.select(F.concat(F.lit("h"), "id", F.lit(".net")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("verdict")).unionByName(
+        ids.select(F.lit("net").alias("host"), F.concat(F.lit("/p"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("path"), F.lit("allow").alias("verdict"))
+    )
+    df = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.h"), F.col("id") * 50, F.lit(".net/p"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("url"))
+    got = url_filters.judge(df, "page_id", "url", rules, url_filters.train(url_filters.labelled_urls(spark)))
+    own, shared = [f"h{i * 50}.net/" for i in range(2000)], [f"net/p{i:06d}" for i in range(2000)]
+    want = [(i, a if len(a) >= len(b) else b, "block" if len(a) >= len(b) else "allow") for i, (a, b) in enumerate(zip(own, shared))]
+    assert rows_of(got, "page_id", "rule", "verdict") == sorted(want, key=repr)
+
+
 def test_url_model_on_held_out_urls(spark):
     bad = ["https://adult-video-chat.test/en/5", "http://cheap-viagra-pills.test/fr/2", "https://royal-casino.test/en/9.html", "http://poker-bets.test/es/1"]
     fine = ["https://thinking.test/en/5", "http://blog.station.test/fr/2", "https://m.history-books.test/en/9.html", "http://physics.test/es/1"]
