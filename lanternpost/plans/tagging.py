@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb, lexicon as lx, rules, text as tx
-from ..operators import knowledge, ordering, splits, summaries, tagging
+from ..operators import knowledge, lexicons, ordering, splits, summaries, tagging
 from . import inputs, sql
 from .inputs import POSTS, posts
 from .registry import Registry
@@ -95,6 +95,24 @@ def intent_value_counts(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.value_counts(tagging.with_intent(posts(spark, sf), "post"), "intent")
 
 
+# phrases of the intent lists that are plain words
+_PLAIN = sorted({(t, p) for t, ps in lx.INTENT_PATTERNS for p in ps if p.replace(" ", "").isalpha()})
+_ENTRIES = "lexicon(tag, phrase) AS (VALUES " + ", ".join(f"({sql.q(t)}, {sql.q(p)})" for t, p in _PLAIN) + ")"
+
+
+@query(
+    "lexicon_counts",
+    sql.with_ctes(
+        [POSTS, _ENTRIES],
+        "SELECT l.tag, l.phrase, count(p.doc_id) AS n_posts FROM lexicon l LEFT JOIN posts p ON contains(lower(p.post), l.phrase) GROUP BY l.tag, l.phrase",
+    ),
+)
+def lexicon_counts(spark: SparkSession, sf: str) -> DataFrame:
+    lexicon = spark.createDataFrame(_PLAIN, "tag string, phrase string")
+    low = posts(spark, sf).select("doc_id", F.lower("post").alias("low"))
+    return lexicons.lexicon_counts(lexicons.lexicon_hits(low, "doc_id", "low", lexicon, "phrase"), "doc_id", lexicon, "phrase", "tag")
+
+
 @query(
     "crisis_levels",
     sql.with_ctes(
