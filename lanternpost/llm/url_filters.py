@@ -32,21 +32,22 @@ BUCKETS = 1 << 12
 #: Up to so many rules are compiled into the plan; more are joined, with the same result.
 INLINE_RULES = 1000
 
-# The labelled urls the model is trained on, blocked and allowed.
+# The labelled urls the model is trained on, blocked and allowed: kinds of words, no hosts of the given tables.
 BLOCKED_URLS = """
-http://www.cheap-pills.example/order/viagra http://best-pills-online.example/buy/cialis https://pills4u.example/no-prescription
-https://www.cheap-meds.example/pharmacy/discount http://rx-pills.example/shop/ https://cheap-pills-now.example/en/12
-https://adult-x.example/video/123 http://www.adult-videos.example/en/9 https://xxx-tube.example/watch?v=1 https://free-xxx.example/clips/
-http://hot-adult-cams.example/live https://sex-chat.example/room/4 https://m.adult-x.example/de/77 https://porn-hub-free.example/
+http://www.discount-pharma.example/order/viagra http://best-pills-online.example/buy/cialis https://pills4u.example/no-prescription
+https://www.cheap-meds.example/pharmacy/discount http://rx-pills.example/shop/ https://pills-by-mail.example/en/12
+https://adult-films.example/video/123 http://www.adult-videos.example/en/9 https://xxx-tube.example/watch?v=1 https://free-xxx.example/clips/
+http://hot-adult-cams.example/live https://sex-chat.example/room/4 https://m.adult-cinema.example/de/77 https://porn-hub-free.example/
 https://casino-royal.example/slots/ http://online-casino-bonus.example/play https://poker-win.example/jackpot https://bet-casino.example/fr/88
 http://www.casino-x.example/spin https://free-slots.example/casino/en https://win-money-fast.example/prize/ http://lottery-win.example/claim
 https://crack-soft.example/keygen/download http://warez-free.example/serial/ https://torrent-warez.example/movie https://free-crack.example/serial
 http://replica-watches.example/rolex/cheap https://cheap-replica.example/bags https://payday-loan-now.example/apply http://fast-loan.example/cash
 https://click-track.example/ad/redirect?u=1 http://spam-links.example/seo/backlinks https://phish-login.example/verify/account
 http://malware-drop.example/setup.exe https://adult-dating.example/singles http://escort-girls.example/city https://nude-cams.example/
-https://cheap-viagra.example/en/1234.html http://adult-x-videos.example/en/5521?page=2 https://casino-win.example/es/987#top
-http://free-bets.example/odds https://www.bets-online.example/en/771/ https://sports-bets-free.example/fr/15.html http://m.best-bets.example/win
+https://cheap-viagra.example/en/1234.html http://adult-clips.example/en/5521?page=2 https://vegas-casino.example/es/987#top
+http://bets-bonus.example/odds https://www.bets-online.example/en/771/ https://sports-bets-free.example/fr/15.html http://m.best-bets.example/win
 https://www.xxx-adult.example/en/77120/ http://pills-cheap.example/fr/6650?utm_source=feed https://poker-casino.example/de/4410.html
+http://adult-theatre.example/en/31 https://www.adults-only.example/fr/7.html https://free-adult-pics.example/es/90 http://m.adult-zone.example/de/6
 """
 ALLOWED_URLS = """
 http://a.example http://news.example https://w3.example http://town.example/ https://b.example/x http://go.example http://my.example/en/1
