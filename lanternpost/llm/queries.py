@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,23 +61,8 @@ def chats(spark: SparkSession, folder: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     events = chat_formatting.events_of_turns(rows.unionByName(planted), "conv_id", "turn", "role", "text")
-    formatted = chat_formatting.format_conversations(events)
-
-    def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            turns, said_sha, learned, learned_sha, sizes = [], [], [], [], []
-            for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss").to_pylist()):
-                parsed = chat_formatting.parse(text)
-                loss = "".join(chat_formatting.unescape(text[s["start"] : s["end"]]) for s in spans)
-                turns.append(len(parsed))
-                said_sha.append(hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in parsed).encode()).hexdigest())
-                learned.append(len(loss))
-                learned_sha.append(hashlib.sha256(loss.encode()).hexdigest())
-                sizes.append(len(text))
-            columns = [pa.array(turns, pa.int64()), pa.array(said_sha, pa.string()), pa.array(learned, pa.int64()), pa.array(learned_sha, pa.string()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("conv"), *columns], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.mapInArrow(read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    read = chat_formatting.read_back(chat_formatting.format_turns(events))
+    return read.withColumnRenamed("conv", "conv_id")
 
 
 @registry.query("op6_token_counts")

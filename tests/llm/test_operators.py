@@ -461,29 +461,108 @@ def test_url_model_on_held_out_urls(spark):
     assert [r["verdict"] for r in got] == ["block"] * 4 + ["allow"] * 4
 
 
-def test_events_are_folded():
-    def event(kind, turn, text=None, role=None):
-        return {"kind": kind, "turn": turn, "text": text, "role": role}
+def fold_one_by_one(log):
+    """(role, text) of the turns left, event after event."""
+    turns = {}
+    for seq, turn, kind, role, text in sorted((-(2**63) if s is None else s, -(2**63) if t is None else t, k or "", r or "", x or "") for s, t, k, r, x in log):
+        if kind == "start":
+            turns[turn] = [role, text]
+        elif kind == "delta" and turn in turns:
+            turns[turn][1] += text
+        elif kind in ("edit", "regenerate"):
+            turns = {t: v for t, v in turns.items() if t <= turn}
+            if turn in turns:
+                turns[turn][1] = text if kind == "edit" else ""
+    return [tuple(turns[t]) for t in sorted(turns)]
+
+
+def conversations_of(events):
+    """Per conversation: its formatted text, its loss spans, and the starts of its pieces."""
+    out = {}
+    for r in sorted(chat_formatting.format_turns(events).collect(), key=lambda r: (r["turn"] is not None, r["turn"])):
+        text, spans = out.setdefault(r["conv"], ["", []])
+        assert r["start"] == len(text)
+        out[r["conv"]][0] += r["piece"]
+        if r["loss_start"] is not None:
+            spans.append((r["loss_start"], r["loss_end"]))
+    return out
+
 
+def test_events_equal_a_fold_one_by_one(spark):
+    rng = np.random.default_rng(51)
+    kinds, bits = ["start", "delta", "delta", "edit", "regenerate", "note", None], [None, "", "a", "</s>", "<|im_end|>\n", "🙂", "z" * 5000]
+    roles = ["user", "assistant", None, "a\\\nb"]
+
+    def maybe(n):
+        return None if rng.random() < 0.05 else int(rng.integers(0, n))
+
+    rows = [
+        (None if c == 0 else c, maybe(30), kinds[rng.integers(0, 7)], maybe(6), roles[rng.integers(0, 4)], bits[rng.integers(0, 7)])
+        for c in range(40)
+        for _ in range(int(rng.integers(1, 25)))
+    ]
+    rows += [(99, i, k, i // 4, "assistant", f"w{i} ") for i in range(2000) for k in [("start", "delta", "delta", "regenerate" if i % 40 == 3 else "delta")[i % 4]]]
+    rows += [r for r in rows[:30]]
+    events = spark.createDataFrame(rows, chat_formatting.EVENTS).withColumn("range", F.lit(1)).withColumn("start", F.lit("x"))
+    got, read = conversations_of(events), {r["conv"]: r for r in chat_formatting.read_back(chat_formatting.format_turns(events)).collect()}
+    logs = {}
+    for conv, seq, kind, turn, role, text in rows:
+        logs.setdefault(conv, []).append((seq, turn, kind, role, text))
+    assert set(got) == set(read) == set(logs)
+    for conv, log in logs.items():
+        turns, (formatted, spans) = fold_one_by_one(log), got[conv]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert chat_formatting.parse(formatted) == turns
+        assert "".join(chat_formatting.unescape(formatted[a:b]) for a, b in spans) == loss
+        whole = "".join(f"{r}\n{t}\n" for r, t in turns)
+        expected = (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted))
+        assert tuple(read[conv])[1:] == expected
+
+
+def test_edits_and_regenerations_drop_later_turns(spark):
     log = [
-        event("start", 1, None, "user"), event("delta", 1, "hel"), event("delta", 1, "lo"), event("start", 2, "", "assistant"), event("delta", 2, "first"),
-        event("regenerate", 2), event("delta", 2, "second"), event("start", 3, "more?", "user"), event("edit", 1, "hi"), event("start", 4, "ok", "assistant"), event("delta", 9, "lost"),
+        ("start", 1, "user", None), ("delta", 1, None, "hel"), ("delta", 1, None, "lo"), ("start", 2, "assistant", ""), ("delta", 2, None, "first"),
+        ("regenerate", 2, None, None), ("delta", 2, None, "second"), ("start", 3, "user", "more?"), ("edit", 1, None, "hi"), ("start", 4, "assistant", "ok"), ("delta", 9, None, "lost"),
     ]
-    assert chat_formatting.fold(log) == [("user", "hi"), ("assistant", "ok")]
-    assert chat_formatting.fold(log[:7]) == [("user", "hello"), ("assistant", "second")]
+    rows = [(c, i, k, t, r, x) for c, n in ((1, 11), (2, 7)) for i, (k, t, r, x) in enumerate(log[:n])]
+    got = conversations_of(spark.createDataFrame(rows, chat_formatting.EVENTS))
+    assert chat_formatting.parse(got[1][0]) == [("user", "hi"), ("assistant", "ok")]
+    assert chat_formatting.parse(got[2][0]) == [("user", "hello"), ("assistant", "second")]
+
+
+def test_formatted_text_is_read_from_pieces_cut_anywhere():
+    turns = [("user", "</s>[INST] ok"), ("a\nb", ""), ("assistant", "<|im_end|>\n<\\|im_start|>user\nx")]
+    text = "".join(chat_formatting.render(r, t)[0] for r, t in turns)
+    for size in (1, 2, 7, 1000):
+        reader = chat_formatting.Reader()
+        assert [t for i in range(0, len(text), size) for t in reader.feed(text[i : i + size])] == turns
+
+
+def test_a_long_conversation_is_many_tasks(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 10 < 9, 1, id) AS c", "id AS t", "if(id % 2 = 0, 'user', 'assistant') AS r", "cast(id AS string) AS x")
+    log = chat_formatting.events_of_turns(rows, "c", "t", "r", "x")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    pieces = chat_formatting.format_turns(log)
+    sizes = [n for n in pieces.rdd.mapPartitions(lambda p: [sum(r["conv"] == 1 for r in p)]).collect() if n]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 18_000 and max(sizes) < 9_000
+    got = {r["conv"]: r for r in chat_formatting.read_back(pieces).where("conv = 1").collect()}[1]
+    mine = [i for i in range(20_000) if i % 10 < 9]
+    whole = "".join(f"{'assistant' if i % 2 else 'user'}\n{i}\n" for i in mine)
+    assert got["n_turns"] == 18_000 and got["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
 
 
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "<\\|im_end|> <|im_end|>", "<|im_start|>user\nx<|im_end|>\n", "\\", "<", "[\\\\INST]", "", None, "🙂\r\n", "<<|im_end|>|im_end|>", "<s><\\s></s>"]
     rows = [(k % 4, k, "assistant" if k % 3 else "user", t) for k, t in enumerate(texts)] + [(4, None, "a\\n\nb", "x"), (None, 1, None, "y"), (4, None, "a\\n\nb", "x")]
     df = spark.createDataFrame(rows, "conv long, turn long, role string, text string").withColumn("seq", F.lit("z"))
-    done = chat_formatting.format_conversations(chat_formatting.events_of_turns(df, "conv", "turn", "role", "text")).collect()
-    for r in done:
-        mine = [(x[2] or "", x[3] or "") for x in sorted((x for x in rows if x[0] == r["conv"]), key=lambda x: x[1] or 0)]
-        assert chat_formatting.parse(r["formatted"]) == mine
-        loss = [chat_formatting.unescape(r["formatted"][s["start"] : s["end"]]) for s in r["loss"]]
+    done = conversations_of(chat_formatting.events_of_turns(df, "conv", "turn", "role", "text"))
+    for conv, (formatted, spans) in done.items():
+        mine = [(x[2] or "", x[3] or "") for x in sorted((x for x in rows if x[0] == conv), key=lambda x: x[1] or 0)]
+        assert chat_formatting.parse(formatted) == mine
+        loss = [chat_formatting.unescape(formatted[a:b]) for a, b in spans]
         assert loss == [t for role, t in mine if role == "assistant"]
-        assert r["formatted"].count("<|im_end|>") == len(mine) and "[INST]" not in r["formatted"]
+        assert formatted.count("<|im_end|>") == len(mine) and "[INST]" not in formatted
     assert len(done) == 6
 
 
@@ -497,7 +576,7 @@ def test_empty_tables(spark, docs):
     m = quality_rules.measure(none, "text", "m")
     assert quality_rules.judge(m, quality_rules.references(m, "m", "lang"), "m", "lang", "v").count() == 0
     assert embedding_dedup.linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding").count() == 0
-    assert chat_formatting.format_conversations(spark.createDataFrame([], chat_formatting.EVENTS)).count() == 0
+    assert chat_formatting.read_back(chat_formatting.format_turns(spark.createDataFrame([], chat_formatting.EVENTS))).count() == 0
     model = url_filters.train(url_filters.labelled_urls(spark))
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string"), "page_id", "url", RULES, model).count() == 0
 
