@@ -101,18 +101,21 @@ def fold(events: DataFrame) -> DataFrame:
 
     In a struct also a null id is equal to itself."""
     resets = events.where(F.col("kind") != DELTA)
-    starts = F.max(F.when(F.col("kind") == START, F.struct("seq", "role", "text"))).alias("start")
+    starts = F.max(F.when(F.col("kind") == START, F.struct("seq", "role"))).alias("start")
     cuts = F.max(F.when(F.col("kind") != START, F.col("seq"))).alias("cut")
     turns = resets.groupBy("conv", "turn").agg(starts, cuts, F.max(F.struct("seq", "kind", "role", "text")).alias("reset"))
-    placed = _before(storage.stored(turns, "turns"), "cut", "cut_before", F.max, F.greatest)
+    base = F.when(F.col("reset.kind") == REGENERATE, "").otherwise(F.col("reset.text"))
+    turns = storage.stored(turns.select("conv", "turn", "start", "cut", F.col("reset.seq").alias("since"), base.alias("base")), "turns")
+    placed = _before(turns.drop("base"), "cut", "cut_before", F.max, F.greatest)
     left = placed.where("start IS NOT NULL AND (cut_before IS NULL OR cut_before <= start.seq)")
-    left = storage.stored(left.select("conv", "turn", "start.role", "reset"), "left-turns")
-    later = events.where(F.col("kind") == DELTA).join(left.select("conv", "turn", "reset"), ["conv", "turn"])
-    later = later.where(F.struct("seq", "kind", "role", "text") > F.col("reset"))
-    parts = F.sort_array(F.collect_list(F.struct("seq", "role", "text")))
+    left = storage.stored(left.select("conv", "turn", "start.role", "since"), "left-turns")
+    # Of equal sequence numbers a delta comes before what resets its turn.
+    later = events.where(F.col("kind") == DELTA).select("conv", "turn", "seq", F.col("role").alias("by"), "text")
+    later = later.join(left.select("conv", "turn", "since"), ["conv", "turn"]).where("seq > since")
+    parts = F.sort_array(F.collect_list(F.struct("seq", "by", "text")))
     added = later.groupBy("conv", "turn").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("added"))
-    base = F.when(F.col("reset.kind") == REGENERATE, "").otherwise(F.col("reset.text"))
-    return left.join(added, ["conv", "turn"], "left").select("conv", "turn", "role", F.concat(base, F.coalesce("added", F.lit(""))).alias("text"))
+    whole = left.join(turns.select("conv", "turn", "base"), ["conv", "turn"]).join(added, ["conv", "turn"], "left")
+    return whole.select("conv", "turn", "role", F.concat("base", F.coalesce("added", F.lit(""))).alias("text"))
 
 
 def format_turns(events: DataFrame) -> DataFrame:
@@ -151,7 +154,8 @@ def format_turns(events: DataFrame) -> DataFrame:
     placed = _before(pieces, "chars", "start", F.sum, lambda far, near: F.coalesce(far, none) + F.coalesce(near, none))
     spans = [(F.col("start") + F.col(c)).alias(f"loss_{n}") for c, n in (("from", "start"), ("to", "end"))]
     placed = placed.select("conv.conv", "turn", "piece", "start", *spans)
-    bare = known.select("conv").distinct().join(pieces.select("conv").distinct(), "conv", "left_anti")
+    bare = storage.stored(known.select("conv").distinct().join(pieces.select("conv").distinct(), "conv", "left_anti"), "bare")
+    storage.discard(known)
     no_place = F.lit(None).cast("long")
     return placed.unionByName(bare.select("conv.conv", no_place.alias("turn"), F.lit("").alias("piece"), none.alias("start"), no_place.alias("loss_start"), no_place.alias("loss_end")))
 
