@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 1 << 20
+SHARES = 1000
 
 
 def fresh_name(df: DataFrame, base: str) -> str:
@@ -55,6 +57,22 @@ def with_text_columns(
     return docs.mapInArrow(run, schema)
 
 
+def rows_with_keys(rows: DataFrame, counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The ``rows`` whose ``keys`` are in ``counted``, a stored table of distinct keys and ``n``, their numbers of rows.
+
+    A key of more than a thousandth of all these rows is cut into slices of a thousandth, by the hash of
+    the whole row.  There are less than a thousand such keys, so they are broadcast."""
+    total = max(counted.agg(F.sum("n")).first()[0] or 0, 1)
+    slices, slice_ = fresh_name(rows, "slices"), fresh_name(rows, "slice")
+    hot = counted.where(F.col("n") * SHARES > total)
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("n") * SHARES / total).cast("int").alias(slices)))
+    each = F.explode(F.sequence(F.lit(0), F.coalesce(slices, F.lit(1)) - 1)).alias(slice_)
+    chosen = counted.select(*keys).join(hot, keys, "left").select(*keys, each)
+    dealt = rows.withColumn(slice_, F.xxhash64(*rows.columns)).join(hot, keys, "left")
+    dealt = dealt.withColumn(slice_, F.coalesce(F.pmod(slice_, slices), F.lit(0)).cast("int"))
+    return dealt.join(chosen, [*keys, slice_]).select(*rows.columns)
+
+
 class BoundedMemo(dict):
     """Results by key; forgets all of them when ``limit`` are kept, so that memory stays bounded."""
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import storage
-from .helpers import BoundedMemo, blocks, fresh_name, utf8
+from .helpers import BoundedMemo, blocks, fresh_name, rows_with_keys, utf8
 
 WINDOW = 35
 ANCHOR = 8
@@ -181,12 +181,12 @@ def windows_of(chosen: DataFrame) -> DataFrame:
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """(doc, row, ranges): lists of (first window, number of windows) that start twice or more."""
     runs = storage.stored(window_runs(texts), "runs")
-    twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    found = storage.stored(runs.join(twice, "anchor"), "repeated-runs")
+    twice = storage.stored(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-grams")
+    found = storage.stored(rows_with_keys(runs, twice, ["anchor"]), "repeated-runs")
     storage.discard(runs)
     spans = found.groupBy("anchor", "sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "row", "at")).alias("one"))
     spans = storage.stored(spans, "spans")
-    whole = found.join(spans.where("n > 1").select("anchor", "sig"), ["anchor", "sig"])
+    whole = rows_with_keys(found, spans.where("n > 1"), ["anchor", "sig"])
     whole = whole.select("doc", "row", F.shiftright("at", 16).alias("first"), F.shiftright("at", 8).bitwiseAND(255).alias("count"))
     several = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("spans"), F.min("n").alias("least")).where("spans > 1 AND least = 1")
     apart = spans.join(several.select("anchor"), "anchor")

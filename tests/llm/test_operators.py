@@ -16,6 +16,7 @@ from lanternpost.llm import (
     components,
     embedding_dedup,
     hamming,
+    helpers,
     line_dedup,
     packing,
     quality_rules,
@@ -93,6 +94,20 @@ def test_substrings_equal_brute_force(docs):
         assert all(a["end"] < b["start"] for a, b in zip(r["spans"], r["spans"][1:]))
 
 
+def test_rows_of_hot_keys_are_dealt_to_many_tasks(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, -1, id % 4000) AS k", "id AS slice", "cast(null AS string) AS slices")
+    counted = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k < 1000")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    got = helpers.rows_with_keys(rows, counted, ["k"])
+    sizes = got.rdd.mapPartitions(lambda p: [sum(r["k"] == -1 for r in p)]).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 10_000 and max(sizes) < 3_000
+    assert sorted(r["slice"] for r in got.collect()) == [i for i in range(30_000) if i % 3 == 0 or i % 4000 < 1000]
+    assert helpers.rows_with_keys(rows, counted.limit(0), ["k"]).count() == 0
+
+
 def test_windows_inside_one_document(spark):
     rng = np.random.default_rng(1)
     part = prose(rng, 50)
