@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import delete, shared_folder
 from .ordering import per_group
-from .scoring import QUERY_STEP, fold, scored, unit_matrix
+from .scoring import QUERY_STEP, Best, unit_matrix
 from .vector_index import VectorIndex, build
 
 BROADCAST_BYTES = 16 << 20
+HITS_BATCH = 1 << 16
 
 
 def _result_schema(queries: DataFrame, query_id: str, kb: DataFrame, kb_id: str) -> str:
@@ -43,24 +44,20 @@ def _query_rows_within(queries: DataFrame, vector: str, limit: int) -> bool:
 def _broadcast_plan(
     queries: DataFrame, kb: DataFrame, ids: tuple[str, str], vectors: tuple[str, str], k: int, floor: float | None
 ) -> DataFrame:
-    local = queries.where(F.col(vectors[0]).isNotNull()).select(ids[0], vectors[0]).toPandas()
+    local = queries.where(F.col(ids[0]).isNotNull() & F.col(vectors[0]).isNotNull()).select(ids[0], vectors[0]).toPandas()
     shared = kb.sparkSession.sparkContext.broadcast((local[ids[0]].to_numpy(), unit_matrix(local[vectors[0]])))
     kb_id, kb_vector = ids[1], vectors[1]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q = shared.value
-        best: pd.DataFrame | None = None
+        best = Best(q, k, floor, QUERY_STEP)
         for batch in batches:
-            if len(batch) == 0 or len(q_ids) == 0:
-                continue
-            block = unit_matrix(batch[kb_vector])
-            for at in range(0, len(q_ids), QUERY_STEP):
-                part = slice(at, at + QUERY_STEP)
-                found = scored(q_ids[part], q[part], batch[kb_id].to_numpy(), block, k, floor)
-                best = found if best is None else pd.concat([best, found], ignore_index=True)
-            best = fold([best], k)
-        if best is not None:
-            yield best
+            if len(batch) and len(q_ids):
+                best.add(batch[kb_id].to_numpy(), unit_matrix(batch[kb_vector]))
+        rows, found, similarity = best.hits()
+        for at in range(0, len(rows), HITS_BATCH):
+            part = slice(at, at + HITS_BATCH)
+            yield pd.DataFrame({"query_id": q_ids[rows[part]], "kb_id": found[part], "similarity": similarity[part]})
 
     return kb.where(F.col(kb_vector).isNotNull()).select(kb_id, kb_vector).mapInPandas(scan, _result_schema(queries, ids[0], kb, kb_id))
 
