@@ -44,3 +44,9 @@ def test_ten_thousand_phrases(spark):
     for limit in (lexicons.PART_BYTES, 30_000):
         got = {tuple(r) for r in lexicons.lexicon_hits(posts, "id", "text", lexicon, "word", limit).collect()}
         assert got == {(i, f"w{n} ") for i in range(300) for n in (i * 37, i * 41) if n < 10_000}
+
+
+def test_few_texts_at_a_time_give_the_same_hits(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "TEXTS_STEP", 2)
+    posts, lexicon = frames(spark)
+    assert sorted(map(tuple, lexicons.lexicon_hits(posts.coalesce(1), "id", "text", lexicon, "word").collect()), key=repr) == expected()
