@@ -1,12 +1,14 @@
 """Encoding in batches, the best hits over blocks, and what a search in rounds ships."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lanternpost.functions import vectors
 from lanternpost.functions.text import SPACE_CHARS
-from lanternpost.operators import scoring, vector_index
+from lanternpost.operators import knowledge, scoring, vector_index
 from lanternpost.sources.storage import shared_folder
 
 TEXTS = ["", None, "   ", "One two  two\tONE\n", "ÀÉ straße İstanbul ΣΑΣ 🙂 🙂", SPACE_CHARS.join("abc"), "x" * 5000, " ".join(f"w{i % 97}" for i in range(3000))]
@@ -46,6 +48,35 @@ def test_best_over_blocks_equals_a_full_sort(monkeypatch, strings):
         assert [i for _, i in got] == [i for _, i in want]
 
 
+@pytest.mark.parametrize("shape", [(0, 5), (1, 1), (3, 7), (8, 8), (5, 511), (64, 100)])
+def test_places_of_hits(shape):
+    for share in (0, 0.01, 0.5, 1):
+        hit = np.random.default_rng(1).random(shape) < share
+        assert scoring.true_places(hit).tolist() == np.flatnonzero(hit).tolist()
+
+
+def test_a_row_carries_its_chunk_and_not_all_of_its_text(spark):
+    source = spark.createDataFrame([(1, " ".join(f"w{i}." for i in range(700)))], "doc_id long, output string")
+    rows = knowledge.chunk_rows(source, intent_col=None, concern_col=None)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    passed_on = re.search(r"Generate posexplode\(__pieces#\d+\), \[([^]]*)\]", plan).group(1)
+    assert "n_pieces" in passed_on and "__pieces" not in passed_on
+    assert rows.count() == 5
+
+
+def test_the_encoder_runs_once_for_a_row_of_the_index(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def encode(i):
+        seen.add(1)
+        return None if i % 10 == 0 else [float(i), 1.0]
+
+    rows = spark.range(200).select("id", encode("id").alias("v"))
+    index = vector_index.build(rows, shared_folder(spark, "index"), "id", "v")
+    assert seen.value == 200 and index.table().count() == 180
+
+
 def test_a_vector_goes_once_to_a_block_not_to_every_cell(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(900, 16)))], "id long, v array<double>")
