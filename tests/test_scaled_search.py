@@ -23,6 +23,27 @@ def test_batches_encode_like_the_expression(spark, monkeypatch):
             assert [r["a"] for r in both] == [r["b"] for r in both]
 
 
+def test_digests_of_many_words_are_those_of_each():
+    import hashlib
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    words = [rng.bytes(i % 140) for i in range(9000)]
+    column = pa.array(words, pa.binary()).slice(1)
+    assert vectors.digest_heads(column).tolist() == [int(hashlib.md5(w).hexdigest()[:8], 16) for w in words[1:]]
+    assert vectors.digest_heads(pa.array([b"", b""], pa.large_binary())).tolist() == [0xD41D8CD9] * 2
+
+
+def test_an_index_lists_its_folders_once(spark, monkeypatch):
+    rows = [(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(60)]
+    made = vector_index.build(spark.createDataFrame(rows, "id int, v array<double>"), shared_folder(spark, "index"), "id", "v")
+    assert made.table() is made.table()
+    opened = vector_index.VectorIndex(spark, made.path)
+    assert opened.table() is opened.table()
+    assert sorted(opened.table().select("id").collect()) == sorted(made.table().select("id").collect())
+
+
 @pytest.mark.parametrize("strings", [False, True])
 def test_best_over_blocks_equals_a_full_sort(monkeypatch, strings):
     monkeypatch.setattr(scoring, "PENDING", 50)
