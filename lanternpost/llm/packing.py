@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,20 @@ MEMO_BYTES = 96 << 20
 LONGEST_WORD = 256
 
 
+class Places(dict):
+    """A number for each word, in the order in which words are first asked for; ``new`` holds those not looked at yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+        self.next = count().__next__
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        place = self[word] = self.next()
+        return place
+
+
 class WordIds:
     """Ids of texts from a tokenizer whose pre-tokens never span ASCII white space: words are
     encoded once and remembered, in a memo of bounded bytes, as little-endian 32-bit ids.
@@ -36,54 +51,86 @@ class WordIds:
     ASCII letters are lower-cased as the tokenizer does, and a full stop or comma after a letter and
     before white space, a pre-token of its own, is parted from its word, so that fewer different
     words reach the tokenizer.  Texts that may hold special tokens are left as they are.
+
+    Words are looked up once, for a place in a list; the list is filled when all words of a block are known.
+    There are two generations: when the young one holds ``MEMO_BYTES`` it becomes the old one, whose results are
+    taken over as they are asked for.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.mark = self.tokenizer.token_to_id(MARK)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.words = ByteMemo(self._word, MEMO_BYTES, LONGEST_WORD)
+        self.old: dict[bytes, bytes] = {}
+        self._start()
+
+    def _start(self) -> None:
+        self.places, self.found, self.held = Places(), [], 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _word(self, word: bytes) -> bytes:
-        return self._ids(word.decode()).tobytes()
-
-    def _keep(self, words: list[bytes], ids: np.ndarray, starts: list[int], stops: list[int]) -> None:
+    def _keep(self, at: list[int], ids: np.ndarray, starts: list[int], stops: list[int]) -> None:
         held = ids.tobytes()
-        for word, a, b in zip(words, starts, stops):
-            self.words.keep(word, held[4 * a : 4 * b])
+        for i, a, b in zip(at, starts, stops):
+            self.found[i] = held[4 * a : 4 * b]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the new words of a block in two calls.
+    def learn(self) -> None:
+        """Encode the new words of a block together.
 
-        Words of letters alone are one pre-token each, which ends with a token that closes a word;
-        a special token stands between the others.
+        Lower-case ASCII letters are one pre-token that no step before the model changes.  Other words of letters alone are,
+        but for a few, one pre-token each, which ends with a token that closes a word; a special token stands between the others.
         """
-        new = [w for w in words if len(w) <= LONGEST_WORD and b"<|" not in w and w not in self.words.old]
-        texts = [w.decode() for w in new]
-        plain = [t.isalpha() for t in texts]
-        letters = [w for w, p in zip(new, plain) if p]
-        if letters:
-            ids = self._ids(" ".join(t for t, p in zip(texts, plain) if p))
+        new, first = self.places.new, len(self.found)
+        self.places.new = []
+        self.found += map(self.old.get, new)
+        ascii_, letters, others = ([], []), ([], []), ([], [])
+        for i, word in enumerate(new, first):
+            if self.found[i] is not None:
+                continue
+            text = word.decode()
+            if len(word) > LONGEST_WORD or b"<|" in word:
+                self.found[i] = self._ids(text).tobytes()
+                continue
+            at, texts = others if not text.isalpha() else ascii_ if word.isascii() and word.islower() else letters
+            at.append(i)
+            texts.append(text)
+        if ascii_[0]:
+            tokens = [[token.id for token in made] for made in map(self.model.tokenize, ascii_[1])]
+            stops = np.cumsum([len(t) for t in tokens]).tolist()
+            self._keep(ascii_[0], np.fromiter(chain.from_iterable(tokens), np.uint32, stops[-1]), [0, *stops[:-1]], stops)
+        if letters[0]:
+            ids = self._ids(" ".join(letters[1]))
             stops = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            if len(stops) != len(letters):
-                raise ValueError("a word of letters is not one pre-token")
-            self._keep(letters, ids, [0, *stops[:-1]], stops)
-        others = [w for w, p in zip(new, plain) if not p]
-        if others:
-            ids = self._ids(MARK.join(t for t, p in zip(texts, plain) if not p))
+            if len(stops) == len(letters[0]):
+                self._keep(letters[0], ids, [0, *stops[:-1]], stops)
+            else:  # a letter whose lower case holds a mark
+                others = (others[0] + letters[0], others[1] + letters[1])
+        if others[0]:
+            ids = self._ids(MARK.join(others[1]))
             cuts = np.flatnonzero(ids == self.mark)
-            self._keep(others, ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
+            self._keep(others[0], ids, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
+        self.held += sum(map(len, new)) + sum(map(len, self.found[first:])) + len(new) * ByteMemo.ENTRY
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else LAST_MARK.sub(rb" \1", t.lower())).split() for t in texts]
-        self.learn(set().union(*split).difference(self.words))
-        of = self.words.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        place, first = self.places.__getitem__, len(self.found)
+        placed = [list(map(place, (t if b"<|" in t else LAST_MARK.sub(rb" \1", t.lower())).split())) for t in texts]
+        new = self.places.new
+        self.learn()
+        of = self.found.__getitem__
+        made = [b"".join(map(of, p)) for p in placed]
+        for i, word in enumerate(new, first):
+            if len(word) > LONGEST_WORD:  # computed each time
+                del self.places[word]
+                self.held -= len(word) + len(self.found[i])
+                self.found[i] = b""
+        if self.held >= MEMO_BYTES:
+            self.old = {word: self.found[i] for word, i in self.places.items()}
+            self._start()
+        return made
 
 
 @lru_cache(2)

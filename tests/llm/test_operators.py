@@ -422,6 +422,24 @@ def test_binary_lengths():
     assert len(set(packing.binary_lengths(2047))) == 11
 
 
+def test_words_are_looked_up_once_and_ascii_ones_skip_the_steps_before_the_model(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_BYTES", 3000)
+    whole = packing.Tokenizer.from_file(WORD_MODEL)
+    blocks = [
+        [b"", b"A cat, a cat. the cat's", "Größe ß eauch%%% \u0130stanbul 16.155".encode(), b"x" * 300 + b" cat " + b"y" * 300 + b","],
+        [b"cat <|endoftext|> Cat. <| CAT", b"  tab\tand\x0bline\n", "ﬁx é e\u0301 日本".encode()],
+        [" ".join(f"w{i} word{i % 7} {'abcdefg'[i % 7] * i}" for i in range(60)).encode()],
+    ]
+    words, met = packing.WordIds(WORD_MODEL), []
+    ids = words._ids
+    monkeypatch.setattr(words, "_ids", lambda text: met.append(text) or ids(text))
+    for block in blocks * 3:
+        want = [np.array(whole.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in block]
+        assert words.encode(block) == want
+    assert words.old and words.held < 3000 + 60 * 3 * 300
+    assert not any("abab" in t or t == "cat" for t in met) and not any(t.startswith("cat ") for t in met)
+
+
 def test_url_rules_and_parts(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.ORG/es/x?y", "http://example.org/en/12", "http://a.org", "x://b.com/fr/?a://c", "http://com/de/", "http://notexample.org/es/", "http://ÉA.com#f/", "ftp://h?q"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
